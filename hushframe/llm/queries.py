@@ -18,6 +18,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import tokencount
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), 512).drop("text")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sharding
 
@@ -25,6 +34,15 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op8_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import bpe
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), ids=False).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
