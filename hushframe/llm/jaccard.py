@@ -3,14 +3,16 @@
 Two sets of a and b shingles with similarity of s or more differ in at most (1-s)/(1+s) * (a+b) shingles. For sizes up
 to R that is k. The shingles' domain is cut into P > k parts by hash; a difference spoils one part at most, so P - k
 parts at least agree, contents and all. Each set therefore leaves out P - k - 1 of its parts, those with the fewest
-shingles (ties by content), and gives one signature for each of the other parts: what a part holds decides whether it
-is left out before another, so of the parts in which two linked sets agree at least one is left out by neither. Sets are
+shingles or the most frequent ones, and gives one signature for each of the other parts: what a part holds decides whether it
+is left out before another, so of the parts in which two linked sets agree at least one is left out by neither. Parts
+of frequent shingles only go first, so documents that share a common passage don't all meet; frequencies come from a pass over
+all documents, and as they only order the parts, they may be rough. Sets are
 compared within size bands, which overlap so far that two sizes within the threshold's ratio share a band.
 
-Identical sets are one node. Nodes with a common signature are compared with the first of them; exact intersections
-decide. In signature groups that are then not yet one component, later members are compared too, until all
-pairs of different components are, in rounds of growing breadth; so no link between components is lost, and
-groups of near copies never become all pairs.
+Identical sets are one node. Nodes with a common signature are compared with the one of them that meets most others; exact
+intersections decide. Small groups are compared pair by pair. In large groups that are then not yet one component, two members are
+compared if they have in common what sets them apart from the hub, in so far as linked pairs must (differences()). So no
+link between components is lost, and groups of near copies never become all pairs.
 """
 
 from __future__ import annotations
@@ -20,14 +22,20 @@ from math import ceil, floor, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared, vectext
 from .vectext import U, mix, signed
 
 #: A band of sizes reaches from its least size to so many times that; PARTS: parts for each difference allowed.
-BAND, PARTS = 1.75, 1.5
+BAND, PARTS = 1.75, 2.0
+#: Shingles whose frequency is known to all tasks, at most; a task names those that it has met so often.
+HOT_SHINGLES, HOT_COUNT = 200_000, 3
+#: Shingles counted at once.
+COUNTED = 1 << 22
+#: Groups of so many nodes are compared pair by pair.
+SMALL_GROUP = 8
 
 
 def _node(found: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -40,10 +48,55 @@ def band_plan(percent: int) -> tuple[float, float]:
     return BAND * percent / 100, (100 - percent) / (100 + percent)
 
 
-def signatures(found: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+class Hot:
+    """Levels (log2 of the frequency) of frequent shingles; 0 for others."""
+
+    def __init__(self, shingles: np.ndarray, counts: np.ndarray):
+        order = np.argsort(shingles)
+        self.shingles = shingles[order]
+        self.levels = np.log2(np.maximum(counts[order], 2)).astype(np.uint8)
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[(self.shingles >> U(42)).astype(np.int64)] = True
+
+    def level(self, found: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(found), np.uint8)
+        some = np.flatnonzero(self.maybe[(found >> U(42)).astype(np.int64)])
+        if len(some):
+            at = np.minimum(np.searchsorted(self.shingles, found[some]), len(self.shingles) - 1)
+            out[some] = np.where(self.shingles[at] == found[some], self.levels[at], 0)
+        return out
+
+
+def hot_shingles(docs: DataFrame) -> Hot:
+    """The frequent shingles of all documents: tasks name those they meet HOT_COUNT times, and the sums are ordered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def named() -> pa.RecordBatch:
+            kinds, counts = np.unique(np.concatenate(held), return_counts=True)
+            often = counts >= HOT_COUNT
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(signed(kinds[often])), pa.array(counts[often])], ["shingle", "n"])
+
+        for batch in batches:
+            for _, found, _ in _batches(batch.column(0)):
+                held.append(found)
+                if sum(map(len, held)) >= COUNTED:
+                    yield named()
+        if held:
+            yield named()
+
+    counts = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "shingle").limit(HOT_SHINGLES).toArrow()  # bounded
+    return Hot(top["shingle"].to_numpy().view(U), top["n"].to_numpy())
+
+
+def signatures(found: np.ndarray, at: np.ndarray, percent: int, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of sorted sets, and the set each belongs to."""
     step, share = band_plan(percent)
     sizes = np.diff(at)
+    level = hot.level(found)
     sigs, owners = [], []
     top = int(floor(log(max(int(sizes.max(initial=1)), 1), step))) + 1
     for band in range(top + 1):
@@ -71,7 +124,8 @@ def signatures(found: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndar
         spare = parts - k - 1
         empty = parts - filled
         drop = np.maximum(spare - empty, 0)  # of the parts that hold shingles
-        rank_key = (np.minimum(count, 255).astype(U) << U(56)) | (sig >> U(8))
+        rare = U(63) - np.minimum.reduceat(level[place], begin).astype(U)
+        rank_key = (rare << U(58)) | (np.minimum(count, 63).astype(U) << U(52)) | (sig >> U(12))
         order = np.lexsort((rank_key, owner))
         rank = np.arange(len(order)) - np.repeat(np.cumsum(filled) - filled, filled)
         kept = order[rank >= np.repeat(drop, filled)]
@@ -110,140 +164,177 @@ def profile(docs: DataFrame) -> DataFrame:
 
 def signature_rows(docs: DataFrame, percent: int) -> DataFrame:
     """Rows (sig, node) of all documents' signatures."""
+    hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, found, at in _batches(batch.column(0)):
-                sig, owner = signatures(found, at, percent)
+                sig, owner = signatures(found, at, percent, hot.value)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(signed(_node(found, at)[owner]))], ["sig", "node"])
 
     return docs.select("text").mapInArrow(run, "sig long, node long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From sorted rows (sig, node): rows (sig, node, hub, rank) of signatures with two nodes or more, each node once.
+    """From sorted rows (sig, node): those of signatures with two nodes or more, each once.
 
-    Only the last signature's first rows are held from one batch to the next, so a signature of any number of rows takes
-    no more memory.
+    Only the last row is held from one batch to the next, so a signature of any number of rows takes no more memory.
     """
-    held_sig, held_node, ranks_before = np.empty(0, np.int64), np.empty(0, np.int64), 0
-    hub_of_open = 0
-
-    def emit(sig, node, hub, rank):
-        return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node), pa.array(hub), pa.array(rank)], ["sig", "node", "hub", "rank"])
-
+    held, given = (np.empty(0, np.int64), np.empty(0, np.int64)), False  # the last row, and whether it was given out
     for batch in batches:
-        sig = np.concatenate([held_sig, batch.column(0).to_numpy(zero_copy_only=False)])
-        node = np.concatenate([held_node, batch.column(1).to_numpy(zero_copy_only=False)])
+        sig, node = (np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held))
         fresh = np.ones(len(sig), bool)
         fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
         sig, node = sig[fresh], node[fresh]
         if not len(sig):
             continue
-        begin = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-        n = np.diff(np.append(begin, len(sig)))
-        rank = np.arange(len(sig)) - np.repeat(begin, n)
-        hub = np.repeat(node[begin], n)
-        keep = np.repeat(n > 1, n)
-        if ranks_before:  # the first run goes on; its first row here is one that was given out
-            rank[: n[0]] += ranks_before - 1
-            hub[: n[0]] = hub_of_open
-            keep[: n[0]] = True
+        same = sig[1:] == sig[:-1]
+        keep = np.append(False, same) | np.append(same, False)
+        last_given = bool(keep[-1]) or (len(sig) == 1 and given)
+        if given:
             keep[0] = False
-        last = int(begin[-1])
-        open_hub, open_rank = int(hub[-1]), int(rank[-1])
-        if len(sig) - last == 1 and open_rank == 0:  # alone so far
-            keep[last] = False
-            ranks_before = 0
-        else:
-            ranks_before = open_rank + 1
-        hub_of_open = open_hub
-        held_sig, held_node = sig[-1:], node[-1:]
+        given = last_given
+        held = (sig[-1:], node[-1:])
         if keep.any():
-            yield emit(sig[keep], node[keep], hub[keep], rank[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(node[keep])], ["sig", "node"])
 
 
 def groups(rows: DataFrame) -> DataFrame:
-    """Rows (sig, node, hub, rank): the nodes of signatures that several nodes have, ranked from 0; hub has rank 0."""
-    return rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_runs, "sig long, node long, hub long, rank long")
+    """Rows (sig, node, hub, rank, n): the n nodes of signatures that several nodes have, ranked from 0; hub has rank 0.
+
+    Nodes that share most signatures come first: a text comes before its altered copies, which differ more from each other.
+    """
+    met = rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_runs, "sig long, node long")
+    met, _ = shared.write_table(met, "met")
+    degree = met.groupBy("node").agg(F.count("*").alias("degree"))
+    by = Window.partitionBy("sig").orderBy(F.desc("degree"), "node")
+    return met.join(shared.small(degree), "node").select("sig", "node", F.first("node").over(by).alias("hub"), (F.row_number().over(by) - 1).alias("rank"), F.count("*").over(Window.partitionBy("sig")).alias("n"))
+
+
+def _pairs_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (a, b, left, right): pairs (a, b) with both texts; texts: (node, text)."""
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
+    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "left", "right")
+
+
+def _both_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """a, b and their sorted sets, of rows of _pairs_of()."""
+    for batch in batches:
+        size, done = batch.num_rows, 0
+        left, right = batch.column(2), batch.column(3)
+        step = max(1, min(size, int((16 << 20) * size // max(1, left.nbytes + right.nbytes))))
+        while done < size:
+            m = min(step, size - done)
+            a, b = (batch.column(i).slice(done, m).to_numpy(zero_copy_only=False) for i in (0, 1))
+            x, xat = vectext.sets(vectext.words(left.slice(done, m)))
+            y, yat = vectext.sets(vectext.words(right.slice(done, m)))
+            for i in np.flatnonzero((signed(_node(x, xat)) == a) & (signed(_node(y, yat)) == b)):
+                yield int(a[i]), int(b[i]), x[xat[i] : xat[i + 1]], y[yat[i] : yat[i + 1]]
+            done += m
+
+
+def _held(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which of sorted p sorted q has."""
+    return q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose sets reach the threshold exactly; texts: (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            done, good = 0, []
-            size = batch.num_rows
-            left, right = batch.column(2), batch.column(3)
-            step = max(1, min(size, int((16 << 20) * size // max(1, left.nbytes + right.nbytes))))
-            while done < size:
-                m = min(step, size - done)
-                x, xat = vectext.sets(vectext.words(left.slice(done, m)))
-                y, yat = vectext.sets(vectext.words(right.slice(done, m)))
-                named = (signed(_node(x, xat)) == a[done : done + m]) & (signed(_node(y, yat)) == b[done : done + m])
-                for i in np.flatnonzero(named):
-                    p, q = x[xat[i] : xat[i + 1]], y[yat[i] : yat[i + 1]]
-                    p, q = (p, q) if len(p) <= len(q) else (q, p)
-                    if 100 * len(p) < percent * len(q):
-                        continue
-                    at = np.searchsorted(q, p)
-                    same = int(np.count_nonzero(q[np.minimum(at, len(q) - 1)] == p))
-                    if 100 * same >= percent * (len(p) + len(q) - same):
-                        good.append(done + i)
-                done += m
-            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
+        good = []
+        for a, b, p, q in _both_sets(batches):
+            p, q = (p, q) if len(p) <= len(q) else (q, p)
+            if 100 * len(p) >= percent * len(q):
+                same = int(np.count_nonzero(_held(p, q)))
+                if 100 * same >= percent * (len(p) + len(q) - same):
+                    good.append((a, b))
+            if len(good) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*good)], ["a", "b"])
+                good = []
+        if good:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*good)], ["a", "b"])
+
+    return _pairs_of(pairs, texts).mapInArrow(run, "a long, b long").distinct()
+
+
+def differences(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Rows (hub, item, node, probe, size, b0 to b3) by which two members of a hub (a, b) can be linked though one is not linked to the hub.
+
+    D(u) is how u's set differs from the hub's set h. If u is not linked to the hub, |D(u)| > f(|u| + |h|), f the share of
+    differences allowed. If u and v are linked, |D(u) with or without D(v), not both| <= f(|u| + |v|), so they have in common
+    t >= (|D(u)| + |D(v)| - f(|u| + |v|)) / 2 > (|D(v)| - f(|v| - |h|)) / 2 differences. Hence one of any |D(v)| - t + 1 of
+    D(v) is in D(u): v names those, its own shingles before what it lacks of the hub's; u, as probe, names all of D(u).
+    The bits b0 to b3 bound from below in how much D(u) and D(v), and so u and v, differ; size is |v|.
+    """
+    over, under = 100 - percent, 100 + percent  # f = over / under
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return both.mapInArrow(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, rows = [], 0
+
+        def give() -> pa.RecordBatch:
+            hub, item, node, probe, size, *bits = (np.concatenate(c) for c in zip(*parts))
+            return pa.RecordBatch.from_arrays([pa.array(hub), pa.array(signed(item)), pa.array(node), pa.array(probe), pa.array(size), *(pa.array(signed(b)) for b in bits)], ["hub", "item", "node", "probe", "size", "b0", "b1", "b2", "b3"])
+
+        for a, b, h, v in _both_sets(batches):
+            own, lacks = v[~_held(v, h)], h[~_held(h, v)]
+            d = len(own) + len(lacks)
+            least = (under * d - over * (len(v) - len(h))) // (2 * under) + 1  # the smallest whole number above
+            named = [np.concatenate([own, lacks])[: max(0, d - max(least, 1) + 1)]]
+            linked = under * d <= over * (len(v) + len(h))
+            if not linked:
+                named.append(np.concatenate([own, lacks]))
+            # how often each of 256 residues occurs, odd or even: differs in at most as many as the sets do
+            odd = np.packbits(np.bincount((np.concatenate([own, lacks]) & U(255)).astype(np.int64), minlength=256) & 1 == 1).view(U)
+            for x, probe in zip(named, (False, True)):
+                parts.append((np.full(len(x), a), x, np.full(len(x), b), np.full(len(x), probe), np.full(len(x), len(v)), *(np.full(len(x), o) for o in odd)))
+                rows += len(x)
+            if rows >= 200_000:
+                yield give()
+                parts, rows = [], 0
+        if rows:
+            yield give()
+
+    return _pairs_of(members, texts).mapInArrow(run, "hub long, item long, node long, probe boolean, size long, b0 long, b1 long, b2 long, b3 long")
 
 
 def link_nodes(docs: DataFrame, profiles: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between nodes that make up all components, and components (id, component) of the linked nodes."""
-    spark = docs.sparkSession
-    found, found_at = shared.write_table(groups(signature_rows(docs, percent)), "groups")
-    votes = found.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("votes"))
-    pairs, pairs_at = shared.write_table(votes, "pairs")
+    found, _ = shared.write_table(groups(signature_rows(docs, percent)), "groups")
+    pairs, _ = shared.write_table(found.where("rank > 0").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("votes")), "pairs")
     # texts of the nodes that are in any group, one row each (or more, of equal texts under one doc_id)
     some = found.select("node").distinct()
     reps = profiles.where("node is not null").groupBy("node").agg(F.min(F.struct("text_key", "doc_id")).alias("rep")).join(some, "node").select("node", "rep.*")
     keyed = docs.select(F.xxhash64("text").alias("text_key"), "doc_id", "text").alias("d")
     texts = keyed.join(shared.small(reps).alias("r"), (F.col("d.text_key") == F.col("r.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("r.doc_id"))).select("r.node", "d.text")
-    texts, texts_at = shared.write_table(texts, "texts")
-    # the hub that shares most signatures first
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a"))
-    links, at = shared.write_table(verify(best, texts, percent), "links")
-    parts = [links]
-    tested = best.select("a", "b")
-    named, named_at = shared.write_table(shared.components(links), "components")
-    rest, _ = shared.write_table(_apart(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"), named), "rest")
-    wide, last = 0, None
-    while True:
-        new, _ = shared.write_table(verify(rest, texts, percent), "links")
-        parts.append(new)
-        tested, _ = shared.write_table(tested.unionByName(rest), "tested")
-        edges = parts[0]
-        for p in parts[1:]:
-            edges = edges.unionByName(p)
-        if new.limit(1).count():
-            named, _ = shared.write_table(shared.components(edges), "components")
-        if last is None:
-            last = found.agg(F.max("rank")).first()[0] or 0
-        if wide >= last:
-            break
-        # the next members of groups that hold several components become hubs
-        low, wide = wide, wide * 8 + 8
-        open_groups = _named(found.where("rank is not null").select("sig", "node", "rank"), named)
-        mixed = open_groups.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("rank").alias("top")).where(f"x <> y and top > {low + 1}").select("sig")
-        rows, _ = shared.write_table(open_groups.join(mixed, "sig", "left_semi"), "open")
-        if not rows.limit(1).count():
-            break
-        hubs = rows.where(f"rank > {low} and rank <= {wide}").select("sig", F.col("node").alias("a"), F.col("rank").alias("a_rank"), F.col("component").alias("a_component"))
-        met = rows.join(hubs, "sig").where("rank > a_rank and component <> a_component").select("a", F.col("node").alias("b")).distinct()
-        rest, _ = shared.write_table(met.join(tested, ["a", "b"], "left_anti"), "rest")
+    texts, _ = shared.write_table(texts, "texts")
+    # each node with the hub that shares most signatures
+    tested, _ = shared.write_table(pairs.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b"), "tested")
+    edges, _ = shared.write_table(verify(tested, texts, percent), "links")
+    named, _ = shared.write_table(shared.components(edges), "components")
+    # the other hubs, and all pairs of small groups
+    x, y = (found.where(f"n <= {SMALL_GROUP}").select("sig", F.col("node").alias(c), F.col("rank").alias(f"rank_{c}")) for c in "ab")
+    near = x.join(y, "sig").where("rank_a < rank_b").select("a", "b")
+    rest, _ = shared.write_table(_apart(pairs.select("a", "b").unionByName(near).distinct().join(tested, ["a", "b"], "left_anti"), named), "rest")
+    more, _ = shared.write_table(verify(rest, texts, percent), "links")
+    edges, tested = edges.unionByName(more), tested.unionByName(rest)
+    named, _ = shared.write_table(shared.components(edges), "components")
+    # members of large groups that are not yet one component, by what sets them apart from their hub
+    large = _named(found.where(f"n > {SMALL_GROUP}"), named)
+    mixed = large.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
+    members = large.join(mixed, "sig", "left_semi").where("rank > 0").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    items, _ = shared.write_table(differences(members, texts, percent), "differences")
+    bits = [f"b{i}" for i in range(4)]
+    index = items.where("not probe").select("hub", "item", F.col("node").alias("v"), F.col("size").alias("v_size"), *(F.col(b).alias(f"v_{b}") for b in bits))
+    probes = items.where("probe").select(F.col("hub").alias("u_hub"), F.col("item").alias("u_item"), F.col("node").alias("u"), F.col("size").alias("u_size"), *bits)
+    apart = sum(F.bit_count(F.col(b).bitwiseXOR(F.col(f"v_{b}"))) for b in bits)
+    close = (F.col("hub") == F.col("u_hub")) & (F.col("item") == F.col("u_item")) & (F.col("u") != F.col("v")) & ((100 + percent) * apart <= (100 - percent) * (F.col("u_size") + F.col("v_size")))
+    met = index.join(probes, close).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    rest, _ = shared.write_table(_apart(met.join(tested, ["a", "b"], "left_anti"), named), "rest")
+    more, _ = shared.write_table(verify(rest, texts, percent), "links")
+    edges = edges.unionByName(more)
+    named, _ = shared.write_table(shared.components(edges), "components")
     return edges, named
 
 
