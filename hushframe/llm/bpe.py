@@ -14,6 +14,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Longer words, and more characters of words than this, are not kept between batches.
-KEEP_WORD, KEEP_CHARS = 100, 4_000_000
+#: Longer words, and more characters of words and their codes or more words than this, are not kept between batches.
+KEEP_WORD, KEEP_CHARS, KEEP_WORDS = 100, 24_000_000, 200_000
+_first = itemgetter(0)
 
 
 def byte_letters() -> list[str]:
@@ -46,14 +48,19 @@ class Merger:
         self.end: str = model["end_of_word_suffix"] or ""
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        #: pair of ids: its rank and the id it becomes
-        self.ranks = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        #: pair of ids: its rank, above 20 bits that hold the id it becomes
+        self.ranks = {(self.ids[a], self.ids[b]): rank << 20 | self.ids[a + b] for rank, (a, b) in enumerate(pairs)}
         self.letters = byte_letters()
         size = 1 + max([*self.ids.values(), *self.special.values()])
         self.names = [""] * size
         for name, i in [*self.ids.items(), *self.special.items()]:
             self.names[i] = name
-        self.longest = max(map(len, self.ids))
+        #: the most letters of a token that begins with these three letters
+        self.reach: dict[str, int] = {}
+        for name in self.ids:
+            letters = len(name.removesuffix(self.end)) if self.end else len(name)
+            if letters > 2:
+                self.reach[name[:3]] = max(letters, self.reach.get(name[:3], 0))
 
     def spell(self, word: str) -> str:
         """The word's bytes as letters."""
@@ -74,15 +81,17 @@ class Merger:
         """The lowest rank first, the leftmost of a rank first, until none applies."""
         if len(symbols) > 40:
             return self._merge_long(symbols)
-        ranks = self.ranks
-        while len(symbols) > 1:
-            found = [ranks.get(pair) for pair in zip(symbols, symbols[1:])]
-            best = min((f for f in found if f), default=None)
-            if best is None:
-                break
+        get, none, out = self.ranks.get, 1 << 60, list(symbols)
+        found = [get(pair, none) for pair in zip(out, out[1:])]
+        while found and (best := min(found)) != none:
             at = found.index(best)
-            symbols = [*symbols[:at], best[1], *symbols[at + 2 :]]
-        return symbols
+            out[at : at + 2] = [new := best & 0xFFFFF]
+            del found[at]
+            if at:
+                found[at - 1] = get((out[at - 1], new), none)
+            if at < len(found):
+                found[at] = get((new, out[at + 1]), none)
+        return out
 
     def _merge_long(self, symbols: list[int]) -> list[int]:
         """As merge(), by a heap over a linked list: n log n steps."""
@@ -92,7 +101,7 @@ class Merger:
         def offer(i: int) -> None:
             j = after[i]
             if j >= 0 and (f := ranks.get((now[i], now[j]))):
-                heapq.heappush(heap, (f[0], i, now[i], now[j], f[1]))
+                heapq.heappush(heap, (f >> 20, i, now[i], now[j], f & 0xFFFFF))
 
         for i in range(n - 1):
             offer(i)
@@ -155,6 +164,7 @@ class WordCoder:
     def __init__(self, path: str):
         self.bpe = merger(path)
         self.words: dict[str, tuple[int, str, str]] = {}
+        self.kept: dict[str, list[int]] = {}
         self.chars = 0
         self.pairs = np.empty(0, np.int64)
         self.fits = np.empty(0, bool)
@@ -163,9 +173,9 @@ class WordCoder:
     def guess(self, word: str) -> list[int]:
         """Greedy longest match over the vocabulary; the match that reaches the end has the word's end."""
         bpe, s = self.bpe, self.bpe.spell(word)
-        ids, end, n, i, out = bpe.ids, bpe.end, len(s), 0, []
+        ids, end, reach, n, i, out = bpe.ids, bpe.end, bpe.reach, len(s), 0, []
         while i < n:
-            stop = min(n, i + bpe.longest)
+            stop = min(n, i + reach.get(s[i : i + 3], 2))
             if stop == n and (token := ids.get(s[i:] + end)) is not None:
                 out.append(token)
                 break
@@ -204,39 +214,51 @@ class WordCoder:
         return guesses
 
     def split(self, text: str) -> list[str]:
-        """The words, lower-cased, of a text; special tokens stay whole, as words that no pattern gives."""
+        """The words, lower-cased, of a piece of text that holds no special token."""
+        return WORD.findall(lower(unicodedata.normalize("NFC", text)))
+
+    def pieces(self, text: str) -> list[str]:
+        """What white space sets apart: no word goes over it. Special tokens stay whole, after a U+001C: no other piece has their strings."""
         out = []
-        for piece in self.cut.split(text) if "<|" in text else [text]:
-            if piece in self.bpe.special:
-                out.append("\0" + piece)
+        for part in self.cut.split(text) if "<|" in text else (text,):
+            if part in self.bpe.special:
+                out.append("\x1c" + part)
+            elif "\x1c" in part or "\x1d" in part or "\x1e" in part or "\x1f" in part:  # white space for split() only
+                out += regex.findall(r"\S+", part)
             else:
-                out += WORD.findall(lower(unicodedata.normalize("NFC", piece)))
+                out += part.split()
+        return out
+
+    def encode_pieces(self, new: list[str]) -> dict[str, tuple[int, str, str]]:
+        """For each piece: the count of ids, the ids and the tokens' names, each joined by one space."""
+        names = self.bpe.names
+        split = {p: self.split(p) for p in new if p[0] != "\x1c" or p[1:] not in self.bpe.special}
+        words = list({w for ws in split.values() for w in ws if w not in self.kept})
+        coded = dict(zip(words, self.encode_words(words)))
+        out = {}
+        for p in new:
+            ids = [i for w in split[p] for i in (self.kept.get(w) or coded[w])] if p in split else [self.bpe.special[p[1:]]]
+            out[p] = (len(ids), " ".join(map(str, ids)), " ".join(map(names.__getitem__, ids)))
+        if len(self.kept) < KEEP_WORDS:
+            self.kept.update((w, ids) for w, ids in coded.items() if len(w) <= KEEP_WORD)
         return out
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text: the count of ids, the ids and the decoded tokens, each joined by one space."""
-        if self.chars > KEEP_CHARS:
-            self.words, self.chars = {}, 0
-        split = [self.split(t) for t in texts]
-        known, names = self.words, self.bpe.names
-        new = list({w for words in split for w in words if w not in known})
+        cut = [self.pieces(t) for t in texts]
+        known = self.words
+        found = self.encode_pieces(list(set().union(*cut) - known.keys()))
         extra = {}
-        plain = [w for w in new if w[0] != "\0"]
-        coded = dict(zip(plain, self.encode_words(plain))) | {w: [self.bpe.special[w[1:]]] for w in new if w[0] == "\0" and w[1:] in self.bpe.special}
-        for w in new:
-            if w not in coded:  # a word that begins with U+0000
-                coded[w] = self.encode_words([w])[0]
-            ids = coded[w]
-            found = (len(ids), " ".join(map(str, ids)), " ".join(map(names.__getitem__, ids)))
-            if len(w) <= KEEP_WORD:
-                known[w] = found
-                self.chars += len(w) + len(found[1]) + len(found[2])
+        for p, f in found.items():
+            if len(p) <= KEEP_WORD and self.chars < KEEP_CHARS:
+                known[p] = f
+                self.chars += len(p) + len(f[1]) + len(f[2])
             else:
-                extra[w] = found
-        look = (lambda w: known[w] if w in known else extra[w]) if extra else known.__getitem__
-        for words in split:
-            found = list(map(look, words))
-            yield sum(f[0] for f in found), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
+                extra[p] = f
+        look = (lambda p: known[p] if p in known else extra[p]) if extra else known.__getitem__
+        for own in cut:
+            got = list(map(look, own))
+            yield sum(map(_first, got)), " ".join([f[1] for f in got]), " ".join([f[2] for f in got])
 
 
 @lru_cache(maxsize=2)
@@ -260,8 +282,8 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: bool =
         for batch in batches:
             rows = []
             texts = batch.fillna("").tolist()
-            for at in range(0, len(texts), 64):
-                rows += [(n, digest(i), digest(d), *((i, d) if ids else ())) for n, i, d in of.encode(texts[at : at + 64])]
+            for at in range(0, len(texts), 256):
+                rows += [(n, digest(i), digest(d), *((i, d) if ids else ())) for n, i, d in of.encode(texts[at : at + 256])]
             yield pd.DataFrame(rows, columns=[f.split(" ")[0] for f in fields.split(", ")])
 
     names = [f.split(" ")[0] for f in fields.split(", ")]
