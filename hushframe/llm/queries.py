@@ -27,6 +27,15 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), 512).drop("text")
 
 
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    rows = warc.resolve(warc.page_records(pages))
+    merged = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return rows.select(F.expr("(id - 1) div 2").alias("page_id"), "url", F.expr("base div 2").alias("base_page"), "validator", "resolved", merged.alias("headers"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import jaccard
 
@@ -67,6 +76,12 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(_table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html
+
+    return html.extract(_table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -75,4 +90,32 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_warc_revisits": r"""
+WITH parts AS (
+  SELECT page_id AS page, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.\-]*://', '') AS plain, sha1(coalesce(html, '')) AS digest FROM pages
+), canon AS (
+  SELECT page, digest,
+    regexp_replace(regexp_replace(lower(regexp_extract(plain, '^(?:[^/?@]*@)?([^/?]*)', 1)), '(^(?:www|m)\.)|(:(?:80|443)$)', ''), ':(?:80|443)$', '') AS host,
+    regexp_replace(regexp_extract(plain, '^[^/?]*([^?]*)', 1), '(?:\.html?|/)+$', '') AS path,
+    list_filter(string_split(regexp_extract(plain, '\?(.*)$', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '^(?:utm_[a-z]+|ref|fbclid|gclid)(?:=|$)')) AS kept
+  FROM parts
+), named AS (
+  SELECT page, digest, host || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(list_sort(kept), '&') ELSE '' END AS url,
+    CASE WHEN page % 5 <> 0 THEN '"' || substr(digest, 1, 16) || '"' END AS etag
+  FROM canon
+), asked AS (
+  SELECT r.page, r.url, r.page + 1000 AS at, CASE WHEN r.page % 5 <> 0 THEN CASE WHEN r.page % 7 = 0 THEN '"changed"' ELSE r.etag END END AS etag FROM named r
+), met AS (
+  SELECT r.page, r.url, b.page AS base, r.etag, b.etag AS b_etag FROM asked r ASOF LEFT JOIN named b ON r.url = b.url AND r.at > b.page
+), judged AS (
+  SELECT page, url, base, CASE WHEN etag IS NOT NULL AND b_etag IS NOT NULL THEN 'etag' WHEN base IS NOT NULL THEN 'last-modified' ELSE 'none' END AS validator,
+    coalesce(CASE WHEN etag IS NOT NULL AND b_etag IS NOT NULL THEN etag = b_etag ELSE base = page END, false) AS resolved
+  FROM met
+)
+SELECT page AS page_id, url, base AS base_page, validator, resolved,
+  CASE WHEN resolved THEN 'cache-control=max-age=60;content-type=text/html;date=' || (page + 1000) || ';expires=' || (page + 2000)
+       ELSE 'date=' || (page + 1000) || ';expires=' || (page + 2000) || ';server=unit' END AS headers
+FROM judged
+""",
+}
