@@ -366,3 +366,28 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     by_node = nodes.join(smallest, "component").where("component_id is not null").select(F.col("node").alias("__node"), "component_id")
     out = profiles.join(by_node, F.col("node") == F.col("__node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that stay if one document of each component does, the one with the smallest doc_id; docs' own columns.
+
+    Documents without words stay. Of repeated rows, equal in doc_id and text, one stays. A row with a null doc_id stays
+    only where its component has no other doc_id.
+    """
+    names = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
+    own = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    doc, body = names[doc_id], names[text]
+    rows = own.select(F.col(doc).alias("doc_id"), F.col(body).alias("text"))
+    profiles, _ = shared.write_table(profile(rows), "profiles")
+    _, named = link_nodes(rows, profiles, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    kinds = profiles.where("node is not null").groupBy("node").agg(F.min(order).alias("first"))
+    best = _named(kinds, named).groupBy("component").agg(F.min("first").alias("best")).select("best.doc_id", "best.text_key")
+    blank = profiles.where("node is null").select("doc_id", "text_key")
+    kept, _ = shared.write_table(best.unionByName(blank).distinct(), "kept")
+    again, _ = shared.write_table(profiles.where("node is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
+    same = F.col(doc).eqNullSafe(F.col("doc_id")) & (F.xxhash64(body) == F.col("text_key"))
+    stay = own.join(shared.small(kept), same, "left_semi")
+    once = stay.join(shared.small(again), same, "left_anti")
+    twice = stay.join(shared.small(again), same, "left_semi").dropDuplicates([doc, body])
+    return once.unionByName(twice).select(*(F.col(n).alias(c) for c, n in names.items()))
