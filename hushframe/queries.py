@@ -214,7 +214,7 @@ SQL: dict[str, str] = {
     "text_cards": f"WITH t AS (SELECT c_custkey, lpad(c_custkey::varchar, 15, '4') || (c_custkey % 10) AS n FROM customer) SELECT c_custkey, 'paid with ' || CASE WHEN {_LUHN.format(c='n')} THEN repeat('*', 12) || right(n, 4) ELSE n END || ' ok' AS v FROM t",
     "text_secrets": f"SELECT o_orderkey, 'call Bearer {R} then {R} and {R} at https://{R}@host key {R} end' AS v FROM orders",
     "text_pem": f"SELECT s_suppkey, 'a -----BEGIN RSA PRIVATE KEY-----{R}-----END RSA PRIVATE KEY----- b' AS v FROM supplier",
-    "detection_counts": "SELECT 'pair' AS kind, lang, count(*) AS n FROM documents WHERE text LIKE '%token = %' GROUP BY ROLLUP (lang) UNION ALL SELECT NULL, NULL, count(*) FROM documents WHERE text LIKE '%token = %'",
+    "detection_counts": "SELECT * FROM (SELECT 'pair' AS kind, lang, count(*) AS n FROM documents WHERE text LIKE '%token = %' GROUP BY ROLLUP (lang) UNION ALL SELECT NULL, NULL, count(*) FROM documents WHERE text LIKE '%token = %') WHERE n > 0",
     "headers_map": f"SELECT c_custkey, k, CASE k WHEN 'Set-Cookie' THEN '{R}' WHEN 'Authorization' THEN '{R}|{R}' WHEN 'Accept' THEN 'password={R}' || CASE WHEN c_name LIKE '% %' THEN substr(c_name, instr(c_name, ' ')) ELSE '' END ELSE c_mktsegment END AS v FROM customer CROSS JOIN (VALUES ('Set-Cookie'), ('Authorization'), ('Accept'), ('Host')) t(k)",
     "log_lines": f"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN '{{"message":"{R}"}}' ELSE '{{"level":"info","msg":"' || event_type || '","password":"{R}","tokenCauses":"{R}"}}' END AS value FROM events""",
     "log_records": f"SELECT event_id, 'info' AS level, event_type AS msg, {_id('user_id::varchar')} AS who_user_id, event_type AS who_kind, '{R}' AS credentials_a FROM events",
