@@ -37,7 +37,8 @@ def _placed(rows: DataFrame, group: list[str], bucket: str, order: list, name: s
 def interleave(docs: DataFrame, shards: int = 40, seed: int = 0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """A row for each row of docs: doc_id, source, size, text_crc32, shard and slot (from 0, without gaps in a shard).
 
-    Shards' row counts differ by one at most, and each source's count in a shard by two at most from its share.
+    Shards' row counts differ by one at most, and each source's count in a shard from its share by one and the source's part of
+    all rows times the number of sources at most, as places are shared by sources of equal fractional rank.
     A null source is a source of its own; a null text counts as empty; an empty table gives an empty table.
     Equal rows are interchangeable. Only the columns named are read.
     """

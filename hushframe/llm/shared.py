@@ -65,7 +65,7 @@ def grams(tokens: Column, k: int, seed: int = 0) -> Column:
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of links (a, b): rows (id, component), component the smallest id reachable.
+    """Connected components of links (a, b): rows (id, component) of all ids but each component's smallest, which is its name.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014). Each round shuffles the links once
     for each star; a hub's links are aggregated by min() before the shuffle and never gathered in one task.
