@@ -66,6 +66,24 @@ def spans(cards: bool = False, aws: bool = False) -> dict[str, str]:
     return SPANS | ({"aws_key_id": AWS} if aws else {}) | ({"card": CARD} if cards else {})
 
 
+#: Strings of which a text with such a span holds one at least; Bearer and Basic in lower case.
+HINTS = {
+    "pem": ["-----BEGIN "], "bearer": ["bearer", "basic"], "jwt": ["eyJ"], "provider_token": [p for names, _, _ in PROVIDERS for p in names],
+    "url_userinfo": ["://"], "aws_key_id": ["AKIA", "ASIA", "ABIA", "ACCA"],
+}
+
+
+def _hinted(text: Column, name: str) -> Column:
+    """Whether a text may hold a span: a plain search, far cheaper than the pattern."""
+    if name not in HINTS:
+        return F.lit(True)
+    where = F.lower(text) if name == "bearer" else text
+    out = where.contains(HINTS[name][0])
+    for hint in HINTS[name][1:]:
+        out = out | where.contains(hint)
+    return out
+
+
 def quoted(marker: str) -> str:
     """A marker as replacement text."""
     return marker.replace("\\", "\\\\").replace("$", "\\$")
@@ -135,12 +153,16 @@ def mask_text(text: Column, keys: dict[str, rules.Rule], marker: str, cards: boo
             out = F.when(out.rlike(p), joined).otherwise(out)
         else:
             out = F.regexp_replace(out, p, "$1" + quoted(marker))
-    return out
+    maybe = text.contains("=") | text.contains(":")
+    for name in spans(cards, aws):
+        maybe = maybe | _hinted(text, name)
+    return F.when(maybe, out).otherwise(text)
 
 
 # ---- row by row -------------------------------------------------------------------------------------------------------
 
 _PAIR = re.compile(pair_pattern(), re.ASCII)
+_MAYBE = re.compile("[=:]|(?i:bearer|basic)|[0-9](?:[ -]?[0-9]){12}|" + "|".join(re.escape(h) for n, hints in HINTS.items() if n != "bearer" for h in hints))
 _SPANS = {n: re.compile(p, re.ASCII) for n, p in (SPANS | {"aws_key_id": AWS, "card": CARD}).items()}
 
 
@@ -151,8 +173,10 @@ def luhn(digits: str) -> bool:
 
 def mask_text_row(text: str, decide: Callable[[str, str], str | None], marker: str, cards: bool = False, aws: bool = False) -> str:
     """text with spans masked, and values for whose key and value decide() gives a text; of overlapping edits the outermost counts."""
+    if not _MAYBE.search(text):
+        return text
     edits = []
-    at = 0
+    at = 0 if "=" in text or ":" in text else len(text)
     while m := _PAIR.search(text, at):
         begin = m.start(4) + (text[m.start(4)] in "\"'")
         out = decide(m[2] or m[3], text[begin : m.end()])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ class Decision:
 NO_OPINION, OMIT = Decision(), Decision(omit=True)
 
 
+@lru_cache(maxsize=4096)
 def fold(key: str) -> str:
     """A key without `_`, `-` and `.`, each letter folded by itself (the Kelvin and long s signs are k and s; ß stays)."""
 
