@@ -167,10 +167,14 @@ def signature_rows(docs: DataFrame, percent: int) -> DataFrame:
     hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = vectext.Seen()
         for batch in batches:
             for _, found, at in _batches(batch.column(0)):
-                sig, owner = signatures(found, at, percent, hot.value)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(signed(_node(found, at)[owner]))], ["sig", "node"])
+                node = _node(found, at)
+                fresh, sizes = seen.fresh(node), np.diff(at)
+                own, own_at = found[np.repeat(fresh, sizes)], np.append(0, np.cumsum(sizes[fresh]))
+                sig, owner = signatures(own, own_at, percent, hot.value)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(signed(node[fresh][owner]))], ["sig", "node"])
 
     return docs.select("text").mapInArrow(run, "sig long, node long")
 
@@ -205,7 +209,7 @@ def groups(rows: DataFrame) -> DataFrame:
     Nodes that share most signatures come first: a text comes before its altered copies, which differ more from each other.
     """
     met = rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_runs, "sig long, node long")
-    met, _ = shared.write_table(met, "met")
+    met, _ = shared.write_table(met, "met")  # read twice
     degree = met.groupBy("node").agg(F.count("*").alias("degree"))
     by = Window.partitionBy("sig").orderBy(F.desc("degree"), "node")
     return met.join(shared.small(degree), "node").select("sig", "node", F.first("node").over(by).alias("hub"), (F.row_number().over(by) - 1).alias("rank"), F.count("*").over(Window.partitionBy("sig")).alias("n"))
@@ -299,43 +303,50 @@ def differences(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     return _pairs_of(members, texts).mapInArrow(run, "hub long, item long, node long, probe boolean, size long, b0 long, b1 long, b2 long, b3 long")
 
 
-def link_nodes(docs: DataFrame, profiles: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between nodes that make up all components, and components (id, component) of the linked nodes."""
-    found, _ = shared.write_table(groups(signature_rows(docs, percent)), "groups")
-    pairs, _ = shared.write_table(found.where("rank > 0").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("votes")), "pairs")
+def link_nodes(docs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """Components (id, component) of the linked nodes; a component's smallest node is its name and not listed."""
+    scratch = []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        df, at = shared.write_table(df, label)
+        scratch.append(at)
+        return df
+
+    found = keep(groups(signature_rows(docs, percent)), "groups")
+    pairs = keep(found.where("rank > 0").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("votes")), "pairs")
     # texts of the nodes that are in any group, one row each (or more, of equal texts under one doc_id)
     some = found.select("node").distinct()
     reps = profiles.where("node is not null").groupBy("node").agg(F.min(F.struct("text_key", "doc_id")).alias("rep")).join(some, "node").select("node", "rep.*")
     keyed = docs.select(F.xxhash64("text").alias("text_key"), "doc_id", "text").alias("d")
     texts = keyed.join(shared.small(reps).alias("r"), (F.col("d.text_key") == F.col("r.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("r.doc_id"))).select("r.node", "d.text")
-    texts, _ = shared.write_table(texts, "texts")
+    texts = keep(texts, "texts")
     # each node with the hub that shares most signatures
-    tested, _ = shared.write_table(pairs.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b"), "tested")
-    edges, _ = shared.write_table(verify(tested, texts, percent), "links")
-    named, _ = shared.write_table(shared.components(edges), "components")
+    tested = keep(pairs.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b"), "tested")
+    edges = keep(verify(tested, texts, percent), "links")
+    named = keep(shared.components(edges), "components")
     # the other hubs, and all pairs of small groups
     x, y = (found.where(f"n <= {SMALL_GROUP}").select("sig", F.col("node").alias(c), F.col("rank").alias(f"rank_{c}")) for c in "ab")
     near = x.join(y, "sig").where("rank_a < rank_b").select("a", "b")
-    rest, _ = shared.write_table(_apart(pairs.select("a", "b").unionByName(near).distinct().join(tested, ["a", "b"], "left_anti"), named), "rest")
-    more, _ = shared.write_table(verify(rest, texts, percent), "links")
+    rest = keep(_apart(pairs.select("a", "b").unionByName(near).distinct().join(tested, ["a", "b"], "left_anti"), named), "rest")
+    more = keep(verify(rest, texts, percent), "links")
     edges, tested = edges.unionByName(more), tested.unionByName(rest)
-    named, _ = shared.write_table(shared.components(edges), "components")
+    named = keep(shared.components(edges), "components")
     # members of large groups that are not yet one component, by what sets them apart from their hub
     large = _named(found.where(f"n > {SMALL_GROUP}"), named)
     mixed = large.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
     members = large.join(mixed, "sig", "left_semi").where("rank > 0").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    items, _ = shared.write_table(differences(members, texts, percent), "differences")
+    items = keep(differences(members, texts, percent), "differences")
     bits = [f"b{i}" for i in range(4)]
     index = items.where("not probe").select("hub", "item", F.col("node").alias("v"), F.col("size").alias("v_size"), *(F.col(b).alias(f"v_{b}") for b in bits))
     probes = items.where("probe").select(F.col("hub").alias("u_hub"), F.col("item").alias("u_item"), F.col("node").alias("u"), F.col("size").alias("u_size"), *bits)
     apart = sum(F.bit_count(F.col(b).bitwiseXOR(F.col(f"v_{b}"))) for b in bits)
     close = (F.col("hub") == F.col("u_hub")) & (F.col("item") == F.col("u_item")) & (F.col("u") != F.col("v")) & ((100 + percent) * apart <= (100 - percent) * (F.col("u_size") + F.col("v_size")))
     met = index.join(probes, close).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    rest, _ = shared.write_table(_apart(met.join(tested, ["a", "b"], "left_anti"), named), "rest")
-    more, _ = shared.write_table(verify(rest, texts, percent), "links")
-    edges = edges.unionByName(more)
-    named, _ = shared.write_table(shared.components(edges), "components")
-    return edges, named
+    rest = keep(_apart(met.join(tested, ["a", "b"], "left_anti"), named), "rest")
+    more = keep(verify(rest, texts, percent), "links")
+    named, _ = shared.write_table(shared.components(edges.unionByName(more)), "components")
+    shared.drop_tables(docs.sparkSession, *scratch)
+    return named
 
 
 def _named(rows: DataFrame, named: DataFrame, node: str = "node") -> DataFrame:
@@ -360,7 +371,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     profiles, _ = shared.write_table(profile(rows), "profiles")
-    _, named = link_nodes(rows, profiles, percent)
+    named = link_nodes(rows, profiles, percent)
     nodes = _named(profiles.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")), named)
     smallest = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     by_node = nodes.join(smallest, "component").where("component_id is not null").select(F.col("node").alias("__node"), "component_id")
@@ -379,7 +390,7 @@ def keep_one(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: s
     doc, body = names[doc_id], names[text]
     rows = own.select(F.col(doc).alias("doc_id"), F.col(body).alias("text"))
     profiles, _ = shared.write_table(profile(rows), "profiles")
-    _, named = link_nodes(rows, profiles, percent)
+    named = link_nodes(rows, profiles, percent)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     kinds = profiles.where("node is not null").groupBy("node").agg(F.min(order).alias("first"))
     best = _named(kinds, named).groupBy("component").agg(F.min("first").alias("best")).select("best.doc_id", "best.text_key")

@@ -109,7 +109,7 @@ def host_verdicts(measured: DataFrame, host: str, rules: HostRules) -> DataFrame
     return out.withColumn("verdict", F.when(F.col("rate_base") >= rules.blocked_rate, "blocked").when(watched, "watched").otherwise("fine"))
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", rules: HostRules = HostRules(), label: str = "measured") -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", host: str = "source", rules: HostRules = HostRules()) -> DataFrame:
     """docs with the measures, base_failed, host_verdict and kept; one row for each row of docs.
 
     kept: not base_failed, the host not blocked, and on a watched host no rule failed at all. A null host has the
@@ -117,7 +117,12 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", rules: Host
     count, and are judged, one by one. The measured rows are written once, so texts are measured once.
     """
     added = ("base_failed", "host_verdict", "kept")
-    measured, _ = shared.write_table(measure(docs.drop(*added), text), label)
+    measured, _ = shared.write_table(measure(docs.drop(*added), text), "measured")
+    return _judged(measured, host, rules)
+
+
+def _judged(measured: DataFrame, host: str, rules: HostRules) -> DataFrame:
+    """The measured rows with base_failed, host_verdict and kept."""
     named = rule_columns(rules)
     verdicts = host_verdicts(measured, host, rules).select(F.col("host").alias("__host"), F.col("verdict").alias("host_verdict"))
     base = named["fails_short"] | named["fails_repeats"]
@@ -129,8 +134,17 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", rules: Host
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", rules: HostRules = HostRules()) -> DataFrame:
-    """The rows of docs that judge() keeps, with docs' own columns."""
+    """The rows of docs that judge() keeps, with docs' own columns.
+
+    Rows of equal text and host have equal verdicts, so counts are written without texts, and what is rejected is taken out
+    by a 128-bit key of the text and the host.
+    """
     names = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
     own = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
-    kept = judge(own, names[text], names[host], rules, "documents").where("kept")
-    return kept.select(*(F.col(n).alias(c) for c, n in names.items()))
+    whole = F.coalesce(F.col(names[text]), F.lit(""))
+    k1, k2 = F.xxhash64(whole), F.xxhash64(F.lit("key"), whole)
+    measured = measure(own.select(k1.alias("__k1"), k2.alias("__k2"), F.col(names[host]).alias("__from"), F.col(names[text]).alias("__text")), "__text").drop("__text")
+    measured, _ = shared.write_table(measured, "measured")
+    rejected, _ = shared.write_table(_judged(measured, "__from", rules).where(~F.col("kept")).select("__k1", "__k2", "__from").distinct(), "rejected")
+    same = (k1 == F.col("__k1")) & (k2 == F.col("__k2")) & F.col(names[host]).eqNullSafe(F.col("__from"))
+    return own.join(shared.small(rejected), same, "left_anti").select(*(F.col(n).alias(c) for c, n in names.items()))

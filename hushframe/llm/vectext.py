@@ -157,3 +157,20 @@ def totals(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(U, copy=False).view(np.int64)
+
+
+class Seen:
+    """Tells names that a task has not met yet, so that copies count once in each task; its memory is bounded, so some may count again."""
+
+    def __init__(self, limit: int = 1_000_000):
+        self.names: set[int] = set()
+        self.limit = limit
+
+    def fresh(self, names: np.ndarray) -> np.ndarray:
+        if len(self.names) > self.limit:
+            self.names.clear()
+        out = np.empty(len(names), bool)
+        for i, name in enumerate(names.tolist()):
+            out[i] = name not in self.names
+            self.names.add(name)
+        return out
