@@ -227,7 +227,7 @@ def _both_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np
     for batch in batches:
         size, done = batch.num_rows, 0
         left, right = batch.column(2), batch.column(3)
-        step = max(1, min(size, int((16 << 20) * size // max(1, left.nbytes + right.nbytes))))
+        step = max(1, min(size, int((4 << 20) * size // max(1, left.nbytes + right.nbytes))))
         while done < size:
             m = min(step, size - done)
             a, b = (batch.column(i).slice(done, m).to_numpy(zero_copy_only=False) for i in (0, 1))

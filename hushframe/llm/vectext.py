@@ -134,7 +134,7 @@ def sets(found: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return h[fresh], to
 
 
-def slices(texts: pa.Array, size: int = 8 << 20) -> list[pa.Array]:
+def slices(texts: pa.Array, size: int = 2 << 20) -> list[pa.Array]:
     """texts in parts of about so many bytes each."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
