@@ -248,6 +248,25 @@ def test_passages(spark):
     assert passages.repeated(docs.limit(0)).count() == 0 and passages.cut_repeats(docs.limit(0)).count() == 0
 
 
+def test_passages_with_moved_words(spark):
+    # an inserted or deleted word at every place of a passage moves the shingles behind it
+    rng, texts = random.Random(5), []
+    fresh = lambda n: H.prose(rng, n, 10**7)
+    for n in (50, 55, 60, 70, 80):
+        for k in range(n):
+            for insert in (True, False):
+                w = fresh(n).split(" ")
+                v = w[:k] + [fresh(1), *w[k:]] if insert else w[:k] + w[k + 1 :]
+                texts += [f"{fresh(60)} {' '.join(w)} {fresh(60)}", f"{fresh(40)} {' '.join(v)} {fresh(50)}"]
+    p = passages.Passages()
+    docs = table(spark, texts)
+    ids = {r.node: r.doc_id for r in passages.nodes(docs.select("doc_id", "text")).collect()}
+    met = {frozenset((ids[r.a], ids[r.b])) for r in passages.candidates(docs, p).collect()}
+    assert sum(frozenset((i, i + 1)) in met for i in range(0, len(texts), 2)) >= 0.99 * len(texts) / 2
+    found = {frozenset((r.doc_id, r.copy_of)) for r in passages.repeated(docs).collect()}
+    assert found <= met and all(min(x) % 2 == 0 and max(x) == min(x) + 1 for x in found)
+
+
 # ---- 6 shards
 
 
