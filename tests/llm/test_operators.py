@@ -267,6 +267,44 @@ def test_passages_with_moved_words(spark):
     assert found <= met and all(min(x) % 2 == 0 and max(x) == min(x) + 1 for x in found)
 
 
+def filled(rng, slots, places, copies=2, n=100):
+    """Documents with one 60-word passage whose slots are filled differently, each filling in so many documents."""
+    base, out = H.prose(rng, 60, 10**7).split(" "), []
+    for _ in range(n):
+        w = list(base)
+        for k in places[:slots]:
+            w[k] = H.prose(rng, 1, 10**7)
+        out += [f"{H.prose(rng, 30, 10**7)} {' '.join(w)} {H.prose(rng, 30, 10**7)}" for _ in range(copies)]
+    return out
+
+
+def test_passages_in_crowded_groups(spark):
+    rng = random.Random(6)
+    texts = [t for seed in range(12) for t in filled(random.Random(100 + seed), 2 + seed % 2, (23, 28, 33))]
+    rng.shuffle(texts)
+    docs = table(spark, texts)
+    found = passages.repeated(docs).collect()
+    assert windows50(dict(enumerate(texts))) == set(range(len(texts)))
+    assert {r.doc_id for r in found} | {r.copy_of for r in found} == set(range(len(texts)))
+    left = {r.doc_id: r.text for r in passages.cut_repeats(docs).collect()}
+    assert not windows50(left)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+def test_crowded_groups_in_batches(size):
+    rng = np.random.default_rng(3)
+    rows = sorted({(int(s), int(n), 70 * int(n)) for s, n in zip(rng.integers(0, 12, 90), rng.integers(0, 30, 90))})
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + size])], ["sig", "node", "place"]) for i in range(0, len(rows), size)]
+    got = {tuple(r.values()) for b in passages._meet(iter(batches)) for r in b.to_pylist()}
+    want, groups = set(), defaultdict(list)
+    for s, n, _ in rows:
+        groups[s].append(n)
+    for g in groups.values():
+        want |= {(a, b, 0) for i, b in enumerate(g) for a in {g[0], *g[max(0, i - 3) : i]} - {b}}
+        want |= {(n, n, 70 * n // 64) for n in g if len(g) > 5}
+    assert got == want and any(a == b for a, b, _ in got)
+
+
 # ---- 6 shards
 
 
