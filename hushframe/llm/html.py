@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes plaintext".split())
 HIDDEN = set("head script style template noscript iframe object svg math audio video canvas datalist title noembed noframes".split())
+# Elements that may stand in <head>; any other one, or text, ends it.
+HEAD = set("base basefont bgsound link meta title style script template noscript noframes head".split())
 # Elements that stand on lines of their own, and those of them with an empty line around them.
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl pre table figure".split())
@@ -65,13 +67,18 @@ def parse(page: str) -> Node:
             if open_[i].name in bounds:
                 return
 
+    def put(text: str) -> None:
+        if open_[-1].name == "head" and _SPACE.sub("", text):
+            open_.pop()
+        open_[-1].children.append(text)
+
     while at < n:
         m = _MARKUP.search(page, at)
         if m is None:
-            open_[-1].children.append(unescape(page[at:]))
+            put(unescape(page[at:]))
             break
         if m.start() > at:
-            open_[-1].children.append(unescape(page[at : m.start()]))
+            put(unescape(page[at : m.start()]))
         at = m.end()
         if not m[2]:
             continue
@@ -93,6 +100,8 @@ def parse(page: str) -> Node:
             close(*ENDS[name])
         if name == "html":
             continue
+        if open_[-1].name == "head" and name not in HEAD:
+            open_.pop()
         own = _attributes(m[3]) if m[3] and not m[3].isspace() else {}
         hidden = name in HIDDEN or "hidden" in own or own.get("aria-hidden", "").lower() == "true" or ("style" in own and _NONE.search(own["style"]) is not None) or (name == "input" and own.get("type", "").lower() == "hidden")
         node = Node(name, not hidden, int(own["start"]) if name == "ol" and own.get("start", "").lstrip("-").isdigit() else 1)

@@ -406,6 +406,20 @@ def test_html(page, want):
     assert html.visible_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<html><head><title>t</title><p>all text", "all text"),
+        ("<head><title>t</title><meta charset=u><style>p{}</style>\n some <b>text</b><div>more</div>", "some text\nmore"),
+        ("<head><link href=x><div>one</div>", "one"),
+        ("<!doctype html><head> \n <script>x()</script></head><p>a</p>", "a"),
+        ("<head><noscript><p>no</p></noscript><title>t</title><body>yes", "yes"),
+    ],
+)
+def test_html_head_left_open(page, want):
+    assert html.visible_text(page) == want
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "<p>a<p>b", "x"), (2, None, "y"), (2, None, "y")], "page_id long, html string, text string")
     assert sorted((r.page_id, r.text, r.n_lines) for r in html.extract(pages).collect()) == [(1, "a\n\nb", 3), (2, "", 0), (2, "", 0)]
