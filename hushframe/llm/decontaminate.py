@@ -3,8 +3,9 @@
 A window can reach a similarity above 0 only where it shares a shingle with an item, so windows are laid at each place
 where a document has any shingle of the benchmark, shifted as in the item and as long as that item. Every such window
 gets a SimHash of its shingles; windows and items of one length whose fingerprints differ in at most RADIUS of 64 bits share
-one of RADIUS + 1 blocks of bits exactly, so a join on blocks finds all of them. An exact weighted Jaccard similarity of the
-shingles then decides. At the threshold, 0.8, fingerprints differ in 9.7 bits on average with a deviation of 2.9.
+one of RADIUS + 1 blocks of bits exactly, so a join on blocks finds all of them. Fingerprints count shingles, not their weights, so
+windows that are similar by weight may differ in more bits: those are found by the items' heaviest shingles, one of which each
+of them has. An exact weighted Jaccard similarity of the shingles then decides.
 
 Equal texts are searched once: results are held by a 128-bit key of the text and joined back to the rows.
 """
@@ -93,6 +94,22 @@ def windows(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     return out.groupBy("k1", "k2", "start", "n_words", "gram").agg(F.first("window").alias("window"))
 
 
+def distant(found: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """Pairs of windows and items that can be similar enough though their fingerprints differ in more than RADIUS bits.
+
+    An item's shingles, rarest first, end in ones that weigh less together than the threshold asks of what is shared: a window
+    that is similar enough has one of those before.
+    """
+    whole = "aggregate(__r, 0D, (a, x) -> a + x.m)"
+    rest = "aggregate(slice(__r, i + 1, size(__r)), 0D, (a, y) -> a + y.m)"
+    ranked = items.withColumn("__i", F.xxhash64("item_id", "grams")).withColumn("__r", F.expr("array_sort(transform(uniq, (g, i) -> named_struct('w', -weights[i], 'g', g, 'm', counts[i] * weights[i])))"))
+    first = ranked.select("__i", "n_words", "gram", F.explode(F.expr(f"transform(filter(__r, (x, i) -> {rest} >= {percent / 100 - 1e-9}D * {whole}), x -> x.g)")).alias("g"))
+    place = ["k1", "k2", "start", "n_words", "gram"]
+    near = found.select(*place, F.explode(F.array_distinct("window")).alias("g")).join(shared.small(first), ["n_words", "gram", "g"]).select(*place, "__i").distinct()
+    own = ranked.select("__i", "item_id", "uniq", "counts", "weights", "outside", F.col("print").alias("item_print"))
+    return near.join(found, place).join(shared.small(own), "__i").where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) > RADIUS)
+
+
 def search(docs: DataFrame, items: DataFrame, percent: int = 80, text: str = "text") -> DataFrame:
     """Rows (k1, k2, item_id, start_word, n_words, similarity): the best place of each item in each text that has it."""
     found, _ = shared.write_table(with_print(windows(docs, items, text), "window"), "windows")
@@ -106,6 +123,8 @@ def search(docs: DataFrame, items: DataFrame, percent: int = 80, text: str = "te
     differs = F.expr(f"(__x | shiftrightunsigned(__x, 1) | shiftrightunsigned(__x, 2) | shiftrightunsigned(__x, 3)) & {ones}L")
     before = F.expr(f"shiftleft(1L, {BLOCK} * block) - 1")
     pairs = pairs.withColumn("__d", differs).where((F.col("block") == 0) | (F.col("__d").bitwiseAND(before) == F.lit(ones).bitwiseAND(before)))
+    both = ["k1", "k2", "start", "n_words", "window", "item_id", "uniq", "counts", "weights", "outside"]
+    pairs = pairs.select(*both).unionByName(distant(found, items, percent).select(*both))
     times = "size(filter(window, x -> x = g))"
     pairs = pairs.withColumn("__have", F.expr(f"transform(uniq, g -> {times})")).withColumn("__other", F.expr("size(filter(window, x -> not array_contains(uniq, x)))"))
     shared_weight = F.expr("aggregate(zip_with(zip_with(__have, counts, (h, c) -> least(h, c)), weights, (m, w) -> m * w), 0D, (a, x) -> a + x)")

@@ -352,6 +352,19 @@ def test_decontamination(spark, few, monkeypatch):
     assert decontaminate.contaminated(table_.limit(0), bench).count() == 0 and decontaminate.drop_contaminated(table_, bench.limit(0)).count() == len(docs)
 
 
+def test_decontamination_with_a_shared_prompt(spark):
+    # shingles of a prompt that all items begin with weigh little, but count in fingerprints as much as others
+    rng = random.Random(8)
+    prompt = H.prose(rng, 24, 10**7)
+    own = [H.prose(rng, 36, 10**7) for _ in range(40)]
+    items = {f"i{k}": f"{prompt} {o}" for k, o in enumerate(own)}
+    tail = " ".join(prompt.split(" ")[-4:])
+    docs = [f"{tail} {o}" for o in own] + [H.edited(rng, f"{tail} {o}", 1) for o in own] + [f"{prompt} {H.prose(rng, 36, 10**7)}" for _ in range(5)]
+    want = H.weighted_hits(dict(enumerate(docs)), items)
+    got = decontaminate.contaminated(table(spark, docs), spark.createDataFrame(list(items.items()), "item_id string, text string")).collect()
+    assert len(want) >= 40 and {(r.doc_id, r.item_id) for r in got} == set(want)
+
+
 # ---- 9 licenses
 
 
