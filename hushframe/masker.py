@@ -84,18 +84,32 @@ class Masker:
     def mask_headers(self, headers: Column) -> Column:
         """map<string, array<string>> of HTTP headers: cookies and what the policy names become markers, other values are text.
 
-        A header whose values are all left out is dropped. Header decisions are full whatever the rule. A key that is NULL or
+        A header whose values are all left out, or that the policy leaves out, is dropped. Header decisions are full whatever the rule. A key that is NULL or
         values that are NULL count as empty.
         """
         from .policy import fold_column
 
         c = self.config
-        keys = list(self.policy.keys or {})
+        if self.policy.keys is None:
+            return self._headers(headers)
+        keys = list(self.policy.keys)
         known = lambda k: F.lower(k).isin("cookie", "set-cookie") | (fold_column(k).isin(keys) if keys else F.lit(False))
-        text = lambda v: detect.mask_text(v, self.policy.keys or {}, c.redaction, c.cards, c.aws_key_ids) if c.text_detectors else v
+        text = lambda v: detect.mask_text(v, self.policy.keys, c.redaction, c.cards, c.aws_key_ids) if c.text_detectors else v
         masked = F.transform_values(headers, lambda k, vs: F.transform(vs, lambda v: F.when(known(k), F.lit(c.redaction)).otherwise(text(v))))
         return F.map_filter(masked, lambda _, vs: F.size(vs) > 0)
 
+    def _headers(self, headers: Column) -> Column:
+        """mask_headers() under a policy that is a function: a whole map goes to Python at once."""
+        policy, config = self.policy, self.config
+
+        @F.udf("map<string,array<string>>")
+        def run(members):
+            return None if members is None else documents.headers(policy, config, members)
+
+        # values that are no UTF-8 never reach Python
+        safe = F.transform_values(headers, lambda _, vs: F.transform(vs, lambda v: F.when(F.is_valid_utf8(v), v).when(v.isNotNull(), F.lit(config.redaction))))
+        return run(safe)
+
     def mask_to_json(self, value: Column) -> Column:
         """A struct masked and written as JSON text with sorted keys."""
         return self.mask_json(F.to_json(value, {"ignoreNullFields": "false"}))["value"]

@@ -45,9 +45,9 @@ def _attribute(masker, value: Column, dtype: T.DataType, where: Field, inside: b
     if found.rule:
         return plan.apply(found.rule, value, dtype)
     if isinstance(dtype, T.StringType):
-        return plan.string(value, nested=inside)
+        return plan.string(value)
     if isinstance(dtype, (T.ArrayType, T.MapType, T.BinaryType)):
-        return plan.open(value, dtype, where, {}, 0)
+        return plan.open(value, dtype, where, {}, 0, False)
     if masker.config.cards and isinstance(dtype, (T.LongType, T.DecimalType)):  # a number may be a card's
         shown = masker.mask_text(value.cast("string"))
         return F.when(value.isNotNull(), shown)

@@ -55,8 +55,8 @@ class Rewriter:
             return Decision(self.tags[tag])
         return self.m.policy.decide(where)
 
-    def column(self, value: Column, dtype: T.DataType, where: Field, metadata: dict, depth: int = 0) -> Column | None:
-        """The rewritten column; None where it is left out."""
+    def column(self, value: Column, dtype: T.DataType, where: Field, metadata: dict, depth: int = 0, inner: bool = False) -> Column | None:
+        """The rewritten column; None where it is left out. inner: it lies in an array or a map."""
         if depth > self.c.max_depth:
             raise MaskError(ErrorCode.DEPTH_LIMIT, where.path)
         where = replace(where, kind=kind_of(dtype))
@@ -65,7 +65,7 @@ class Rewriter:
             return None
         if found.rule:
             return self.apply(found.rule, value, dtype)
-        return self.open(value, dtype, where, metadata, depth)
+        return self.open(value, dtype, where, metadata, depth, inner)
 
     def apply(self, rule: rules.Rule, value: Column, dtype: T.DataType) -> Column:
         if rule.full or kind_of(dtype) in (Kind.OBJECT, Kind.ARRAY) or isinstance(dtype, T.BinaryType):
@@ -78,20 +78,20 @@ class Rewriter:
                 return F.regexp_replace(F.date_format(value, pattern), r"(?:\.0+|(\.\d*[1-9])0+)(Z?)$", "$1$2")
         return value.cast("string")
 
-    def open(self, value: Column, dtype: T.DataType, where: Field, metadata: dict, depth: int) -> Column:
+    def open(self, value: Column, dtype: T.DataType, where: Field, metadata: dict, depth: int, inner: bool) -> Column:
         """A value without an opinion on it."""
         if isinstance(dtype, T.StructType):
             if len({f.name for f in dtype}) < len(dtype):
                 raise MaskError(ErrorCode.FIELD_CONFLICT, where.path)
             parts = []
             for f in dtype:
-                made = self.column(value.getField(f.name), f.dataType, Field(f.name, f"{where.path}[{f.name}]", Source.STRUCT), f.metadata or {}, depth + 1)
+                made = self.column(value.getField(f.name), f.dataType, Field(f.name, f"{where.path}[{f.name}]", Source.STRUCT), f.metadata or {}, depth + 1, inner)
                 if made is not None:
                     parts.append(made.alias(f.name))
             made = F.struct(*parts) if parts else F.struct(F.lit(None).cast("string").alias("_"))
             return F.when(value.isNotNull(), made)
         if isinstance(dtype, T.ArrayType):
-            inner = lambda x: self.column(x, dtype.elementType, Field("", f"{where.path}[]", where.source), {}, depth + 1)
+            inner = lambda x: self.column(x, dtype.elementType, Field("", f"{where.path}[]", where.source), {}, depth + 1, True)
             probe = self.decide(Field("", f"{where.path}[]", where.source, kind_of(dtype.elementType)), {})
             return F.transform(value, (lambda x: F.lit(None).cast("string")) if probe.omit else inner)
         if isinstance(dtype, T.MapType):
@@ -99,7 +99,7 @@ class Rewriter:
         if isinstance(dtype, T.StringType):
             if metadata.get("format") == "json":
                 return self.m.mask_json(value)["value"]
-            return self.string(value, nested=depth > 0)
+            return self.string(value, inner)
         if isinstance(dtype, T.BinaryType):
             secret = F.coalesce(F.is_valid_utf8(value.cast("string")), F.lit(False)) & detect.is_candidate(value.cast("string"), self.c.cards, self.c.aws_key_ids) & (self.string(value.cast("string"), True) != value.cast("string"))
             return F.when(value.isNull(), F.lit(None)).when(secret, F.lit(self.c.redaction)).otherwise(F.base64(value))
@@ -109,16 +109,24 @@ class Rewriter:
             return self.text(value, dtype)
         raise MaskError(ErrorCode.UNSUPPORTED_TYPE, f"{where.path}: {dtype.simpleString()}")
 
-    def string(self, value: Column, nested: bool = False) -> Column:
+    def string(self, value: Column, inner: bool = False) -> Column:
         """A string without an opinion on it: documents in Arrow batches, text by Java patterns.
 
-        Inside arrays and maps, where no Python runs, strings are searched as text only.
+        Inside arrays and maps, where no Python runs, strings are searched as text only; where the policy is a function, which can't
+        judge the keys in them, a string with a secret or a key and value becomes the marker.
         """
-        if self.c.embedded and not nested:
+        if self.c.embedded and not inner:
             looks = value.rlike(r"://|^[ \t\n\r]*[{\[]|^[^\s;]+=")
             own = self.m.mask_text(value) if self.c.text_detectors else value
             return F.when(F.coalesce(looks, F.lit(False)), self.m.inspect(F.when(looks, value))["value"]).otherwise(own)
-        return self.m.mask_text(value) if self.c.text_detectors and self.m.policy.keys is not None else value
+        if not self.c.text_detectors:
+            return value
+        if self.m.policy.keys is not None or not inner:
+            return self.m.mask_text(value)
+        safe = F.is_valid_utf8(value) & (F.octet_length(value) <= self.c.max_input_bytes) & ~detect.is_candidate(value, self.c.cards, self.c.aws_key_ids)
+        if self.c.embedded:
+            safe = safe & ~value.rlike(r"^[ \t\n\r]*[{\[]")
+        return F.when(value.isNull(), F.lit(None)).when(safe, value).otherwise(F.lit(self.c.redaction))
 
     def map(self, value: Column, dtype: T.MapType, where: Field, depth: int) -> Column:
         if not isinstance(dtype.keyType, T.StringType):
@@ -131,7 +139,7 @@ class Rewriter:
         scalar = not isinstance(dtype.valueType, (T.StructType, T.MapType, T.ArrayType))
 
         def one(k: Column, v: Column) -> Column:
-            safe = self.open(v, dtype.valueType, Field("", f"{where.path}[*]", Source.MAP), {}, depth + 1)
+            safe = self.open(v, dtype.valueType, Field("", f"{where.path}[*]", Source.MAP), {}, depth + 1, True)
             out = safe.cast("string") if scalar else F.to_json(safe)
             for rule, names in by_rule.items():
                 out = F.when(fold_column(k).isin(names), self.apply(rule, v, dtype.valueType)).otherwise(out)

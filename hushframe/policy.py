@@ -86,6 +86,8 @@ class _Function(Policy):
 class _Chain(Policy):
     def __init__(self, policies: tuple[Policy, ...]):
         self.policies = policies
+        if all(p.keys is not None for p in policies):
+            self.keys = {k: r for p in reversed(policies) for k, r in p.keys.items()}
 
     def decide(self, field: Field) -> Decision:
         return next((d for p in self.policies if (d := p.decide(field))), NO_OPINION)

@@ -172,3 +172,25 @@ def test_detection_over_whole_documents(spark):
             want[kind] = want.get(kind, 0) + 1
     report = queries.queries()["detection_counts_all"](spark, SF).where("lang is null and kind is not null").groupBy("kind").agg(F.sum("n").alias("n"))
     assert {r.kind: r.n for r in report.collect()} == want
+
+
+def test_chains_in_nested_fields_and_headers(spark):
+    for r in queries.queries()["chain_nested"](spark, SF).collect():
+        who = r.who.asDict(True)
+        assert who["note"] == f"my password={R}" and who["more"] == {"deep": f"my password={R}"}
+        assert who["list"][0] == R and who["list"][1].startswith("Supplier") and who["link"] == "https://h/p?token=%5BREDACTED%5D"
+    for r in queries.queries()["chain_headers"](spark, SF).collect():
+        assert set(r.headers) == {"X-Api-Key", "Cookie", "Accept", "Host"} and r.headers["X-Api-Key"] == r.headers["Cookie"] == [R]
+        assert r.headers["Accept"] == [f"password={R}"] and r.headers["Host"][0].startswith("Supplier")
+
+
+def test_chains_of_key_policies(spark):
+    keys = chain(KeyPolicy([(["note"], rules.full)]), KeyPolicy([(["note"], rules.id_), (["x-api-key"], rules.full)]))
+    assert keys.keys == {"note": rules.full, "xapikey": rules.full}
+    one = spark.createDataFrame([Row(a=["note=abc x"], h={"X-Api-Key": ["k"], "Host": [None, "h"], "None": None})], "a array<string>, h map<string, array<string>>")
+    for policy in (keys, chain(policy_fn(keys.decide))):
+        m = Masker(policy)
+        assert one.select(m.mask_headers(F.col("h")).alias("h")).first().h["X-Api-Key"] == [R]
+        assert m.mask_dataframe(one.select("a")).first().a == ([f"note={R} x"] if policy is keys else [R])
+    failing = Masker(policy_fn(lambda f: 1 // 0))
+    assert one.select(failing.mask_headers(F.col("h")).alias("h")).first().h["X-Api-Key"] == [R]
