@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 # Elements without content, elements whose content is no markup, elements that are never shown.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes plaintext".split())
-HIDDEN = set("head script style template noscript iframe object svg math audio video canvas datalist title noembed noframes".split())
+HIDDEN = set("head script style template noscript iframe object audio video canvas datalist title noembed noframes".split())
+# Elements within svg or math that are never shown themselves.
+UNDRAWN = set("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml".split())
 # Elements that may stand in <head>; any other one, or text, ends it.
 HEAD = set("base basefont bgsound link meta title style script template noscript noframes head".split())
 # Elements that stand on lines of their own, and those of them with an empty line around them.
@@ -102,8 +104,9 @@ def parse(page: str) -> Node:
             continue
         if open_[-1].name == "head" and name not in HEAD:
             open_.pop()
+        drawn = any(x.name in ("svg", "math") for x in open_[1:])
         own = _attributes(m[3]) if m[3] and not m[3].isspace() else {}
-        hidden = name in HIDDEN or "hidden" in own or own.get("aria-hidden", "").lower() == "true" or ("style" in own and _NONE.search(own["style"]) is not None) or (name == "input" and own.get("type", "").lower() == "hidden")
+        hidden = name in HIDDEN or "hidden" in own or (drawn and name in UNDRAWN) or ("style" in own and _NONE.search(own["style"]) is not None) or (name == "input" and own.get("type", "").lower() == "hidden")
         node = Node(name, not hidden, int(own["start"]) if name == "ol" and own.get("start", "").lstrip("-").isdigit() else 1)
         open_[-1].children.append(node)
         if name == "img" and own.get("alt"):
@@ -112,7 +115,7 @@ def parse(page: str) -> Node:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             node.children.append(page[at : end.start() if end else n])
             at = end.end() if end else n
-        elif name not in VOID and not (m[3].endswith("/") and name in ("svg", "math")):
+        elif name not in VOID and not (m[3].endswith("/") and (drawn or name in ("svg", "math"))):
             open_.append(node)
     return root
 
@@ -152,31 +155,36 @@ class Layout:
         self.lines += lines
 
 
-def _table(node: Node) -> list[str]:
-    """Rows of cells, each column as wide as its widest line; a cell's further lines stand below its first."""
-    rows, captions = [], []
+def _table(node: Node, depth: int) -> list[str]:
+    """Rows of cells, each column as wide as its widest line; a cell's further lines stand below its first.
+
+    Text in the table, a row or a group of rows, but in no cell, stands before the table.
+    """
+    rows, captions, loose = [], [], []
     todo = [(node, None)]
     while todo:
         x, row = todo.pop()
+        if isinstance(x, str):
+            loose += [x] if x.strip() else []
+            continue
         for child in reversed(x.children):
-            if isinstance(child, str) or not child.shown:
-                continue
-            todo.append((child, x))
+            if isinstance(child, str) or child.shown:
+                todo.append((child, x))
         if x is node:
             continue
         if x.name in ("td", "th"):
             todo = [t for t in todo if t[1] is not x]
             if not rows:
                 rows.append([])
-            rows[-1].append(_lines(x.children))
+            rows[-1].append(_lines(x.children, depth + 1, depth + 1))
         elif x.name == "tr":
             rows.append([])
         elif x.name == "caption":
             todo = [t for t in todo if t[1] is not x]
-            captions += _lines(x.children)
+            captions += _lines(x.children, depth + 1, depth + 1)
         elif x.name not in ("tbody", "thead", "tfoot", "colgroup", "col"):
             todo = [t for t in todo if t[1] is not x]
-            captions += _lines([x])
+            captions += _lines([x], depth + 1, depth + 1)
     rows = [r for r in rows if any(r)]
     widths: list[int] = []
     for r in rows:
@@ -188,7 +196,6 @@ def _table(node: Node) -> list[str]:
     for r in rows:
         for k in range(max(len(c) for c in r)):
             out.append("  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(r, widths)).rstrip(" "))
-    loose = [c for c in node.children if isinstance(c, str) and c.strip()]
     return _lines(loose) + out if loose else out
 
 
@@ -196,26 +203,44 @@ def _table(node: Node) -> list[str]:
 DEEPEST = 100
 
 
-def _lines(children: list, depth: int = 0) -> list[str]:
+def _lines(children: list, depth: int = 0, base: int = 0) -> list[str]:
+    """base: the depth of the page, or of the table cell that holds the children."""
     layout = Layout()
-    _render(children, layout, depth)
+    _render(children, layout, depth, base)
     layout.end()
     return layout.lines
 
 
+#: Stands in _flat()'s result where a block begins or ends.
+BREAK = Node("")
+
+
 def _flat(children: list) -> list:
-    """All texts below, without recursion."""
+    """All texts below, line breaks and borders of blocks, without recursion."""
     out, todo = [], list(reversed(children))
     while todo:
         x = todo.pop()
-        if isinstance(x, str):
+        if isinstance(x, str) or x is BREAK or (x.shown and x.name in ("br", "hr")):
             out.append(x)
         elif x.shown:
-            todo += reversed(x.children)
+            border = [BREAK] if x.name in BLOCK and x.name not in ("td", "th") else [" "] if x.name in ("td", "th") else []
+            todo += [*border, *reversed(x.children), *border]
     return out
 
 
-def _render(children: list, layout: Layout, depth: int) -> None:
+def _verbatim(children: list) -> str:
+    """The text of <pre>: a <br> is a line break, and a block stands on lines of its own."""
+    parts: list[str] = []
+    for x in _flat(children):
+        out = x if isinstance(x, str) else "\n" if x.name == "br" or (parts and not parts[-1].endswith("\n")) else ""
+        if not isinstance(x, str) and x.name == "hr":
+            out += "---\n"
+        if out:
+            parts.append(out)
+    return "".join(parts)
+
+
+def _render(children: list, layout: Layout, depth: int, base: int = 0) -> None:
     if depth > DEEPEST:
         children = _flat(children)
     number = None
@@ -226,6 +251,9 @@ def _render(children: list, layout: Layout, depth: int) -> None:
         if not x.shown:
             continue
         name = x.name
+        if x is BREAK:
+            layout.end()
+            continue
         if name == "br":
             blank = not layout.now
             layout.end()
@@ -238,7 +266,7 @@ def _render(children: list, layout: Layout, depth: int) -> None:
             continue
         if name == "wbr":
             continue
-        gap = 1 if name in SPACED and not (depth and name in ("ul", "ol", "dl")) else 0
+        gap = 1 if name in SPACED and not (depth > base and name in ("ul", "ol", "dl")) else 0
         if name in BLOCK:
             layout.end(gap)
         if name in ("ul", "ol", "menu", "dir"):
@@ -250,31 +278,31 @@ def _render(children: list, layout: Layout, depth: int) -> None:
                     layout.end()
                     mark = f"{count}. " if name == "ol" else "- "
                     count += 1
-                    if lines := _lines(item.children, depth + 1):
+                    if lines := _lines(item.children, depth + 1, base):
                         layout.put([mark + lines[0], *(" " * len(mark) + line if line else "" for line in lines[1:])])
                 else:
-                    _render([item], layout, depth + 1)
+                    _render([item], layout, depth + 1, base)
             layout.end(gap)
             continue
         if name == "table":
-            if lines := _table(x):
+            if lines := _table(x, depth):
                 layout.put(lines)
             layout.end(gap)
             continue
         if name == "pre":
-            text = "".join(_flat(x.children)).strip("\n").expandtabs(8)
+            text = _verbatim(x.children).strip("\n").expandtabs(8)
             if text:
                 layout.put([line.rstrip() for line in text.split("\n")])
             layout.end(gap)
             continue
         if name == "blockquote" or name == "dd":
-            if lines := _lines(x.children, depth + 1):
+            if lines := _lines(x.children, depth + 1, base):
                 layout.put(["  " + line if line else "" for line in lines])
             layout.end(gap)
             continue
-        if name in ("td", "th"):
+        if name in ("td", "th", "text"):  # svg places each <text> by itself
             layout.space = True
-        _render(x.children, layout, depth + 1)
+        _render(x.children, layout, depth + 1, base)
         if name in BLOCK:
             layout.end(gap)
         elif name == "option":

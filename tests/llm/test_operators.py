@@ -433,6 +433,22 @@ def test_html_head_left_open(page, want):
     assert html.visible_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p aria-hidden='true'>seen</p>", "seen"),
+        ("<p>a <math><mi>x</mi><annotation>no</annotation></math> b</p><svg><defs/><path d=''/><text>drawn</text><title>no</title></svg>", "a x b\n\ndrawn"),
+        ("<table>one <tbody>two <tr>three<td>cell</table>", "one two three\ncell"),
+        ("<pre>a<br>b\nc</pre>", "a\nb\nc"),
+        ("<span>" * 120 + "<div>a</div><div>b<br>c</div>", "a\nb\nc"),
+        ("<table><tr><td>" * 400 + "deep", "deep"),
+        ("<ul><li>x</ul><table><tr><td><ul><li>y</ul></table>", "- x\n\n- y"),
+    ],
+)
+def test_html_shown_text(page, want):
+    assert html.visible_text(page) == want
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "<p>a<p>b", "x"), (2, None, "y"), (2, None, "y")], "page_id long, html string, text string")
     assert sorted((r.page_id, r.text, r.n_lines) for r in html.extract(pages).collect()) == [(1, "a\n\nb", 3), (2, "", 0), (2, "", 0)]
