@@ -1,18 +1,20 @@
 """Exact Jaccard self-join of documents on their word shingles, by PartEnum signatures (Arasu et al., VLDB 2006).
 
 Two sets of a and b shingles with similarity of s or more differ in at most (1-s)/(1+s) * (a+b) shingles. For sizes up
-to R that is k. The shingles' domain is cut into P > k parts by hash; a difference spoils one part at most, so P - k
-parts at least agree, contents and all. Each set therefore leaves out P - k - 1 of its parts, those with the fewest
-shingles or the most frequent ones, and gives one signature for each of the other parts: what a part holds decides whether it
-is left out before another, so of the parts in which two linked sets agree at least one is left out by neither. Parts
-of frequent shingles only go first, so documents that share a common passage don't all meet; frequencies come from a pass over
-all documents, and as they only order the parts, they may be rough. Sets are
-compared within size bands, which overlap so far that two sizes within the threshold's ratio share a band.
+to R that is k. The shingles' domain is cut by hash into groups of PARTS parts, and all subsets of PARTS - 1 parts of a group are
+enumerated; a signature is what such a subset holds. k differences leave at least m subsets alone, wherever they fall, so two linked
+sets agree in m signatures. Each set therefore leaves out m - 1 of its signatures, those of the most frequent shingles, or of the
+fewest, first: what a subset holds decides whether it goes before another, so of the m or more in which two linked sets agree
+the last in that order stays in both. Documents that share a common passage don't all meet that way; frequencies come from a
+pass over all documents, and as they only order the subsets, they may be rough. A kept subset that holds nothing names one of the set's rarest
+shingles besides, of which two linked sets have one in common, so short texts don't all meet either. Sets are compared within size bands, which
+overlap so far that two sizes within the threshold's ratio share a band.
 
 Identical sets are one node. Nodes with a common signature are compared with the one of them that meets most others; exact
-intersections decide. Small groups are compared pair by pair. In large groups that are then not yet one component, two members are
-compared if they have in common what sets them apart from the hub, in so far as linked pairs must (differences()). So no
-link between components is lost, and groups of near copies never become all pairs.
+intersections decide. Groups whose nodes are then one component need no more. In small groups of several components all pairs of nodes
+from different ones are compared. In large ones two such nodes are compared if they have in common what sets them apart from
+the hub, in so far as linked pairs must (differences()); nodes of the hub's own component ask for no partners. So no link between
+components is lost, and groups of near copies never become all pairs.
 """
 
 from __future__ import annotations
@@ -22,14 +24,15 @@ from math import ceil, floor, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared, vectext
 from .vectext import U, mix, signed
 
-#: A band of sizes reaches from its least size to so many times that; PARTS: parts for each difference allowed.
-BAND, PARTS = 1.75, 2.0
+#: A band of sizes reaches from its least size to so many times that; GROUPS: groups of parts for each difference allowed; parts of a group.
+BAND, GROUPS, PARTS = 1.75, 0.8, 3
 #: Shingles whose frequency is known to all tasks, at most; a task names those that it has met so often.
 HOT_SHINGLES, HOT_COUNT = 200_000, 3
 #: Shingles counted at once.
@@ -92,12 +95,21 @@ def hot_shingles(docs: DataFrame) -> Hot:
     return Hot(top["shingle"].to_numpy().view(U), top["n"].to_numpy())
 
 
+def part_plan(k: int) -> tuple[int, int]:
+    """How many groups of PARTS parts sets that differ in up to k shingles get, and in how many subsets they agree at least.
+
+    The first difference in a group leaves one of its three pairs of parts alone, a second one none.
+    """
+    groups = max(k // 2 + 1, ceil(GROUPS * k))
+    return groups, 3 * groups - 2 * k if k <= groups else 2 * groups - k
+
+
 def signatures(found: np.ndarray, at: np.ndarray, percent: int, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of sorted sets, and the set each belongs to."""
     step, share = band_plan(percent)
     sizes = np.diff(at)
     level = hot.level(found)
-    sigs, owners = [], []
+    sigs, owners = [np.empty(0, U)], [np.empty(0, np.int64)]
     top = int(floor(log(max(int(sizes.max(initial=1)), 1), step))) + 1
     for band in range(top + 1):
         low = ceil(step**band - 1e-9)
@@ -106,37 +118,44 @@ def signatures(found: np.ndarray, at: np.ndarray, percent: int, hot: Hot) -> tup
         if not len(chosen) or low > high:
             continue
         k = int(floor(share * 2 * high + 1e-9))
-        parts = max(k + 1, round(PARTS * k))
+        groups, agreed = part_plan(k)
+        parts = PARTS * groups
         n = sizes[chosen]
         who = np.repeat(np.arange(len(chosen)), n)
         place = np.arange(len(who)) + np.repeat(at[:-1][chosen] - (np.cumsum(n) - n), n)
         h = found[place]
-        part = ((h >> U(32)) * U(parts)) >> U(32)
+        part = (((h >> U(32)) * U(parts)) >> U(32)).astype(np.int64)
         # sets are sorted, so a part's shingles follow each other
-        first = np.ones(len(h), bool)
-        first[1:] = (part[1:] != part[:-1]) | (who[1:] != who[:-1])
-        begin = np.flatnonzero(first)
-        count = np.diff(np.append(begin, len(h)))
-        content = np.add.reduceat(mix(h, 21), begin)
-        owner, index = who[begin], part[begin]
-        sig = mix(content ^ mix(index + U(band << 32), 22))
-        filled = np.bincount(owner, minlength=len(chosen))
-        spare = parts - k - 1
-        empty = parts - filled
-        drop = np.maximum(spare - empty, 0)  # of the parts that hold shingles
-        rare = U(63) - np.minimum.reduceat(level[place], begin).astype(U)
-        rank_key = (rare << U(58)) | (np.minimum(count, 63).astype(U) << U(52)) | (sig >> U(12))
-        order = np.lexsort((rank_key, owner))
-        rank = np.arange(len(order)) - np.repeat(np.cumsum(filled) - filled, filled)
-        kept = order[rank >= np.repeat(drop, filled)]
-        sigs.append(sig[kept])
-        owners.append(chosen[owner[kept]])
-        for i in np.flatnonzero(empty > spare):  # more empty parts than may be left out: they count as agreeing
-            blank = np.setdiff1d(np.arange(parts, dtype=U), index[owner == i])
-            sigs.append(mix(mix(blank + U(band << 32), 22)))
-            owners.append(np.full(len(blank), chosen[i]))
-    if not sigs:
-        return np.empty(0, U), np.empty(0, np.int64)
+        cell = who * parts + part
+        begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        filled = cell[begin]
+        content, count = np.zeros(len(chosen) * parts, U), np.zeros(len(chosen) * parts, np.int64)
+        common = np.full(len(chosen) * parts, 63, np.uint8)  # the level of a part's rarest shingle
+        content[filled] = np.add.reduceat(mix(h, 21), begin)
+        count[filled] = np.diff(np.append(begin, len(h)))
+        common[filled] = np.minimum.reduceat(level[place], begin)
+        shape = (len(chosen), groups, PARTS)
+        content, count, common = content.reshape(shape), count.reshape(shape), common.reshape(shape)
+        subsets = range(PARTS)  # a subset leaves out one part of its group
+        rest = [[j for j in range(PARTS) if j != i] for i in subsets]
+        total = np.stack([content[:, :, x] + mix(content[:, :, y], 24) for x, y in rest], 2).reshape(len(chosen), -1)
+        held = np.stack([count[:, :, x] + count[:, :, y] for x, y in rest], 2).reshape(len(chosen), -1)
+        often = np.stack([np.minimum(common[:, :, x], common[:, :, y]) for x, y in rest], 2).reshape(len(chosen), -1)
+        sig = mix(total ^ mix(np.arange(total.shape[1], dtype=U) + U(band << 32), 22))
+        owner = np.broadcast_to(chosen[:, None], sig.shape)
+        if agreed > 1:
+            rank_key = ((U(63) - often.astype(U)) << U(58)) | (np.minimum(held, 63).astype(U) << U(52)) | (sig >> U(12))
+            kept = np.argpartition(rank_key, agreed - 1, axis=1)[:, agreed - 1 :]
+            sig, held, owner = (np.take_along_axis(x, kept, 1) for x in (sig, held, owner))
+        blank = held == 0
+        sigs.append(sig[~blank])
+        owners.append(owner[~blank])
+        for i in np.flatnonzero(blank.any(axis=1)):
+            own = slice(int(at[chosen[i]]), int(at[chosen[i] + 1]))
+            first = np.lexsort((found[own], level[own]))[: n[i] - -(-percent * int(n[i]) // 100) + 1]
+            named = mix(sig[i][blank[i]][:, None] ^ mix(found[own][first], 23)[None, :]).ravel()
+            sigs.append(named)
+            owners.append(np.full(len(named), chosen[i]))
     return np.concatenate(sigs), np.concatenate(owners)
 
 
@@ -162,9 +181,8 @@ def profile(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, n_shingles long, node long")
 
 
-def signature_rows(docs: DataFrame, percent: int) -> DataFrame:
+def signature_rows(docs: DataFrame, percent: int, hot: Broadcast[Hot]) -> DataFrame:
     """Rows (sig, node) of all documents' signatures."""
-    hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = vectext.Seen()
@@ -204,37 +222,39 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def groups(rows: DataFrame) -> DataFrame:
-    """Rows (sig, node, hub, rank, n): the n nodes of signatures that several nodes have, ranked from 0; hub has rank 0.
+    """Rows (sig, node, hub, n): the n nodes of signatures that several nodes have.
 
-    Nodes that share most signatures come first: a text comes before its altered copies, which differ more from each other.
+    The hub is the node that shares most signatures: a text comes before its altered copies, which differ more from each other.
     """
     met = rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_runs, "sig long, node long")
-    met, _ = shared.write_table(met, "met")  # read twice
-    degree = met.groupBy("node").agg(F.count("*").alias("degree"))
-    by = Window.partitionBy("sig").orderBy(F.desc("degree"), "node")
-    return met.join(shared.small(degree), "node").select("sig", "node", F.first("node").over(by).alias("hub"), (F.row_number().over(by) - 1).alias("rank"), F.count("*").over(Window.partitionBy("sig")).alias("n"))
+    met, met_at = shared.write_table(met, "met")
+    degree, degree_at = shared.write_table(met.groupBy("node").agg(F.count("*").alias("degree")), "degree")
+    ranked = met.join(shared.small(degree), "node").groupBy("sig").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"), F.count("*").alias("n"))
+    found, _ = shared.write_table(met.join(ranked, "sig").select("sig", "node", "hub", "n"), "groups")
+    shared.drop_tables(rows.sparkSession, met_at, degree_at)
+    return found
 
 
 def _pairs_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows (a, b, left, right): pairs (a, b) with both texts; texts: (node, text)."""
+    """Pairs (a, b, any columns) with both texts, left and right; texts: (node, text)."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "left", "right")
+    return pairs.join(right, "b").join(left, "a").select(*pairs.columns, "left", "right")
 
 
-def _both_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """a, b and their sorted sets, of rows of _pairs_of()."""
+def _both_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+    """The columns of a pair (a, b, any others) and both sorted sets, of rows of _pairs_of()."""
     for batch in batches:
         size, done = batch.num_rows, 0
-        left, right = batch.column(2), batch.column(3)
+        left, right = batch.column("left"), batch.column("right")
         step = max(1, min(size, int((4 << 20) * size // max(1, left.nbytes + right.nbytes))))
         while done < size:
             m = min(step, size - done)
-            a, b = (batch.column(i).slice(done, m).to_numpy(zero_copy_only=False) for i in (0, 1))
+            own = [c.slice(done, m).to_pylist() for c in batch.columns[:-2]]
             x, xat = vectext.sets(vectext.words(left.slice(done, m)))
             y, yat = vectext.sets(vectext.words(right.slice(done, m)))
-            for i in np.flatnonzero((signed(_node(x, xat)) == a) & (signed(_node(y, yat)) == b)):
-                yield int(a[i]), int(b[i]), x[xat[i] : xat[i + 1]], y[yat[i] : yat[i + 1]]
+            for i in np.flatnonzero((signed(_node(x, xat)) == np.array(own[0])) & (signed(_node(y, yat)) == np.array(own[1]))):
+                yield tuple(c[i] for c in own), x[xat[i] : xat[i + 1]], y[yat[i] : yat[i + 1]]
             done += m
 
 
@@ -248,7 +268,7 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good = []
-        for a, b, p, q in _both_sets(batches):
+        for (a, b), p, q in _both_sets(batches):
             p, q = (p, q) if len(p) <= len(q) else (q, p)
             if 100 * len(p) >= percent * len(q):
                 same = int(np.count_nonzero(_held(p, q)))
@@ -260,39 +280,37 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         if good:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*good)], ["a", "b"])
 
-    return _pairs_of(pairs, texts).mapInArrow(run, "a long, b long").distinct()
+    return _pairs_of(pairs.select("a", "b"), texts).mapInArrow(run, "a long, b long").distinct()
 
 
-def differences(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Rows (hub, item, node, probe, size, b0 to b3) by which two members of a hub (a, b) can be linked though one is not linked to the hub.
+def differences(members: DataFrame, texts: DataFrame, percent: int, hot: Broadcast[Hot]) -> DataFrame:
+    """Rows (hub, item, node, component, probe, size, b0 to b3) by which two members of a hub can be linked though they lie in different components.
 
-    D(u) is how u's set differs from the hub's set h. If u is not linked to the hub, |D(u)| > f(|u| + |h|), f the share of
-    differences allowed. If u and v are linked, |D(u) with or without D(v), not both| <= f(|u| + |v|), so they have in common
+    members: (a, b, component, probe): hub, member and the member's component; a probe's is another than the hub's.
+    D(u) is how u's set differs from the hub's set h. If u is not linked to the hub, as no probe is, |D(u)| > f(|u| + |h|), f the
+    share of differences allowed. If u and v are linked, |D(u) with or without D(v), not both| <= f(|u| + |v|), so they have in common
     t >= (|D(u)| + |D(v)| - f(|u| + |v|)) / 2 > (|D(v)| - f(|v| - |h|)) / 2 differences. Hence one of any |D(v)| - t + 1 of
-    D(v) is in D(u): v names those, its own shingles before what it lacks of the hub's; u, as probe, names all of D(u).
+    D(v) is in D(u): v names those, its own shingles, rare ones first, before what it lacks of the hub's; u, as probe, names all of D(u).
     The bits b0 to b3 bound from below in how much D(u) and D(v), and so u and v, differ; size is |v|.
     """
     over, under = 100 - percent, 100 + percent  # f = over / under
+    names = ["hub", "item", "node", "component", "probe", "size", "b0", "b1", "b2", "b3"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, rows = [], 0
 
         def give() -> pa.RecordBatch:
-            hub, item, node, probe, size, *bits = (np.concatenate(c) for c in zip(*parts))
-            return pa.RecordBatch.from_arrays([pa.array(hub), pa.array(signed(item)), pa.array(node), pa.array(probe), pa.array(size), *(pa.array(signed(b)) for b in bits)], ["hub", "item", "node", "probe", "size", "b0", "b1", "b2", "b3"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names)
 
-        for a, b, h, v in _both_sets(batches):
+        for (a, b, component, probes), h, v in _both_sets(batches):
             own, lacks = v[~_held(v, h)], h[~_held(h, v)]
-            d = len(own) + len(lacks)
-            least = (under * d - over * (len(v) - len(h))) // (2 * under) + 1  # the smallest whole number above
-            named = [np.concatenate([own, lacks])[: max(0, d - max(least, 1) + 1)]]
-            linked = under * d <= over * (len(v) + len(h))
-            if not linked:
-                named.append(np.concatenate([own, lacks]))
+            own = own[np.lexsort((own, hot.value.level(own)))]
+            both = np.concatenate([own, lacks])
+            least = (under * len(both) - over * (len(v) - len(h))) // (2 * under) + 1  # the smallest whole number above
             # how often each of 256 residues occurs, odd or even: differs in at most as many as the sets do
-            odd = np.packbits(np.bincount((np.concatenate([own, lacks]) & U(255)).astype(np.int64), minlength=256) & 1 == 1).view(U)
-            for x, probe in zip(named, (False, True)):
-                parts.append((np.full(len(x), a), x, np.full(len(x), b), np.full(len(x), probe), np.full(len(x), len(v)), *(np.full(len(x), o) for o in odd)))
+            odd = np.packbits(np.bincount((both & U(255)).astype(np.int64), minlength=256) & 1 == 1).view(U)
+            for x, probe in [(both[: max(0, len(both) - max(least, 1) + 1)], False)] + [(both, True)] * probes:
+                parts.append((np.full(len(x), a), signed(x), np.full(len(x), b), np.full(len(x), component), np.full(len(x), probe), np.full(len(x), len(v)), *(np.full(len(x), o) for o in odd.view(np.int64))))
                 rows += len(x)
             if rows >= 200_000:
                 yield give()
@@ -300,7 +318,16 @@ def differences(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame
         if rows:
             yield give()
 
-    return _pairs_of(members, texts).mapInArrow(run, "hub long, item long, node long, probe boolean, size long, b0 long, b1 long, b2 long, b3 long")
+    types = [f"{n} {'boolean' if n == 'probe' else 'long'}" for n in names]
+    return _pairs_of(members.select("a", "b", "component", "probe"), texts).mapInArrow(run, ", ".join(types))
+
+
+def _open(found: DataFrame, named: DataFrame) -> DataFrame:
+    """found's rows of signatures whose nodes lie in several components, with component and hub_component."""
+    rows = _named(found, named)
+    several = rows.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
+    kept = rows.join(several, "sig", "left_semi").withColumnRenamed("component", "c")
+    return _named(kept, named, "hub").withColumnsRenamed({"component": "hub_component", "c": "component"})
 
 
 def link_nodes(docs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
@@ -312,37 +339,40 @@ def link_nodes(docs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
         scratch.append(at)
         return df
 
-    found = keep(groups(signature_rows(docs, percent)), "groups")
-    pairs = keep(found.where("rank > 0").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("votes")), "pairs")
+    hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs))
+    found = groups(signature_rows(docs, percent, hot))
+    pairs = found.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("votes"))
+    # each node with the hub that shares most signatures
+    tested = keep(pairs.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b"), "tested")
     # texts of the nodes that are in any group, one row each (or more, of equal texts under one doc_id)
-    some = found.select("node").distinct()
-    reps = profiles.where("node is not null").groupBy("node").agg(F.min(F.struct("text_key", "doc_id")).alias("rep")).join(some, "node").select("node", "rep.*")
+    some = tested.select(F.col("a").alias("node")).union(tested.select("b")).distinct()
+    reps = keep(profiles.where("node is not null").groupBy("node").agg(F.min(F.struct("text_key", "doc_id")).alias("rep")).join(some, "node").select("node", "rep.*"), "reps")
     keyed = docs.select(F.xxhash64("text").alias("text_key"), "doc_id", "text").alias("d")
     texts = keyed.join(shared.small(reps).alias("r"), (F.col("d.text_key") == F.col("r.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("r.doc_id"))).select("r.node", "d.text")
     texts = keep(texts, "texts")
-    # each node with the hub that shares most signatures
-    tested = keep(pairs.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b"), "tested")
     edges = keep(verify(tested, texts, percent), "links")
     named = keep(shared.components(edges), "components")
-    # the other hubs, and all pairs of small groups
-    x, y = (found.where(f"n <= {SMALL_GROUP}").select("sig", F.col("node").alias(c), F.col("rank").alias(f"rank_{c}")) for c in "ab")
-    near = x.join(y, "sig").where("rank_a < rank_b").select("a", "b")
-    rest = keep(_apart(pairs.select("a", "b").unionByName(near).distinct().join(tested, ["a", "b"], "left_anti"), named), "rest")
+    # where several components meet: the other hubs, and all pairs of small groups
+    several = keep(_open(found, named), "open")
+    hubs = several.where("component <> hub_component").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+    x, y = (several.where(f"n <= {SMALL_GROUP}").select("sig", F.col("node").alias(c), F.col("component").alias(f"component_{c}")) for c in "ab")
+    near = x.join(y, "sig").where("a < b and component_a <> component_b").select("a", "b")
+    before = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = keep(hubs.union(near).distinct().join(before, ["a", "b"], "left_anti"), "rest")
     more = keep(verify(rest, texts, percent), "links")
-    edges, tested = edges.unionByName(more), tested.unionByName(rest)
+    edges = edges.unionByName(more)
     named = keep(shared.components(edges), "components")
-    # members of large groups that are not yet one component, by what sets them apart from their hub
-    large = _named(found.where(f"n > {SMALL_GROUP}"), named)
-    mixed = large.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-    members = large.join(mixed, "sig", "left_semi").where("rank > 0").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    items = keep(differences(members, texts, percent), "differences")
+    # members of large groups that are still several components, by what sets them apart from their hub
+    large = _open(several.where(f"n > {SMALL_GROUP}").select("sig", "node", "hub"), named).where("node <> hub")
+    members = keep(large.select(F.col("hub").alias("a"), F.col("node").alias("b"), "component", (F.col("component") != F.col("hub_component")).alias("probe")).distinct(), "members")
+    items = keep(differences(members, texts, percent, hot), "differences")
     bits = [f"b{i}" for i in range(4)]
-    index = items.where("not probe").select("hub", "item", F.col("node").alias("v"), F.col("size").alias("v_size"), *(F.col(b).alias(f"v_{b}") for b in bits))
-    probes = items.where("probe").select(F.col("hub").alias("u_hub"), F.col("item").alias("u_item"), F.col("node").alias("u"), F.col("size").alias("u_size"), *bits)
+    index = items.where("not probe").select("hub", "item", F.col("node").alias("v"), F.col("component").alias("v_component"), F.col("size").alias("v_size"), *(F.col(b).alias(f"v_{b}") for b in bits))
+    probes = items.where("probe").select(F.col("hub").alias("u_hub"), F.col("item").alias("u_item"), F.col("node").alias("u"), F.col("component").alias("u_component"), F.col("size").alias("u_size"), *bits)
     apart = sum(F.bit_count(F.col(b).bitwiseXOR(F.col(f"v_{b}"))) for b in bits)
-    close = (F.col("hub") == F.col("u_hub")) & (F.col("item") == F.col("u_item")) & (F.col("u") != F.col("v")) & ((100 + percent) * apart <= (100 - percent) * (F.col("u_size") + F.col("v_size")))
+    close = (F.col("hub") == F.col("u_hub")) & (F.col("item") == F.col("u_item")) & (F.col("u_component") != F.col("v_component")) & ((100 + percent) * apart <= (100 - percent) * (F.col("u_size") + F.col("v_size")))
     met = index.join(probes, close).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    rest = keep(_apart(met.join(tested, ["a", "b"], "left_anti"), named), "rest")
+    rest = keep(met.join(before.union(rest), ["a", "b"], "left_anti"), "rest")
     more = keep(verify(rest, texts, percent), "links")
     named, _ = shared.write_table(shared.components(edges.unionByName(more)), "components")
     shared.drop_tables(docs.sparkSession, *scratch)
@@ -355,12 +385,6 @@ def _named(rows: DataFrame, named: DataFrame, node: str = "node") -> DataFrame:
     return rows.join(other, F.col(node) == F.col("__id"), "left").withColumn("component", F.coalesce("__c", node)).drop("__id", "__c")
 
 
-def _apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) that lie in different components."""
-    x = _named(pairs, named, "a").withColumnRenamed("component", "ca")
-    return _named(x, named, "b").where("ca <> component").select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles (long), component_id (smallest doc_id of the component).
 
