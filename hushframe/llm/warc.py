@@ -5,14 +5,16 @@ finds, for each revisit, the latest earlier full response of the same canonical
 Last-Modified, or else the payload digest), and merges the headers: those of the response, replaced by those that a 304
 may carry.
 
-The join is as-of: rows of one URL are ordered by time and cut into buckets of bounded size; each bucket knows the last response before
-it from the buckets' summaries, so a URL with any share of all rows is spread over many tasks.
+The join is as-of: rows of one URL and time are summed up first; the times of one URL are cut into buckets of bounded size, finer where
+they are denser; each bucket knows the last response before it from the buckets' summaries, so a URL with any share of all
+rows, and any burst of them, is spread over many tasks.
 """
 
 from __future__ import annotations
 
-import gzip
 import io
+import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,14 +23,16 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Rows of one URL in a bucket, about.
-BUCKET_ROWS = 4_000
+#: Times of one URL in a bucket, at most; a bucket with more is cut into up to CELLS even parts, and those again, LEVELS times.
+BUCKET_ROWS, CELLS, LEVELS = 4_000, 4_096, 5
+#: Records and bytes of bodies that are given out at once.
+GIVEN, GIVEN_BYTES = 256, 16 << 20
 # Headers that a 304 response may carry for the stored response (RFC 9111, 9110), lower-cased.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "age", "warning"]
 # Parameters that only name where a visitor came from.
 TRACKING = "utm_[a-z]+|ref|fbclid|gclid"
 
-SCHEMA = "record_id string, type string, uri string, date string, digest string, refers_to string, status int, headers map<string,string>, body binary, file string, offset long"
+SCHEMA = "record_id string, type string, uri string, date string, digest string, refers_to string, status int, headers map<string,string>, body binary, file string, offset long, error string"
 
 
 def canonical_url(url: Column) -> Column:
@@ -43,9 +47,50 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(kept), "&"))).otherwise(""))
 
 
-def _records(raw: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Offset, header and block of each record of a WARC file, gzipped by record or plain. A record cut short ends the file."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(raw))) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)
+_LENGTH = re.compile(r"[0-9]{1,15}")
+_STATUS = re.compile(r"[0-9]{3}")
+
+
+class _Inflated(io.RawIOBase):
+    """The contents of gzip members one after the other, as far as they can be read; error says why no further."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.at, self.error = memoryview(raw), 0, ""
+        self.member, self.left = zlib.decompressobj(31), b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, out) -> int:
+        while not self.left and not self.error and (self.at < len(self.raw) or self.member.unconsumed_tail):
+            if self.member.eof:
+                self.at -= len(self.member.unused_data)
+                self.member = zlib.decompressobj(31)
+                continue
+            chunk = self.member.unconsumed_tail or self.raw[self.at : self.at + (1 << 16)]
+            self.at += 0 if self.member.unconsumed_tail else len(chunk)
+            try:
+                self.left = self.member.decompress(chunk, 1 << 20)
+            except zlib.error:
+                self.error = "damaged gzip"
+            if self.member.eof and self.member.unused_data:
+                self.at -= len(self.member.unused_data)
+                self.member = zlib.decompressobj(31)
+        if not self.left and not self.error and not self.member.eof and len(self.raw):
+            self.error = "gzip cut short"
+        n = min(len(out), len(self.left))
+        out[:n], self.left = self.left[:n], self.left[n:]
+        return n
+
+
+def _records(raw: bytes) -> Iterator[tuple[int, dict[str, str], bytes, str | None]]:
+    """Offset, header, block and error of each record of a WARC file, gzipped by record or plain.
+
+    What is damaged (no gzip, a record cut short, a length that is none) ends the file: its record comes last, with an error and what
+    could be read of it.
+    """
+    packed = _Inflated(raw) if raw[:2] == b"\x1f\x8b" else None
+    stream = io.BufferedReader(packed) if packed else io.BytesIO(raw)
     at = 0
     while line := stream.readline():
         begin, at = at, at + len(line)
@@ -57,12 +102,18 @@ def _records(raw: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
             name, _, value = line.decode("utf-8", "replace").partition(":")
             head[name.strip().lower()] = value.strip()
         at += len(line)
-        size = int(head["content-length"]) if head.get("content-length", "").isdigit() else 0
-        block = stream.read(size)
+        length = head.get("content-length", "")
+        if not _LENGTH.fullmatch(length):
+            yield begin, head, b"", packed and packed.error or "no content-length"
+            return
+        block = stream.read(int(length))
         at += len(block)
-        if len(block) < size:
+        if len(block) < int(length):
+            yield begin, head, block, packed and packed.error or "cut short"
             return
-        yield begin, head, block
+        yield begin, head, block, None
+    if packed and packed.error:
+        yield at, {}, b"", packed.error
 
 
 def _http(block: bytes) -> tuple[int | None, dict[str, str], bytes]:
@@ -76,52 +127,78 @@ def _http(block: bytes) -> tuple[int | None, dict[str, str], bytes]:
         if colon:
             name = name.strip().lower()
             headers[name] = f"{headers[name]}, {value.strip()}" if name in headers else value.strip()
-    return int(parts[1]) if len(parts) > 1 and parts[1].isdigit() else None, headers, body
+    return int(parts[1]) if len(parts) > 1 and _STATUS.fullmatch(parts[1]) else None, headers, body
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Rows SCHEMA, one for each response, revisit or resource record of WARC files (plain or .gz), a file in one task each."""
+    """Rows SCHEMA, one for each response, revisit or resource record of WARC files (plain or .gz), a file of up to 2 GB in one task each.
+
+    Of a damaged file the records before the damage are given, and last a row, of any record type, whose `error` says what is wrong
+    (null in all others). A status that is none is null. Records are given out GIVEN at a time. An empty file gives no rows.
+    """
+    names = [c.strip().split(" ")[0] for c in SCHEMA.replace("map<string,string>", "map").split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.strip().split(" ")[0] for c in SCHEMA.replace("map<string,string>", "map").split(",")]
         for batch in batches:
             for file, raw in zip(batch["path"], batch["content"]):
-                rows = []
-                for offset, head, block in _records(raw):
-                    if head.get("warc-type") in ("response", "revisit", "resource"):
+                rows, held = [], 0
+                for offset, head, block, error in _records(raw):
+                    if error or head.get("warc-type") in ("response", "revisit", "resource"):
                         status, headers, body = _http(block) if "http" in head.get("content-type", "") else (None, {}, block)
-                        rows.append((head.get("warc-record-id"), head["warc-type"], head.get("warc-target-uri", "").strip("<>") or None, head.get("warc-date"), head.get("warc-payload-digest"), head.get("warc-refers-to"), status, headers, body, file, offset))
+                        rows.append((head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri", "").strip("<>") or None, head.get("warc-date"), head.get("warc-payload-digest"), head.get("warc-refers-to"), status, headers, body, file, offset, error))
+                        held += len(body)
+                    if len(rows) == GIVEN or held > GIVEN_BYTES:
+                        yield _frame(rows, names)
+                        rows, held = [], 0
                 if rows:
-                    yield pd.DataFrame(rows, columns=names)
+                    yield _frame(rows, names)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
 
 
-def _buckets(rows: DataFrame) -> DataFrame:
-    """rows (url, at, ...) with `__bucket`, growing with time within a URL: stretches of time that hold about BUCKET_ROWS rows."""
-    # a hot URL's time is cut evenly into finer and finer cells; cells are counted, and their counts summed up to buckets
-    sizes = rows.groupBy("url").agg(F.count("*").alias("__n"), F.min("at").alias("__from"), F.max("at").alias("__to")).where(f"__n > {BUCKET_ROWS}")
-    sizes, _ = shared.write_table(sizes, "hot-urls")
-    other = shared.small(sizes.withColumnRenamed("url", "__url"))
-    width = F.greatest(F.col("__to") - F.col("__from") + 1, F.lit(1))
-    cells = F.ceil(F.col("__n") / BUCKET_ROWS)
-    cell = F.floor((F.col("at") - F.col("__from")).cast("double") * cells / width)
-    return rows.join(other, F.col("url") == F.col("__url"), "left").withColumn("__bucket", F.coalesce(cell.cast("long"), F.lit(0).cast("long"))).drop("__url", "__n", "__from", "__to")
+def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=names).astype({"status": "Int32"})
+
+
+def _buckets(times: DataFrame) -> DataFrame:
+    """times (url, at, ...), each once, with `__bucket`, growing with time within a URL, of up to BUCKET_ROWS times.
+
+    A bucket with more is cut into even stretches of time, those with more again. Counts are summed up before they are shuffled.
+    """
+    spark, before = times.sparkSession, None
+    cut = times.withColumn("__bucket", F.lit(0).cast("long"))
+    for _ in range(LEVELS):
+        cut, path = shared.write_table(cut, "asof")
+        if before:
+            shared.drop_tables(spark, before)
+        before = path
+        sizes = cut.groupBy("url", "__bucket").agg(F.count("*").alias("__n"), F.min("at").alias("__from"), F.max("at").alias("__to")).where(f"__n > {BUCKET_ROWS}")
+        sizes, sizes_path = shared.write_table(sizes, "hot-urls")
+        if sizes.isEmpty():
+            return cut
+        cells = F.least(F.ceil(2 * F.col("__n") / BUCKET_ROWS), F.lit(CELLS))
+        cell = F.floor((F.col("at") - F.col("__from")).cast("decimal(20,0)") * cells / (F.col("__to") - F.col("__from") + 1).cast("decimal(20,0)"))
+        other = shared.small(sizes.withColumnsRenamed({"url": "__url", "__bucket": "__in"}))
+        met = cut.join(other, (F.col("url") == F.col("__url")) & (F.col("__bucket") == F.col("__in")), "left")
+        cut = met.withColumn("__bucket", F.col("__bucket") * CELLS + F.coalesce(cell.cast("long"), F.lit(0).cast("long"))).drop("__url", "__in", "__n", "__from", "__to")
+    return cut  # as fine as CELLS ** LEVELS cells of a URL's whole time
 
 
 def latest_before(rows: DataFrame) -> DataFrame:
-    """For each row (url, at, id, full, ...) that is not full, `base`: the id of the url's latest full row earlier than at.
+    """Rows (url, at, base) for each url and time of a row (url, at, id, full) that is not full: the id of the latest full row earlier than at.
 
-    Of several full rows at one time the one with the largest id counts. full: boolean; at: long; id: any ordered type.
+    Of several full rows at one time the one with the largest id counts; null where there is none. full: boolean; at: long; id: any ordered type.
     """
-    cut, _ = shared.write_table(_buckets(rows), "asof")
-    pick = F.max(F.when(F.col("full"), F.struct("at", "id")))
-    ends = cut.groupBy("url", "__bucket").agg(pick.alias("last"), F.max((~F.col("full")).cast("int")).alias("asks"))
+    full = F.max(F.when(F.col("full"), F.col("id"))).alias("id")
+    times = rows.groupBy("url", "at").agg(full, F.max(F.when(F.col("full"), F.col("at"))).alias("full_at"), F.max((~F.col("full")).cast("int")).alias("asks"))
+    cut = _buckets(times)
+    last = F.max(F.when(F.col("full_at").isNotNull(), F.struct("at", "id")))
+    ends = cut.groupBy("url", "__bucket").agg(last.alias("last"), F.max("asks").alias("asks"))
     earlier = Window.partitionBy("url").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("url", "__bucket", F.max("last").over(earlier).alias("__carried"), "asks").where("asks = 1").drop("asks")
-    within = Window.partitionBy("url", "__bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    own = cut.withColumn("__own", F.max(F.when(F.col("full"), F.struct("at", "id"))).over(within)).where(~F.col("full"))
-    return own.join(carried, ["url", "__bucket"]).withColumn("base", F.coalesce("__own.id", "__carried.id")).drop("__own", "__carried", "__bucket")
+    within = Window.partitionBy("url", "__bucket").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    own = cut.withColumn("__own", last.over(within)).where("asks = 1")
+    return own.join(carried, ["url", "__bucket"]).select("url", "at", F.coalesce("__own.id", "__carried.id").alias("base"))
 
 
 def resolve(records: DataFrame) -> DataFrame:
@@ -135,9 +212,9 @@ def resolve(records: DataFrame) -> DataFrame:
     """
     named = records.withColumn("url", canonical_url(F.col("uri")))
     slim = named.where(F.col("url").isNotNull() & F.col("at").isNotNull()).select("url", "at", "id", (F.col("type") == "response").alias("full"), F.col("type").alias("__type"))
-    asof = latest_before(slim.where(F.col("full") | (F.col("__type") == "revisit")).drop("__type")).select("id", "url", "at", "base").distinct()
+    asof = latest_before(slim.where(F.col("full") | (F.col("__type") == "revisit")).drop("__type"))
     asks = named.where(F.col("type") == "revisit").select(F.col("id").alias("rid"), F.col("url").alias("rurl"), F.col("at").alias("rat"), F.col("etag").alias("r_etag"), F.col("last_modified").alias("r_modified"), F.col("digest").alias("r_digest"), F.col("headers").alias("r_headers"))
-    found = asks.join(asof, F.col("rid").eqNullSafe(F.col("id")) & (F.col("rurl") == F.col("url")) & (F.col("rat") == F.col("at")), "left").drop("id", "url", "at")
+    found = asks.join(asof, (F.col("rurl") == F.col("url")) & (F.col("rat") == F.col("at")), "left").drop("url", "at")
     full = records.where(F.col("type") == "response").select(F.col("id").alias("bid"), F.col("at").alias("bat"), F.col("etag").alias("b_etag"), F.col("last_modified").alias("b_modified"), F.col("digest").alias("b_digest"), F.col("headers").alias("b_headers"))
     both = found.join(full.dropDuplicates(["bid"]), F.col("base") == F.col("bid"), "left")
     weak = lambda c: F.regexp_replace(F.trim(c), "^W/", "")
