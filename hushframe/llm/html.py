@@ -34,89 +34,145 @@ _ENDS = {
 ENDS = {k: (set(v[0].split()), set(v[1].split())) for k, v in _ENDS.items()}
 ENDS_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body", "option", "optgroup", "legend"}
 
-_MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+_COMMENT_END = re.compile(r"--!?>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_UNQUOTED = re.compile(r"[^>\"']*")
+_NUMBER = re.compile(r"[ \t\n\r\f]*(-?[0-9]{1,9})(?![0-9])")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    """An element: its name, its children (elements or texts), whether it is shown, and the number its list begins with."""
+    """An element: its name, its children (elements or texts), whether it is shown, the number its list begins with, a cell's spans."""
 
-    __slots__ = ("name", "children", "shown", "start")
+    __slots__ = ("name", "children", "shown", "start", "columns", "rows")
 
-    def __init__(self, name: str, shown: bool = True, start: int = 1):
-        self.name, self.children, self.shown, self.start = name, [], shown, start
+    def __init__(self, name: str, shown: bool = True, start: int = 1, columns: int = 1, rows: int = 1):
+        self.name, self.children, self.shown, self.start, self.columns, self.rows = name, [], shown, start, columns, rows
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): unescape((v or "").strip("\"'")) for k, v in _ATTRIBUTE.findall(text)}
 
 
+def _number(text: str, default: int, low: int = -(10**9), high: int = 10**9) -> int:
+    """The whole number of up to nine digits that text begins with, between low and high; else the default."""
+    m = _NUMBER.match(text)
+    return min(max(int(m[1]), low), high) if m else default
+
+
+#: Tags whose quotes never close are looked at so often; after that quotes in tags count as other characters.
+UNCLOSED = 20
+
+
+class _Scanner:
+    """Finds tags from left to right. Each search either moves on or is remembered to be in vain, so any page takes linear time."""
+
+    def __init__(self, page: str):
+        self.page, self.unclosed = page, 0
+        self.last = page.rfind(">")  # behind it no tag ends
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends a tag whose attributes begin at `at`, or -1: quoted ones don't count."""
+        page, first = self.page, at
+        if at > self.last:
+            return -1
+        while self.unclosed < UNCLOSED:
+            at = _UNQUOTED.match(page, at).end()
+            if at == len(page):
+                break
+            if page[at] == ">":
+                return at
+            close = page.find(page[at], at + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.unclosed += 1
+        return page.find(">", first)
+
+
 def parse(page: str) -> Node:
     """The page's tree. Any text gives a tree: what closes nothing is passed over, what is open at the end is closed."""
     root = Node("html")
     open_, at, n = [root], 0, len(page)
+    where: dict[str, list[int]] = {}  # places of open elements by name
+    scan = _Scanner(page)
+
+    def cut(i: int) -> None:
+        while len(open_) > i:
+            where[open_.pop().name].pop()
+
+    def last(names) -> int:
+        return max((where[x][-1] for x in names if where.get(x)), default=0)
 
     def close(names: set[str], bounds: set[str]) -> None:
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].name in names:
-                at_ = i
-                while at_ > 1 and open_[at_ - 1].name in names:
-                    at_ -= 1
-                del open_[at_:]
-                return
-            if open_[i].name in bounds:
-                return
+        i = last(names)
+        if i > last(bounds):
+            while i > 1 and open_[i - 1].name in names:
+                i -= 1
+            cut(i)
 
     def put(text: str) -> None:
         if open_[-1].name == "head" and _SPACE.sub("", text):
-            open_.pop()
+            cut(len(open_) - 1)
         open_[-1].children.append(text)
 
-    while at < n:
-        m = _MARKUP.search(page, at)
-        if m is None:
-            put(unescape(page[at:]))
-            break
-        if m.start() > at:
-            put(unescape(page[at : m.start()]))
-        at = m.end()
-        if not m[2]:
+    begin = 0  # where text not yet put begins
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            if at > begin:
+                put(unescape(page[begin:at]))
+            m = _COMMENT_END.search(page, at + 4)
+            begin = at = m.end() if m else n
+            continue
+        m = _TAG.match(page, at)
+        stop = scan.end(m.end()) if m else page.find(">", at) if page[at + 1 : at + 2] in ("!", "?", "/") and at < scan.last else -1
+        if stop < 0:
+            at += 1
+            continue
+        if at > begin:
+            put(unescape(page[begin:at]))
+        begin = at = stop + 1
+        if not m:
             continue
-        name = m[2].lower()
+        name, attributes = m[2].lower(), page[m.end() : stop]
         if m[1]:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].name == name:
-                    del open_[i:]
-                    break
-                if open_[i].name in ("table", "td", "th") and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
-            else:
-                if name == "p":
-                    open_[-1].children.append(Node("p"))
+            own = last((name,))
+            if own and (name in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") or own >= last(("table", "td", "th"))):
+                cut(own)
+            elif name == "p":
+                open_[-1].children.append(Node("p"))
             continue
-        if name in ENDS_P and any(x.name == "p" for x in open_[1:]):
+        if name in ENDS_P and where.get("p"):
             close({"p"}, {"table", "td", "th", "button", "caption", "object"})
         if name in ENDS:
             close(*ENDS[name])
         if name == "html":
             continue
         if open_[-1].name == "head" and name not in HEAD:
-            open_.pop()
-        drawn = any(x.name in ("svg", "math") for x in open_[1:])
-        own = _attributes(m[3]) if m[3] and not m[3].isspace() else {}
+            cut(len(open_) - 1)
+        drawn = bool(where.get("svg") or where.get("math"))
+        own = _attributes(attributes) if attributes and not attributes.isspace() else {}
         hidden = name in HIDDEN or "hidden" in own or (drawn and name in UNDRAWN) or ("style" in own and _NONE.search(own["style"]) is not None) or (name == "input" and own.get("type", "").lower() == "hidden")
-        node = Node(name, not hidden, int(own["start"]) if name == "ol" and own.get("start", "").lstrip("-").isdigit() else 1)
+        node = Node(name, not hidden)
+        if name == "ol":
+            node.start = _number(own.get("start", ""), 1)
+        elif name in ("td", "th"):
+            node.columns, node.rows = _number(own.get("colspan", ""), 1, 1, 1000), _number(own.get("rowspan", ""), 1, 0, 65534)
         open_[-1].children.append(node)
         if name == "img" and own.get("alt"):
             node.children.append(own["alt"])
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            node.children.append(page[at : end.start() if end else n])
-            at = end.end() if end else n
-        elif name not in VOID and not (m[3].endswith("/") and (drawn or name in ("svg", "math"))):
+            m = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
+            stop = page.find(">", m.end()) if m else -1
+            node.children.append(page[at : m.start() if m else n])
+            begin = at = stop + 1 if stop >= 0 else n
+        elif name not in VOID and not (attributes.endswith("/") and (drawn or name in ("svg", "math"))):
+            where.setdefault(name, []).append(len(open_))
             open_.append(node)
+    if begin < n:
+        put(unescape(page[begin:]))
     return root
 
 
@@ -155,48 +211,82 @@ class Layout:
         self.lines += lines
 
 
+#: A table whose columns together are wider than so many characters, or more than so many, is not aligned: cells follow each other.
+WIDEST, COLUMNS = 1000, 1000
+_GROUPS = ("tbody", "thead", "tfoot", "colgroup", "col")
+
+
+def _placed(rows: list[list[tuple[Node, list[str]]]]) -> list[list[tuple[int, int, list[str]]]]:
+    """Cells of each row as (column, columns, lines): each takes the first columns that no cell from above reaches into."""
+    out, reach = [], {}  # column: rows that a cell above still covers
+    for k, row in enumerate(rows):
+        now, column, new = [], 0, {}
+        for cell, lines in row:
+            while reach.get(column, 0) > 0:
+                column += 1
+            span = min(cell.columns, max(1, COLUMNS - column))
+            if down := (cell.rows or len(rows) - k) - 1:
+                new.update((c, down) for c in range(column, column + span))
+            now.append((column, span, lines))
+            column += span
+        reach = {c: d - 1 for c, d in reach.items() if d > 1} | new
+        out.append(now)
+    return out
+
+
 def _table(node: Node, depth: int) -> list[str]:
     """Rows of cells, each column as wide as its widest line; a cell's further lines stand below its first.
 
-    Text in the table, a row or a group of rows, but in no cell, stands before the table.
+    A cell stands in the first of its columns; its lines may reach over the others. Text in the table, a row or a group of rows,
+    but in no cell, stands before the table.
     """
     rows, captions, loose = [], [], []
-    todo = [(node, None)]
+    todo = list(reversed(node.children))
     while todo:
-        x, row = todo.pop()
+        x = todo.pop()
         if isinstance(x, str):
             loose += [x] if x.strip() else []
+        elif not x.shown:
             continue
-        for child in reversed(x.children):
-            if isinstance(child, str) or child.shown:
-                todo.append((child, x))
-        if x is node:
-            continue
-        if x.name in ("td", "th"):
-            todo = [t for t in todo if t[1] is not x]
+        elif x.name in ("td", "th"):
             if not rows:
                 rows.append([])
-            rows[-1].append(_lines(x.children, depth + 1, depth + 1))
-        elif x.name == "tr":
-            rows.append([])
-        elif x.name == "caption":
-            todo = [t for t in todo if t[1] is not x]
-            captions += _lines(x.children, depth + 1, depth + 1)
-        elif x.name not in ("tbody", "thead", "tfoot", "colgroup", "col"):
-            todo = [t for t in todo if t[1] is not x]
-            captions += _lines([x], depth + 1, depth + 1)
-    rows = [r for r in rows if any(r)]
-    widths: list[int] = []
-    for r in rows:
-        for i, cell in enumerate(r):
-            if i == len(widths):
-                widths.append(0)
-            widths[i] = max(widths[i], max(map(len, cell), default=0))
-    out = captions
-    for r in rows:
-        for k in range(max(len(c) for c in r)):
-            out.append("  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(r, widths)).rstrip(" "))
-    return _lines(loose) + out if loose else out
+            rows[-1].append((x, _lines(x.children, depth + 1, depth + 1)))
+        elif x.name == "tr" or x.name in _GROUPS:
+            if x.name == "tr":
+                rows.append([])
+            todo += reversed(x.children)
+        else:
+            captions += _lines(x.children if x.name == "caption" else [x], depth + 1, depth + 1)
+    grid = _placed(rows)
+    need: dict[int, int] = {}
+    for row in grid:
+        for column, span, lines in row:
+            if span == 1:
+                need[column] = max(need.get(column, 0), max(map(len, lines), default=0))
+    widest = max((c + s for row in grid for c, s, _ in row), default=0)
+    widths = [need.get(c, 0) for c in range(min(widest, COLUMNS))]
+    for row in grid:  # a cell over several columns widens the last of them where it needs to
+        for column, span, lines in row:
+            if span > 1 and column + span <= len(widths):
+                lack = max(map(len, lines), default=0) - sum(widths[column : column + span]) - 2 * (span - 1)
+                widths[column + span - 1] += max(0, lack)
+    aligned = widest <= COLUMNS and sum(widths) <= WIDEST
+    begin = [0]
+    for w in widths:
+        begin.append(begin[-1] + w + 2)
+    out = []
+    for row in grid:
+        for k in range(max((len(lines) for *_, lines in row), default=0)):
+            line = ""
+            for column, _, lines in row:
+                if aligned:
+                    line = line.ljust(begin[column])
+                elif line:
+                    line += "  "
+                line += lines[k] if k < len(lines) else ""
+            out.append(line.rstrip(" "))
+    return [*(_lines(loose) if loose else []), *captions, *out]
 
 
 #: Elements nested deeper are laid out as if they stood in the last one.
@@ -317,7 +407,8 @@ def visible_text(page: str | None) -> str:
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages with `text` (visible text) and `n_lines` (long, its lines; 0 if empty) in place of columns so named and of html.
 
-    A null or empty page, and one without visible text, gives an empty text. Any string gives a result. One pass, no shuffle;
+    A null or empty page, and one without visible text, gives an empty text. Any string gives a result, in time that grows with its
+    length. A number that is none, or has more than nine digits, counts as not given; quotes that never close are taken as other characters. One pass, no shuffle;
     repeated rows stay; an empty table gives an empty table.
     """
 
