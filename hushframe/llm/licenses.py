@@ -2,14 +2,16 @@
 
 Every four words in a row of every document are hashed and joined with the places of such hashes in the templates. A match
 votes for a template and an offset, the document's place less the template's: a diagonal. Votes are counted by diagonal,
-diagonals next to each other are merged, as inserted or lost words shift a text by few words, and the stretch that a merged
-diagonal covers is held against the template's words.
+diagonals next to each other are merged, as inserted or lost words shift a text by few words, each place of the template counted
+once, and the stretch that a merged diagonal covers is held against the template's words in their order (longest common subsequence).
 
 Equal texts are one: votes are held by a 128-bit key of the text and joined back to the rows.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,17 @@ TEMPLATES = [
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("lgpl-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("agpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions."),
+    ("bsl-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software."),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("ofl-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("cc-by-nd-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc-by-nc-sa-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
 
@@ -76,14 +89,14 @@ def _measured(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def votes(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
-    """Rows (k1, k2, template, diagonal, hits, low, high): matching hashes by diagonal, from place low to high of the text."""
+    """Rows (k1, k2, template, diagonal, places, low, high): the template's places with matching hashes by diagonal, from place low to high of the text."""
     whole = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.xxhash64(whole).alias("k1"), F.xxhash64(F.lit("key"), whole).alias("k2"), words(F.col(text)).alias("w"))
     rolled = keyed.select("k1", "k2", shared.grams(F.col("w"), GRAM).alias("grams")).select("k1", "k2", F.posexplode_outer("grams").alias("pos", "g"))
     places = known.select("template", F.posexplode("grams").alias("at", "g"))
     met = rolled.join(shared.small(places), "g").withColumn("diagonal", F.col("pos") - F.col("at"))
-    # copies of a text give the same places, so places are counted once
-    return met.groupBy("k1", "k2", "template", "diagonal").agg(F.count_distinct("pos").alias("hits"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+    # a template bounds the set of its places; copies of a text give the same ones
+    return met.groupBy("k1", "k2", "template", "diagonal").agg(F.collect_set("at").alias("places"), F.min("pos").alias("low"), F.max("pos").alias("high"))
 
 
 def stretches(counted: DataFrame) -> DataFrame:
@@ -93,14 +106,36 @@ def stretches(counted: DataFrame) -> DataFrame:
     apart = before[0].isNull() | (F.abs(F.col("diagonal") - before[0]) > NEAR) | (F.col("low") > before[1] + GRAM + NEAR)
     marked = counted.withColumn("__new", apart.cast("int"))
     marked = marked.withColumn("part", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy("k1", "k2", "template", "part").agg(F.sum("hits").alias("hits"), F.min("low").alias("low"), F.max("high").alias("high")).drop("part")
+    at = marked.groupBy("k1", "k2", "template", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    hits = marked.select("k1", "k2", "template", "part", F.explode("places").alias("at")).groupBy("k1", "k2", "template", "part").agg(F.count_distinct("at").alias("hits"))
+    return at.join(hits, ["k1", "k2", "template", "part"]).drop("part")
+
+
+def common(left: list, right: list) -> int:
+    """The length of the longest common subsequence of two lists of words."""
+    codes: dict = {}
+    x, y = (np.array([codes.setdefault(w, len(codes)) for w in part], np.int64) for part in (left, right))
+    best = np.zeros(len(y) + 1, np.int64)
+    for w in x:  # row by row: a match lengthens the best one before it, and the best so far is carried to the right
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], np.where(y == w, best[:-1] + 1, 0)))
+    return int(best[-1])
+
+
+def common_column(left: Column, right: Column) -> Column:
+    """common() of two columns, in Arrow batches."""
+
+    @F.pandas_udf("long")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([common(list(a), list(b)) for a, b in zip(x, y)], dtype="int64")
+
+    return run(left, right)
 
 
 def scan(docs: DataFrame, listed: list[tuple[str, str]] = TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows of docs measured, and spans (k1, k2, label, first_word, end_word, score) of templates verified in their texts.
 
-    score: of the template's hashes, the share that the stretch has, times the share of the stretch's words that the
-    template has; at least PERCENT.
+    score: of the template's words, the share that the stretch has in their order, times the share of the stretch's words that are
+    those; at least PERCENT.
     """
     known, _ = shared.write_table(templates(docs.sparkSession, listed), "templates")
     measured, _ = shared.write_table(_measured(docs, doc_id, text), "measured")
@@ -112,9 +147,10 @@ def scan(docs: DataFrame, listed: list[tuple[str, str]] = TEMPLATES, doc_id: str
     keys = sized.select("k1", "k2").distinct()
     own = texts.join(shared.small(keys), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("k1", "k2", words(F.col("text")).alias("words"))
     span = own.join(sized, ["k1", "k2"]).withColumn("span", F.slice("words", F.col("low") + 1, F.col("high") - F.col("low") + GRAM)).drop("words")
-    covered = F.least(F.lit(1.0), F.col("hits") / F.col("n"))
-    inside = F.size(F.filter("span", lambda x: F.array_contains("w", x))) / F.size("span")
-    scored = span.withColumn("score", F.round(covered * inside, 6)).where(100 * F.col("score") >= PERCENT)
+    # copies repeat a template without end: a stretch far longer than it can't reach PERCENT
+    short = span.where(PERCENT * F.size("span") <= 100 * F.size("w"))
+    both = short.withColumn("common", common_column(F.col("span"), F.col("w")))
+    scored = both.withColumn("score", F.round(F.col("common") / F.size("w") * F.col("common") / F.size("span"), 6)).where(100 * F.col("score") >= PERCENT)
     return measured, scored.select("k1", "k2", "label", F.col("low").cast("long").alias("first_word"), (F.col("high") + GRAM).cast("long").alias("end_word"), "score")
 
 
