@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -21,12 +21,24 @@ from . import shared
 BUCKET_ROWS = 4_000
 
 
-def _placed(rows: DataFrame, group: list[str], bucket: str, order: list, name: str, label: str) -> DataFrame:
-    """rows with `name`: the place from 0 within the group, whose buckets follow each other and are each ordered by `order`."""
-    counts = rows.groupBy(*group, bucket).agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    whole = F.sum("__n").over(Window.partitionBy(*(group or [F.lit(0)])))
-    starts, _ = shared.write_table(counts.select(*group, bucket, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), whole.alias("__total")), label)
+#: Buckets that are summed up in one task at most, about.
+SUMMED = 4_096
+
+
+def _placed(rows: DataFrame, group: list[str], bucket: str, order: list, name: str, label: str, coarse: Column) -> DataFrame:
+    """rows with `name`: the place from 0 within the group, whose buckets follow each other and are each ordered by `order`.
+
+    coarse: of a bucket, growing with it, the same for up to SUMMED of a group's buckets: sums go over those first and then over coarse ones.
+    """
+    counts = rows.groupBy(*group, bucket).agg(F.count("*").alias("__n")).withColumn("__coarse", coarse)
+    whole_group = group or [F.lit(0)]
+    parts = counts.groupBy(*group, "__coarse").agg(F.sum("__n").alias("__sum"))
+    ahead = Window.partitionBy(*whole_group).orderBy("__coarse").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*(F.col(k).alias(f"__p_{k}") for k in group), F.col("__coarse").alias("__p"), F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__ahead"), F.sum("__sum").over(Window.partitionBy(*whole_group)).alias("__total"))
+    before = Window.partitionBy(*group, "__coarse").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    local = counts.withColumn("__local", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    same = [F.col(k).eqNullSafe(F.col(f"__p_{k}")) for k in group] + [F.col("__coarse") == F.col("__p")]
+    starts, _ = shared.write_table(local.join(parts, same).select(*group, bucket, (F.col("__ahead") + F.col("__local")).alias("__before"), "__total"), label)
     within = Window.partitionBy(*group, bucket).orderBy(*order)
     keys = [*group, bucket]
     starts = starts.select(*(F.col(k).alias(f"__s_{k}") for k in keys), "__before", "__total")
@@ -48,18 +60,18 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 0, doc_id: str = "
         F.col(source).alias("source"),
         (F.octet_length(whole) + 16).cast("long").alias("size"),
         F.crc32(F.encode(whole, "UTF-8")).alias("text_crc32"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary")).alias("__key"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.crc32(F.encode(whole, "UTF-8")).cast("string"))).cast("binary")).alias("__key"),
     )
     rows, path = shared.write_table(rows, "sharding")
     total = rows.count()
     if not total:
         return rows.select("doc_id", "source", "size", "text_crc32", F.lit(0).cast("int").alias("shard"), F.lit(0).cast("long").alias("slot"))
     digits = max(0, math.ceil(math.log(total / BUCKET_ROWS, 16)))
-    ranked = _placed(rows.withColumn("__bucket", F.substring("__key", 1, digits)), ["source"], "__bucket", ["__key", "doc_id", "text_crc32", "size"], "__rank", "ranks")
+    ranked = _placed(rows.withColumn("__bucket", F.substring("__key", 1, digits)), ["source"], "__bucket", ["__key", "doc_id", "text_crc32", "size"], "__rank", "ranks", F.substring("__bucket", 1, max(0, digits - 3)))
     ranked = ranked.withColumn("__share", (F.col("__rank") + 0.5) / F.col("__total"))
     buckets = max(1, total // BUCKET_ROWS)
     ranked, _ = shared.write_table(ranked.withColumn("__bucket", F.floor(F.col("__share") * buckets)).drop("__total", "__rank"), "ranked")
-    placed = _placed(ranked, [], "__bucket", ["__share", "__key", "source", "doc_id", "text_crc32", "size"], "__place", "places")
+    placed = _placed(ranked, [], "__bucket", ["__share", "__key", "source", "doc_id", "text_crc32", "size"], "__place", "places", F.floor(F.col("__bucket") / SUMMED))
     # exact long division, not doubles
     shard = F.expr(f"cast((__place * {shards}L) div {total}L as int)")
     first = F.expr(f"(shard * {total}L + {shards - 1}L) div {shards}L")
