@@ -17,10 +17,12 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new one on a local master; a cluster must name it."""
     spark_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not spark_dir:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not found.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark_dir = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", spark_dir)
     return spark_dir.rstrip("/")
@@ -68,7 +70,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of links (a, b): rows (id, component) of all ids but each component's smallest, which is its name.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014). Each round shuffles the links once
-    for each star; a hub's links are aggregated by min() before the shuffle and never gathered in one task.
+    for each star. Minima are formed before the shuffle; the joins with them are on ids, where AQE parts a hub with very many links.
     """
     spark = links.sparkSession
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
