@@ -90,7 +90,79 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
+_RULES = {
+    "short": "n_words < 50", "repeats": "100 * n_repeat_words > 50 * n_words", "symbols": "100 * n_symbols > 30 * n_words", "lines": "100 * n_dup_lines > 30 * n_lines",
+    "base": "n_words < 50 OR 100 * n_repeat_words > 50 * n_words",
+}
+_BETWEEN = "greatest(var_pop({k} / n) - (sum({k}) / sum(n)) * (1 - sum({k}) / sum(n)) * avg(1 / n), 0)"
+_STRENGTH = "least(greatest(CASE WHEN b_{k} > 0 THEN m_{k} * (1 - m_{k}) / b_{k} - 1 ELSE 1e6 END, 2), 1e6)"
+
 SQL: dict[str, str] = {
+    "op1_quality_rules": rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents
+), lined AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM docs
+), grams AS (
+  SELECT rid, i, w || ' ' || lead(w, 1) OVER p || ' ' || lead(w, 2) OVER p AS g FROM (SELECT rid, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM lined) WINDOW p AS (PARTITION BY rid ORDER BY i)
+), again AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM grams WHERE g IS NOT NULL) WHERE n > 1
+), covered AS (
+  SELECT rid, count(DISTINCT i + d) AS n FROM again CROSS JOIN (VALUES (0), (1), (2)) t(d) GROUP BY rid
+), measured AS (
+  SELECT rid, doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+  FROM lined LEFT JOIN covered USING (rid)
+), hosts AS (
+  SELECT source, count(*)::double AS n, {", ".join(f"sum(({c})::int) AS {k}" for k, c in _RULES.items())} FROM measured WHERE source IS NOT NULL GROUP BY source
+), prior AS (
+  SELECT {", ".join(f"sum({k}) / sum(n) AS m_{k}, {_BETWEEN.format(k=k)} AS b_{k}" for k in _RULES)} FROM hosts
+), rates AS (
+  SELECT source, {", ".join(f"({k} + m_{k} * {_STRENGTH.format(k=k)}) / (n + {_STRENGTH.format(k=k)}) AS r_{k}" for k in _RULES)} FROM hosts CROSS JOIN prior
+), verdicts AS (
+  SELECT source, CASE WHEN r_base >= 0.8 THEN 'blocked' WHEN greatest(r_short, r_repeats, r_symbols, r_lines) >= 0.5 THEN 'watched' ELSE 'fine' END AS verdict FROM rates
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({_RULES["base"]}) AS base_failed,
+  NOT ({_RULES["base"]}) AND coalesce(verdict, 'fine') <> 'blocked' AND (coalesce(verdict, 'fine') <> 'watched' OR NOT ({_RULES["symbols"]} OR {_RULES["lines"]})) AS kept
+FROM measured LEFT JOIN verdicts USING (source)
+""",
+    "op4_ngram_jaccard_join": r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT rid, g FROM (
+    SELECT rid, w || ' ' || lead(w, 1) OVER p || ' ' || lead(w, 2) OVER p || ' ' || lead(w, 3) OVER p || ' ' || lead(w, 4) OVER p AS g
+    FROM (SELECT rid, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM docs WHERE len(w) >= 5) WINDOW p AS (PARTITION BY rid ORDER BY i)
+    UNION ALL SELECT rid, array_to_string(w, ' ') FROM docs WHERE len(w) BETWEEN 1 AND 4
+  ) WHERE g IS NOT NULL
+), sizes AS (SELECT rid, count(*) AS n FROM grams GROUP BY rid
+), shared AS (
+  SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM grams x JOIN grams y ON x.g = y.g AND x.rid < y.rid GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.rid = a JOIN sizes y ON y.rid = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(a, b) AS (
+  SELECT rid, rid FROM docs UNION SELECT r.a, l.b FROM reach r JOIN ways l ON r.b = l.a
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM reach JOIN docs d ON d.rid = reach.a JOIN docs o ON o.rid = reach.b LEFT JOIN sizes s ON s.rid = d.rid GROUP BY d.rid, d.doc_id, s.n
+""",
+    "op6_sharding": r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t
+), docs AS (
+  SELECT doc_id, source, strlen(coalesce(text, '')) + 16 AS size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda h: (16 * (instr('0123456789ABCDEF', h[1]) - 1) + instr('0123456789ABCDEF', h[2]) - 1)::bigint)),
+      lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) AS text_crc32
+  FROM documents CROSS JOIN crc
+), keyed AS (SELECT *, md5('0:' || coalesce(doc_id::varchar, text_crc32::varchar)) AS key FROM docs
+), ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, text_crc32, size) - 1 + 0.5::double) / count(*) OVER (PARTITION BY source) AS share FROM keyed
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY share, key, source NULLS FIRST, doc_id NULLS FIRST, text_crc32, size) - 1 AS place, count(*) OVER () AS total FROM ranked
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, ((place * 40) // total)::int AS shard, place - ((place * 40) // total * total + 39) // 40 AS slot, NULL::int AS grown_shard, source FROM placed
+""",
     "op3_warc_revisits": r"""
 WITH parts AS (
   SELECT page_id AS page, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.\-]*://', '') AS plain, sha1(coalesce(html, '')) AS digest FROM pages
