@@ -6,7 +6,7 @@ A pattern's first group is what stays before the secret; the secret is what foll
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,6 +84,14 @@ def _hinted(text: Column, name: str) -> Column:
     return out
 
 
+def may_hold(text: Column, cards: bool = False, aws: bool = False, embedded: bool = False) -> Column:
+    """Whether a text may hold a span, a key and value or, if asked, a document: plain searches only."""
+    out = text.contains("=") | text.contains(":")
+    for name in spans(cards, aws):
+        out = out | _hinted(text, name)
+    return out | text.contains("{") | text.contains("[") if embedded else out
+
+
 def quoted(marker: str) -> str:
     """A marker as replacement text."""
     return marker.replace("\\", "\\\\").replace("$", "\\$")
@@ -115,9 +123,9 @@ def detect_spans(text: Column, cards: bool = False, aws: bool = False) -> Column
 
 
 def detect_pairs(text: Column) -> Column:
-    """array<struct<key, value>> of keys and values, values without their opening quote."""
+    """array<struct<key, value>> of keys and values, values without their opening quote; those inside a value too."""
     pattern = pair_pattern()
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    hits = F.regexp_extract_all(text, F.lit(f"(?=({pattern}))"), F.lit(1))  # looks ahead, so the search goes on inside a match
     part = lambda m, i: F.regexp_extract(m, "^" + pattern, i)
     return F.transform(hits, lambda m: F.struct(F.concat(part(m, 2), part(m, 3)).alias("key"), F.regexp_replace(part(m, 4), "^[\"']", "").alias("value")))
 
@@ -145,6 +153,7 @@ def mask_text(text: Column, keys: dict[str, rules.Rule], marker: str, cards: boo
         joined = F.array_join(F.zip_with(pieces, hits, lambda p, m: F.concat(p, F.coalesce(one(m), F.lit("")))), "")
         out = F.when(out.rlike(pattern), joined).otherwise(out)
     for name, p in spans(cards, aws).items():
+        hinted = _hinted(text, name)
         if name == "card":
             pieces, hits = F.split(out, p, -1), F.regexp_extract_all(out, F.lit(p), F.lit(0))
             digits = lambda m: F.regexp_replace(m, "[ -]", "")
@@ -152,17 +161,14 @@ def mask_text(text: Column, keys: dict[str, rules.Rule], marker: str, cards: boo
             joined = F.array_join(F.zip_with(pieces, hits, lambda a, m: F.concat(a, F.coalesce(shown(m), F.lit("")))), "")
             out = F.when(out.rlike(p), joined).otherwise(out)
         else:
-            out = F.regexp_replace(out, p, "$1" + quoted(marker))
-    maybe = text.contains("=") | text.contains(":")
-    for name in spans(cards, aws):
-        maybe = maybe | _hinted(text, name)
-    return F.when(maybe, out).otherwise(text)
+            out = F.when(hinted, F.regexp_replace(out, p, "$1" + quoted(marker))).otherwise(out) if name == "pem" else F.regexp_replace(out, p, "$1" + quoted(marker))
+    return F.when(may_hold(text, cards, aws), out).otherwise(text)
 
 
 # ---- row by row -------------------------------------------------------------------------------------------------------
 
 _PAIR = re.compile(pair_pattern(), re.ASCII)
-_MAYBE = re.compile("[=:]|(?i:bearer|basic)|[0-9](?:[ -]?[0-9]){12}|" + "|".join(re.escape(h) for n, hints in HINTS.items() if n != "bearer" for h in hints))
+MAYBE = re.compile("[=:]|(?i:bearer|basic)|[0-9](?:[ -]?[0-9]){12}|" + "|".join(re.escape(h) for n, hints in HINTS.items() if n != "bearer" for h in hints))
 _SPANS = {n: re.compile(p, re.ASCII) for n, p in (SPANS | {"aws_key_id": AWS, "card": CARD}).items()}
 
 
@@ -171,27 +177,40 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def mask_text_row(text: str, decide: Callable[[str, str], str | None], marker: str, cards: bool = False, aws: bool = False) -> str:
-    """text with spans masked, and values for whose key and value decide() gives a text; of overlapping edits the outermost counts."""
-    if not _MAYBE.search(text):
-        return text
-    edits = []
+def pairs_row(text: str) -> Iterator[tuple[str, int, int]]:
+    """Key, begin and end of the value of each key and value; the search goes on inside a value."""
     at = 0 if "=" in text or ":" in text else len(text)
     while m := _PAIR.search(text, at):
         begin = m.start(4) + (text[m.start(4)] in "\"'")
-        out = decide(m[2] or m[3], text[begin : m.end()])
-        if out is not None:
-            edits.append((begin, -m.end(), out))
+        yield m[2] or m[3], begin, m.end()
         at = max(begin, m.start() + 1)
+
+
+def spans_row(text: str, cards: bool = False, aws: bool = False) -> Iterator[tuple[str, int, int]]:
+    """Kind, begin and end of each secret."""
     for name in spans(cards, aws):
         for m in _SPANS[name].finditer(text):
-            secret = text[m.end(1) : m.end()]
-            if name == "card":
-                if not luhn(re.sub("[ -]", "", secret)):
-                    continue
-                edits.append((m.end(1), -m.end(), rules.card.row(secret, marker)))
-            else:
-                edits.append((m.end(1), -m.end(), marker))
+            if name != "card" or luhn(re.sub("[ -]", "", text[m.end(1) : m.end()])):
+                yield name, m.end(1), m.end()
+
+
+def locate_row(text: str, cards: bool = False, aws: bool = False) -> list[tuple[str, str, int, int]]:
+    """(kind, key, begin, end) of all pairs and secrets, in order; places count characters from 0."""
+    found = [("pair", key, b, e) for key, b, e in pairs_row(text)] + [(kind, "", b, e) for kind, b, e in spans_row(text, cards, aws)]
+    return sorted(found, key=lambda f: (f[2], f[3], f[0]))
+
+
+def mask_text_row(text: str, decide: Callable[[str, str], str | None], marker: str, cards: bool = False, aws: bool = False) -> str:
+    """text with spans masked, and values for whose key and value decide() gives a text; of overlapping edits the outermost counts."""
+    if not MAYBE.search(text):
+        return text
+    edits = []
+    for key, begin, end in pairs_row(text):
+        out = decide(key, text[begin:end])
+        if out is not None:
+            edits.append((begin, -end, out))
+    for name, begin, end in spans_row(text, cards, aws):
+        edits.append((begin, -end, rules.card.row(text[begin:end], marker) if name == "card" else marker))
     out, at = [], 0
     for begin, end, new in sorted(edits, key=lambda e: e[:2]):
         if begin >= at:

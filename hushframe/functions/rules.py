@@ -87,21 +87,30 @@ BUILT_IN = {r.name: r for r in (full, password, token, email, phone, id_, card)}
 
 
 def new_rule(name: str, function: Callable[[str], str]) -> Rule:
-    """A rule of one's own from a row function; it runs in Arrow batches. What it raises, or returns that is no text, gives the marker."""
+    """A rule of one's own from a row function; it runs in Arrow batches.
+
+    Where it raises, or returns what is no text, a column's value becomes the marker, and a document fails as a whole with rule_failure.
+    """
     if not name or not callable(function) or _control(name, False):
         raise MaskError(ErrorCode.INVALID_CONFIG, "rule")
 
     def row(value: str, marker: str) -> str:
+        out = function(value)
+        if not isinstance(out, str):
+            raise TypeError("no text")
+        out.encode("utf-8")
+        return out
+
+    def safe(value: str, marker: str) -> str:
         try:
-            out = function(value)
-            return out if isinstance(out, str) and out.encode("utf-8") is not None else marker
+            return row(value, marker)
         except Exception:  # the error may hold the value
             return marker
 
     def column(value: Column, marker: str) -> Column:
         @F.pandas_udf("string")
         def run(values: pd.Series) -> pd.Series:
-            return pd.Series([None if v is None else row(v, marker) for v in values], dtype=object)
+            return pd.Series([None if v is None else safe(v, marker) for v in values], dtype=object)
 
         return run(value)
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,9 +13,9 @@ from pyspark.sql import types as T
 
 from .functions import detect, documents
 from .functions.rules import Rule
-from .model import MASKED, Field, Kind, MaskConfig, Source
+from .model import ERROR_FIELDS, ERRORS, MASKED, Field, Kind, MaskConfig, Source
 from .plans import rewrite
-from .policy import Policy, default_policy
+from .policy import NO_OPINION, Policy, chain, default_policy, policy_fn
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,8 @@ class Masker:
                 yield documents.frame(policy, config, what, values, fallback)
 
         # invalid UTF-8 never reaches Python
-        bad = F.struct(F.lit(fallback).alias("value"), F.array(F.struct(F.lit("invalid_utf8").alias("code"), F.lit("$").alias("path"), F.lit("").alias("field"), F.lit("").alias("rule"))).alias("errors"))
+        said = {"code": "invalid_utf8", "operation": documents.name_of(what), "path": "$", "depth": 0}
+        bad = F.struct(F.lit(fallback).alias("value"), F.array(F.struct(*(F.lit(said.get(n, "")).alias(n) for n in ERROR_FIELDS))).alias("errors"))
         return F.when(~F.is_valid_utf8(value), bad).otherwise(run(F.when(F.is_valid_utf8(value), value)))
 
     def mask_json(self, value: Column) -> Column:
@@ -81,45 +83,86 @@ class Masker:
     def detect_pairs(self, value: Column) -> Column:
         return detect.detect_pairs(value)
 
+    def locate(self, value: Column) -> Column:
+        """array<struct<kind, key, begin, end>>: where the keys and values and the secrets of a text stand, in characters from 0."""
+        c = self.config
+
+        @F.pandas_udf("array<struct<kind: string, key: string, begin: int, end: int>>")
+        def run(values: pd.Series) -> pd.Series:
+            names = ("kind", "key", "begin", "end")
+            return pd.Series([None if v is None else [dict(zip(names, f)) for f in detect.locate_row(v, c.cards, c.aws_key_ids)] for v in values], dtype=object)
+
+        return run(F.when(F.is_valid_utf8(value), value))
+
     def mask_headers(self, headers: Column) -> Column:
-        """map<string, array<string>> of HTTP headers: cookies and what the policy names become markers, other values are text.
+        """map<string, array<string>> of HTTP headers: cookies and what the policy names become markers, other values are inspected.
 
         A header whose values are all left out, or that the policy leaves out, is dropped. Header decisions are full whatever the rule. A key that is NULL or
-        values that are NULL count as empty.
+        values that are NULL count as empty; a value that can't be masked is the marker. Only maps with a value that may hold something go to Python.
         """
         from .policy import fold_column
 
         c = self.config
         if self.policy.keys is None:
-            return self._headers(headers)
+            return self._headers(headers)["value"]
         keys = list(self.policy.keys)
         known = lambda k: F.lower(k).isin("cookie", "set-cookie") | (fold_column(k).isin(keys) if keys else F.lit(False))
-        text = lambda v: detect.mask_text(v, self.policy.keys, c.redaction, c.cards, c.aws_key_ids) if c.text_detectors else v
-        masked = F.transform_values(headers, lambda k, vs: F.transform(vs, lambda v: F.when(known(k), F.lit(c.redaction)).otherwise(text(v))))
-        return F.map_filter(masked, lambda _, vs: F.size(vs) > 0)
+        open_ = lambda v: detect.may_hold(v, c.cards, c.aws_key_ids, c.embedded) | (F.octet_length(v) > c.max_input_bytes) | ~F.is_valid_utf8(v)
+        suspicious = F.exists(F.map_entries(headers), lambda e: ~known(e["key"]) & F.exists(F.coalesce(e["value"], F.array().cast("array<string>")), lambda v: F.coalesce(open_(v), F.lit(False))))
+        plain = F.transform_values(headers, lambda k, vs: F.when(known(k), F.transform(vs, lambda _: F.lit(c.redaction))).otherwise(vs))
+        return F.when(F.coalesce(suspicious, F.lit(False)), self._headers(F.when(suspicious, headers))["value"]).otherwise(F.map_filter(plain, lambda _, vs: F.size(vs) > 0))
+
+    def mask_headers_checked(self, headers: Column) -> Column:
+        """struct<value, errors> of headers: with any error no header is given, and the errors say why."""
+        both = self._headers(headers)
+        none = F.create_map().cast("map<string,array<string>>")
+        return F.struct(F.when(F.size(both["errors"]) > 0, none).otherwise(both["value"]).alias("value"), both["errors"].alias("errors"))
 
     def _headers(self, headers: Column) -> Column:
-        """mask_headers() under a policy that is a function: a whole map goes to Python at once."""
+        """struct<value, errors> of headers, a whole map in Python at once."""
         policy, config = self.policy, self.config
+        returned = T.StructType([T.StructField("value", T.MapType(T.StringType(), T.ArrayType(T.StringType()))), T.StructField("errors", ERRORS)])
 
-        @F.udf("map<string,array<string>>")
+        @F.udf(returned)
         def run(members):
-            return None if members is None else documents.headers(policy, config, members)
+            return (None, []) if members is None else documents.headers(policy, config, members)
 
         # values that are no UTF-8 never reach Python
         safe = F.transform_values(headers, lambda _, vs: F.transform(vs, lambda v: F.when(F.is_valid_utf8(v), v).when(v.isNotNull(), F.lit(config.redaction))))
         return run(safe)
 
-    def mask_to_json(self, value: Column) -> Column:
-        """A struct masked and written as JSON text with sorted keys."""
-        return self.mask_json(F.to_json(value, {"ignoreNullFields": "false"}))["value"]
+    def mask_to_json(self, value: Column, dtype: T.StructType | None = None) -> Column:
+        """A struct masked and written as JSON text with sorted keys.
+
+        Tags in field metadata count where dtype, the struct's type, is given: a bare column doesn't tell it. rows_to_json() knows it.
+        """
+        tags = [(re.compile(p), d) for p, d in rewrite.Rewriter(self).tagged(dtype)] if dtype else []
+        by_tag = policy_fn(lambda f: next((d for p, d in tags if p.fullmatch(f.path)), NO_OPINION))
+        masker = replace(self, policy=chain(by_tag, self.policy)) if tags else self
+        return masker.mask_json(F.to_json(value, {"ignoreNullFields": "false"}))["value"]
+
+    def rows_to_json(self, df: DataFrame) -> DataFrame:
+        """One column `value`: each row masked, tags counted, as a JSON document with sorted keys."""
+        row = F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
+        return df.select(self.mask_to_json(row, df.schema).alias("value"))
 
     # -- SQL
 
     def register(self, spark: SparkSession) -> None:
-        """SQL functions mask_json, mask_url and mask_inspect (text results)."""
-        for name, what, fallback in (("mask_json", documents.Operation.json, documents.encode_string(self.config.redaction)), ("mask_url", documents.Operation.url, self.config.redaction), ("mask_inspect", documents.Operation.inspect, self.config.redaction)):
+        """SQL functions mask_json, mask_url, mask_inspect, mask_text (text results) and mask_headers, and the table function detect(text)."""
+        for name, what, fallback in (
+            ("mask_json", documents.Operation.json, documents.encode_string(self.config.redaction)), ("mask_url", documents.Operation.url, self.config.redaction),
+            ("mask_inspect", documents.Operation.inspect, self.config.redaction), ("mask_text", documents.Operation.free_text, self.config.redaction),
+        ):
             spark.udf.register(name, self._plain(what, fallback))
+        policy, config = self.policy, self.config
+        spark.udf.register("mask_headers", lambda m: None if m is None else documents.headers(policy, config, m)[0], "map<string,array<string>>")
+
+        class Detect:
+            def eval(self, text: str):
+                yield from detect.locate_row(text or "", config.cards, config.aws_key_ids)
+
+        spark.udtf.register("detect", F.udtf(Detect, returnType="kind: string, key: string, begin: int, end: int"))
 
     def _plain(self, what, fallback: str):
         policy, config = self.policy, self.config

@@ -41,7 +41,8 @@ class Field:
 
 
 #: Errors of one operation, at most MAX_ERRORS.
-ERRORS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("code", "path", "field", "rule")]))
+ERROR_FIELDS = ("code", "operation", "path", "field", "conflicting_field", "depth", "rule")
+ERRORS = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType() if n == "depth" else T.StringType()) for n in ERROR_FIELDS]))
 MASKED = T.StructType([T.StructField("value", T.StringType()), T.StructField("errors", ERRORS)])
 MAX_ERRORS = 64
 

@@ -6,6 +6,7 @@ A decided field of any type becomes a string; a column that a full rule hides is
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,22 @@ def kind_of(dtype: T.DataType) -> Kind:
     return Kind.ARRAY if isinstance(dtype, T.ArrayType) else Kind.STRING
 
 
+def float_text(value: Column) -> Column:
+    """A floating number's shortest digits: plain from 0.0001 up to below 1000000, else d.dde+dd; NaN, +Inf, -Inf."""
+    s = value.cast("string")
+    whole, part, power = (F.regexp_extract(s, r"^-?([0-9]+)\.([0-9]*?)0*(?:E(-?[0-9]+))?$", i) for i in (1, 2, 3))
+    every = F.concat(whole, part)
+    digits = F.regexp_replace(every, "^0+|0+$", "")
+    # the decimal point stands after so many digits
+    point = F.length(whole) + F.when(power == "", 0).otherwise(F.try_to_number(power, F.lit("S99999")).cast("int")) - (F.length(every) - F.length(F.regexp_replace(every, "^0+", "")))
+    n, exponent = F.length(digits), point - 1
+    scientific = F.concat(F.left(digits, F.lit(1)), F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""), F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")))
+    plain = F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)).when(n <= point, F.concat(digits, F.repeat(F.lit("0"), point - n))).otherwise(F.concat(F.left(digits, point), F.lit("."), F.substr(digits, point + 1)))
+    text = F.when(digits == "", "0").when((exponent < -4) | (exponent >= 6), scientific).otherwise(plain)
+    special = F.when(s == "Infinity", "+Inf").when(s == "-Infinity", "-Inf").when(s == "NaN", "NaN")
+    return F.when(value.isNotNull(), F.coalesce(special, F.concat(F.when(s.startswith("-"), "-").otherwise(""), text)))
+
+
 class Rewriter:
     def __init__(self, masker):
         self.m, self.c = masker, masker.config
@@ -55,6 +72,21 @@ class Rewriter:
             return Decision(self.tags[tag])
         return self.m.policy.decide(where)
 
+    def tagged(self, dtype: T.StructType, path: str = r"\$") -> list[tuple[str, Decision]]:
+        """Patterns of the paths of a struct's tagged fields, as in its JSON document, and their decisions."""
+        out = []
+        for f in dtype:
+            here = path + re.escape(f"[{f.name}]")
+            if (f.metadata or {}).get(self.c.metadata_key) is not None:
+                out.append((here, self.decide(Field(f.name), f.metadata)))
+            inner = f.dataType
+            while isinstance(inner, (T.ArrayType, T.MapType)):
+                here += r"\[[0-9]+\]" if isinstance(inner, T.ArrayType) else r"\[[^\[\]]*\]"
+                inner = inner.elementType if isinstance(inner, T.ArrayType) else inner.valueType
+            if isinstance(inner, T.StructType):
+                out += self.tagged(inner, here)
+        return out
+
     def column(self, value: Column, dtype: T.DataType, where: Field, metadata: dict, depth: int = 0, inner: bool = False) -> Column | None:
         """The rewritten column; None where it is left out. inner: it lies in an array or a map."""
         if depth > self.c.max_depth:
@@ -73,8 +105,12 @@ class Rewriter:
         return rule(self.text(value, dtype), self.c.redaction)
 
     def text(self, value: Column, dtype: T.DataType) -> Column:
+        """A scalar's text; instants in UTC, floating numbers as short as they can be."""
+        if isinstance(dtype, (T.FloatType, T.DoubleType)):
+            return float_text(value)
         for kind, pattern in _TIMES.items():
             if isinstance(dtype, kind):
+                value = F.to_utc_timestamp(value, F.current_timezone()) if kind is T.TimestampType else value
                 return F.regexp_replace(F.date_format(value, pattern), r"(?:\.0+|(\.\d*[1-9])0+)(Z?)$", "$1$2")
         return value.cast("string")
 
@@ -104,7 +140,7 @@ class Rewriter:
             secret = F.coalesce(F.is_valid_utf8(value.cast("string")), F.lit(False)) & detect.is_candidate(value.cast("string"), self.c.cards, self.c.aws_key_ids) & (self.string(value.cast("string"), True) != value.cast("string"))
             return F.when(value.isNull(), F.lit(None)).when(secret, F.lit(self.c.redaction)).otherwise(F.base64(value))
         if isinstance(dtype, (T.BooleanType, *_NUMBERS)):
-            return value if self.c.preserve_safe else value.cast("string")
+            return value if self.c.preserve_safe else self.text(value, dtype)
         if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType, T.DayTimeIntervalType, T.YearMonthIntervalType)):
             return self.text(value, dtype)
         raise MaskError(ErrorCode.UNSUPPORTED_TYPE, f"{where.path}: {dtype.simpleString()}")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import documents
 from ..model import Field, Kind, Source
+from ..policy import fold
 
 #: What loggers append to a key for further details of its value.
 SUFFIXES = ("Verbose", "Causes", "Error")
@@ -22,11 +23,35 @@ def read_lines(spark: SparkSession, path: str, stream: bool = False) -> DataFram
     return reader.option("lineSep", "\n").text(path)
 
 
+_PROBE = "diagnostic probe"
+
+
+def _quick(value, keys: dict, marker: str) -> str:
+    """_diagnose() of what documents.read() gives, under a key policy."""
+    if isinstance(value, documents.Members):
+        out = []
+        for name, child in value:
+            base = next((name.removesuffix(s) for s in SUFFIXES if name.endswith(s) and name != s), None)
+            rule = keys.get(fold(base)) if base else None
+            own = type(child) is str
+            new = None if rule is None else rule.row(child if own else _PROBE, marker)
+            kept = new is None or (not own and new == _PROBE)
+            out.append(documents.encode_string(name) + ":" + (_quick(child, keys, marker) if kept else documents.encode_string(new if own else marker)))
+        return "{" + ",".join(out) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join([_quick(child, keys, marker) for child in value]) + "]"
+    if type(value) is str:
+        return documents.encode_string(value)
+    return "null" if value is None else str(value) if isinstance(value, documents.Number) else "true" if value else "false"
+
+
 def _diagnose(operation: documents.Operation, text: str) -> str:
     """The masked document text, with keys like `<base>Error` masked as `<base>` would be."""
     if not any(s in text for s in SUFFIXES):
         return text
     quiet = operation.config.redaction
+    if operation.policy.keys is not None:
+        return _quick(documents.read(text), operation.policy.keys, quiet)
 
     def walk(node: list) -> str:
         kind, token = node
@@ -37,12 +62,11 @@ def _diagnose(operation: documents.Operation, text: str) -> str:
         out = []
         for name, child in token:
             base = next((name.removesuffix(s) for s in SUFFIXES if name.endswith(s) and name != s), None)
-            probe = "diagnostic probe"
-            value = json.loads(child[1]) if child[0] == "string" else probe
+            value = json.loads(child[1]) if child[0] == "string" else _PROBE
             new = operation.decide(Field(base, f"$[{base}]", Source.JSON, Kind.STRING), value) if base else None
             if new is documents.OMITTED:
                 continue
-            if new is None or (child[0] != "string" and new == probe):
+            if new is None or (child[0] != "string" and new == _PROBE):
                 shown = walk(child)
             else:
                 shown = documents.encode_string(new if child[0] == "string" else quiet)

@@ -153,13 +153,13 @@ def test_detection_over_whole_texts(spark, tmp_path):
     spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = {}
     for lang, text in texts:
-        kinds = ["pair" for _ in detect._PAIR.finditer(text or "")] + [n for n in detect.spans() for _ in detect._SPANS[n].finditer(text or "")]
+        kinds = ["pair" for _ in detect.pairs_row(text or "")] + [n for n in detect.spans() for _ in detect._SPANS[n].finditer(text or "")]
         for kind in kinds:
             for key in ((kind, lang), (kind, None), (None, None)):
                 want[key] = want.get(key, 0) + 1
-    got = {(r.kind, r.lang): r.n for r in queries.queries()["detection_counts_all"](spark, str(tmp_path)).collect()}
+    got = {(r.kind, r.lang): r.n for r in queries.queries()["detection_counts"](spark, str(tmp_path)).collect()}
     assert got == want and got["pair", "en"] >= 2 and got["bearer", "en"] == got["url_userinfo", "en"] == 1
-    masked = {r.doc_id: r.v for r in queries.queries()["text_tokens_all"](spark, str(tmp_path)).collect()}
+    masked = {r.doc_id: r.v for r in queries.queries()["text_tokens"](spark, str(tmp_path)).collect()}
     assert set(masked) == set(range(len(texts))) and masked[3] == "nothing here" and masked[4] is None
     assert masked[0] == f'a token = "{R}" b and token = "{R}" end'
 
@@ -168,9 +168,9 @@ def test_detection_over_whole_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("lang", "text").collect()
     want = {}
     for r in docs:
-        for kind in ["pair" for _ in detect._PAIR.finditer(r.text or "")] + [n for n in detect.spans() for _ in detect._SPANS[n].finditer(r.text or "")]:
+        for kind in ["pair" for _ in detect.pairs_row(r.text or "")] + [n for n in detect.spans() for _ in detect._SPANS[n].finditer(r.text or "")]:
             want[kind] = want.get(kind, 0) + 1
-    report = queries.queries()["detection_counts_all"](spark, SF).where("lang is null and kind is not null").groupBy("kind").agg(F.sum("n").alias("n"))
+    report = queries.queries()["detection_counts"](spark, SF).where("lang is null and kind is not null").groupBy("kind").agg(F.sum("n").alias("n"))
     assert {r.kind: r.n for r in report.collect()} == want
 
 
