@@ -1,56 +1,5 @@
-"""The corpus pipeline: stages over the documents table, each a DataFrame from a DataFrame."""
+"""The corpus pipeline: its stages and run() are in the subpackage of corpus operators."""
 
-from __future__ import annotations
+from hushframe.llm.pipeline import ORACLE_SQL, STAGES, run
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-
-from hushframe.llm import bpe, decontaminate, jaccard, passages, quality, shared
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality.keep_good(docs)
-
-
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    return jaccard.keep_one(docs, 80)
-
-
-def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier text has are cut out; documents stay."""
-    return passages.cut_repeats(docs)
-
-
-def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 80)
-
-
-def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each document: doc_id, n_tokens, the digests of its ids and of their decoding."""
-    coded = bpe.encode_documents(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), ids=False)
-    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
-
-
-STAGES = [
-    ("quality rules", quality_stage),
-    ("n-gram Jaccard join", near_duplicate_stage),
-    ("substring dedup", passage_stage),
-    ("benchmark decontamination", benchmark_stage),
-    ("BPE encoding", encoding_stage),
-]
-
-#: Near-duplicate groups, passages and the encoder have no short SQL; the tests hold run() against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each stage's rows written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs, _ = shared.write_table(docs, "stage")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
