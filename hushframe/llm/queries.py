@@ -162,6 +162,34 @@ WITH crc AS (
   SELECT *, row_number() OVER (ORDER BY share, key, source NULLS FIRST, doc_id NULLS FIRST, text_crc32, size) - 1 AS place, count(*) OVER () AS total FROM ranked
 )
 SELECT doc_id, size, text_crc32, 'rows' AS law, ((place * 40) // total)::int AS shard, place - ((place * 40) // total * total + 39) // 40 AS slot, NULL::int AS grown_shard, source FROM placed
+""",
+    "op7_decontamination": r"""
+WITH items AS (
+  SELECT *, len(w) AS n, least(5, len(w)) AS k FROM (SELECT row_number() OVER () AS i, item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark) WHERE len(w) > 0
+), placed AS (
+  SELECT i, n, k, o, array_to_string(w[o + 1 : o + k], ' ') AS g FROM (SELECT *, unnest(range(n - k + 1)) AS o FROM items)
+), whole AS (SELECT count(*)::double AS total FROM items
+), known AS (SELECT g, 1 + ln(total / count(DISTINCT i)) AS wt FROM placed CROSS JOIN whole GROUP BY g, total
+), counted AS (SELECT i, n, k, g, count(*) AS c FROM placed GROUP BY ALL
+), heavy AS (SELECT i, sum(c * wt) AS weight FROM counted JOIN known USING (g) GROUP BY i
+), docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT rid, size, k, pos, array_to_string(w[pos + 1 : pos + k], ' ') AS g FROM (SELECT *, len(w) AS size, unnest(range(len(w) - k + 1)) AS pos FROM docs CROSS JOIN (SELECT DISTINCT k FROM items))
+), windows AS (
+  SELECT DISTINCT rid, k, n, greatest(0, least(pos - o, size - n)) AS start FROM grams JOIN placed USING (g, k)
+), held AS (
+  SELECT rid, k, n, start, g, count(*) AS h FROM windows JOIN grams USING (rid, k) WHERE pos BETWEEN start AND start + n - k GROUP BY ALL
+), own AS (
+  SELECT rid, k, n, start, sum(h * coalesce(wt, 1 + ln(total))) AS own FROM held LEFT JOIN known USING (g) CROSS JOIN whole GROUP BY ALL
+), scored AS (
+  SELECT rid, k, n, start, i, sum(least(h, c) * wt) AS same FROM held JOIN counted USING (g, n, k) JOIN known USING (g) GROUP BY ALL
+), likely AS (
+  SELECT rid, i, n, start, same / (own + weight - same) AS similarity FROM scored JOIN own USING (rid, k, n, start) JOIN heavy USING (i)
+)
+SELECT doc_id, item_id, start::bigint AS start_word, l.n::bigint AS n_words, round(similarity, 6) AS similarity
+FROM likely l JOIN docs USING (rid) JOIN items USING (i) WHERE similarity >= 0.8 - 1e-9
+QUALIFY row_number() OVER (PARTITION BY rid, item_id ORDER BY similarity DESC, start) = 1
 """,
     "op3_warc_revisits": r"""
 WITH parts AS (
