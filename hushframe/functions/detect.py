@@ -52,7 +52,8 @@ _QUOTED = r"(?:\"(?:[^\"\\\n]|\\[^\n]|\\(?=\n))+|'(?:[^'\\\n]|\\[^\n]|\\(?=\n))+
 
 def pair_pattern(key: str = _KEY) -> str:
     """Key and value: group 1 all before the value, 2 the key in quotes or 3 the bare key, 4 the value with an opening quote."""
-    lead = rf"(?:[\"'](?=[A-Za-z0-9_.\-]*[A-Za-z])({key})[\"']|(?<![A-Za-z0-9_.\-/])(?=[A-Za-z0-9_.\-]*[A-Za-z])({key})(?![A-Za-z0-9_.\-]))"
+    # looks for the separator first: few words have one, and keys are many
+    lead = rf"(?:[\"'](?=[A-Za-z0-9_.\-]++[\"'][ \t]*+[=:])(?=[A-Za-z0-9_.\-]*[A-Za-z])({key})[\"']|(?<![A-Za-z0-9_.\-/])(?=[A-Za-z0-9_.\-]++[ \t]*+[=:])(?=[A-Za-z0-9_.\-]*[A-Za-z])({key})(?![A-Za-z0-9_.\-]))"
     value = rf"(?:{_QUOTED}|(?i:bearer|basic|token)[ \t]+{_RUN}|{_RUN})"
     return rf"({lead}[ \t]*(?:=|:(?!//))[ \t]*)({value})"
 
