@@ -154,7 +154,8 @@ def text_cards(spark, d):
 def text_secrets(spark, d):
     k = F.lpad(F.col("o_orderkey").cast("string"), 12, "A")
     text = F.concat(F.lit("call Bearer "), k, F.lit(" then eyJ"), k, F.lit(".eyJ"), k, F.lit(".s and ghp_"), k, k, k, F.lit(" at https://me:"), k, F.lit("@host key AKIA"), k, F.lit("ABCD end"))
-    return _t(spark, d, "orders").select("o_orderkey", Masker(KeyPolicy([]), MaskConfig(aws_key_ids=True)).mask_text(text).alias("v"))
+    rows = _t(spark, d, "orders").select("o_orderkey", text.alias("t"))  # a column of its own, so it is made once
+    return rows.select("o_orderkey", Masker(KeyPolicy([]), MaskConfig(aws_key_ids=True)).mask_text(F.col("t")).alias("v"))
 
 
 def text_pem(spark, d):
