@@ -16,3 +16,13 @@ def detections(masker, df: DataFrame, column: str, *keep: str) -> DataFrame:
 def detection_report(masker, df: DataFrame, column: str, *by: str) -> DataFrame:
     """Counts by kind and the columns `by`, with subtotals (NULL)."""
     return detections(masker, df, column, *by).rollup("kind", *by).agg(F.count("*").alias("n"))
+
+
+def output_digest(df: DataFrame) -> DataFrame:
+    """One row (n, digest): the rows' count, and the sum of the first 32 bits of each row's MD5, whatever their order.
+
+    Columns go in the order of their names, as text, between U+001F; NULL is U+0000. Pinned, it tells when output changes.
+    """
+    columns = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in sorted(df.columns)]
+    bits = F.conv(F.left(F.md5(F.concat_ws("\x1f", *columns).cast("binary")), F.lit(8)), 16, 10).cast("long")
+    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(bits), F.lit(0)).cast("long").alias("digest"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from . import Field, KeyPolicy, MaskConfig, Masker, chain, default_policy, policy_fn
 from .functions import detect, rules
 from .operators.logs import mask_log_records
-from .operators.report import detection_report
+from .operators.report import detection_report, output_digest
 from .policy import NO_OPINION, OMIT, fold_column
 from .sources.lines import mask_json_lines
 
@@ -314,6 +314,11 @@ def masked_join_agg(spark, d):
     return orders.join(keyed, F.col("o_custkey").cast("string") == F.col("c_custkey")).groupBy("c_name").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last_order"))
 
 
+def digest_customers(spark, d):
+    rows = Masker(KeyPolicy([(["c_name"], rules.id_)]), MaskConfig(preserve_safe=True)).mask_dataframe(_t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"))
+    return output_digest(rows)
+
+
 def masked_topk(spark, d):
     top = _t(spark, d, "orders").select("o_orderkey", "o_custkey").orderBy(F.desc("o_orderkey")).limit(10)
     return Masker(KeyPolicy([(["o_custkey"], rules.full)]), MaskConfig(preserve_safe=True)).mask_dataframe(top)
@@ -378,6 +383,7 @@ SQL: dict[str, str] = {
     "log_lines": f"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN '{{"message":"{R}"}}' ELSE '{{"level":"info","msg":"' || event_type || '","password":"{R}","tokenCauses":"{R}"}}' END AS value FROM events""",
     "log_records": f"SELECT event_id, 'info' AS level, event_type AS msg, {_id('user_id::varchar')} AS who_user_id, event_type AS who_kind, '{R}' AS credentials_a FROM events",
     "masked_join_agg": f"SELECT {_id('c_name')} AS c_name, count(*) AS n, max(o_orderkey) AS last_order FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
+    "digest_customers": f"SELECT count(*) AS n, sum(('0x' || left(md5(c_custkey::varchar || chr(31) || c_mktsegment || chr(31) || {_id('c_name')}), 8))::bigint)::bigint AS digest FROM customer",
     "masked_topk": f"SELECT o_orderkey, '{R}' AS o_custkey FROM orders ORDER BY o_orderkey DESC LIMIT 10",
     "masked_window": f"SELECT o_orderkey, o_custkey, {_id('o_orderpriority')} AS o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders",
 }

@@ -1,4 +1,4 @@
-"""JSON log lines: split at line feeds only, each line masked as a document, blank lines as they are."""
+"""JSON log lines: split at line feeds only, each line masked as a document, blank lines as they are; and whole files as documents."""
 
 from __future__ import annotations
 
@@ -23,6 +23,11 @@ def read_lines(spark: SparkSession, path: str, stream: bool = False) -> DataFram
     return reader.option("lineSep", "\n").text(path)
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (file, value): each file as one document."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+
+
 _PROBE = "diagnostic probe"
 
 

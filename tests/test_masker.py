@@ -11,7 +11,8 @@ import __spark_entry__
 from hushframe import ErrorCode, KeyPolicy, MaskConfig, Masker, MaskError, chain, policy_fn, queries
 from hushframe.functions import detect, rules
 from hushframe.policy import fold
-from hushframe.sources.lines import mask_json_lines, read_lines
+from hushframe.operators.report import output_digest
+from hushframe.sources.lines import mask_json_lines, read_documents, read_lines
 from hushframe.streaming.masked import mask_lines_stream
 
 R = "[REDACTED]"
@@ -194,3 +195,70 @@ def test_chains_of_key_policies(spark):
         assert m.mask_dataframe(one.select("a")).first().a == ([f"note={R} x"] if policy is keys else [R])
     failing = Masker(policy_fn(lambda f: 1 // 0))
     assert one.select(failing.mask_headers(F.col("h")).alias("h")).first().h["X-Api-Key"] == [R]
+
+
+def test_whole_files_as_documents(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"pwd":\n  "x",\n "n": 1}\n')
+    (tmp_path / "b.json").write_text('{"pwd": ')
+    rows = read_documents(spark, str(tmp_path)).select(F.regexp_extract("file", "[^/]*$", 0).alias("f"), Masker().mask_json(F.col("value")).alias("m")).collect()
+    assert {r.f: r.m.value for r in rows} == {"a.json": f'{{"n":1,"pwd":"{R}"}}', "b.json": f'"{R}"'}
+    assert [r.m.errors[0].code for r in rows if r.f == "b.json"] == ["invalid_json"]
+
+
+def test_digests_do_not_depend_on_order(spark):
+    rows = queries.queries()["json_build"](spark, SF)
+    one, two = output_digest(rows).first(), output_digest(rows.orderBy(F.desc("v")).repartition(5)).first()
+    assert one == two and one.n == rows.count() and output_digest(rows.limit(0)).first().digest == 0
+    assert output_digest(rows.withColumn("v", F.lit("x"))).first() != one
+
+
+PIECES = [
+    ("tail key: 'a b' c", [("key", "a b")], []),
+    ('say "name" : "v\\"w" x', [("name", 'v\\"w')], []),
+    ("u=1&v=2;w=3", [("u", "1"), ("v", "2"), ("w", "3")], []),
+    ("m=n=o", [("m", "n=o"), ("n", "o")], []),
+    ("why: see http://a.b/c", [("why", "see")], []),
+    ("9x=1 x9=2", [("x9", "2")], []),
+    ("k=, j", [], []),
+    ("k=a;b, c", [("k", "a;b")], []),
+    ("auth: Basic bWU6azlrOWs5", [("auth", "Basic bWU6azlrOWs5")], ["bWU6azlrOWs5"]),
+    ("go ftp://me:k9@h/x", [], ["me:k9"]),
+    ("npm_" + "a1" * 18 + " rest", [], ["npm_" + "a1" * 18]),
+    ("npm_" + "a1" * 17, [], []),
+    ("plain words only", [], []),
+]
+
+
+def test_detectors_as_columns_and_rows(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(PIECES)], "i int, t string")
+    m = Masker()
+    for r in df.select("i", m.detect_pairs(F.col("t")).alias("p"), m.detect_spans(F.col("t")).alias("s"), m.locate(F.col("t")).alias("l")).collect():
+        text, pairs, spans = PIECES[r.i]
+        assert [(p.key, p.value) for p in r.p] == pairs and [s.secret for s in r.s] == spans, text
+        assert sorted((x.key, text[x.begin : x.end]) for x in r.l if x.kind == "pair") == sorted(pairs)
+        assert [text[x.begin : x.end] for x in r.l if x.kind != "pair"] == spans
+
+
+def test_sql_functions(spark):
+    Masker().register(spark)
+    row = spark.sql("SELECT mask_text('pwd=x y') AS a, mask_headers(map('X-Api-Key', array('k'), 'Host', array('h'))) AS b").first()
+    assert row.a == f"pwd={R} y" and row.b == {"X-Api-Key": [R], "Host": ["h"]}
+    assert [tuple(r) for r in spark.sql("SELECT * FROM detect('a=b')").collect()] == [("pair", "a", 2, 3)]
+
+
+def test_float_texts(spark):
+    from hushframe.plans.rewrite import float_text
+
+    values = [0.0, -0.0, 1.0, -2.5, 0.1, 123456.0, 999999.5, 1e6, 1.5e6, 12345678.9, 1e21, 1e-300, 1e-4, 0.00012, 9.9e-5, 1.7976931348623157e308, float("inf"), float("-inf"), float("nan"), None]
+    want = ["0", "-0", "1", "-2.5", "0.1", "123456", "999999.5", "1e+06", "1.5e+06", "1.23456789e+07", "1e+21", "1e-300", "0.0001", "0.00012", "9.9e-05", "1.7976931348623157e+308", "+Inf", "-Inf", "NaN", None]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", float_text(F.col("v")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == want
+
+
+def test_instants_are_in_utc(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert Masker().mask_dataframe(spark.range(1).select(F.timestamp_seconds(F.lit(1704164645)).alias("v"))).first().v == "2024-01-02T03:04:05Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
