@@ -22,8 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Longer words, and more characters of words and their codes or more words than this, are not kept between batches.
+#: Longer words are not kept between batches, nor more characters of words and their codes or more words than this.
 KEEP_WORD, KEEP_CHARS, KEEP_WORDS = 100, 24_000_000, 200_000
+#: Texts that are encoded at once.
+TOGETHER = 256
 _first = itemgetter(0)
 
 
@@ -158,14 +160,42 @@ def lower(text: str) -> str:
     return small if text.isascii() else small.translate(LATE_SMALL)
 
 
+class Recent(dict):
+    """What was found of late: when its size passes half of the limit, only what is asked for again stays."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.size, self.before = limit, 0, {}
+
+    def keep(self, key: str, value, size: int) -> None:
+        self[key] = value
+        self.size += size
+
+    def unknown(self, keys: set[str], size) -> set[str]:
+        """Those of keys that are not known; the others are from now on known by []."""
+        new = keys - self.keys()
+        again = new & self.before.keys()
+        for key in again:
+            self.keep(key, value := self.before[key], size(key, value))
+        return new - again
+
+    def trim(self) -> None:
+        if 2 * self.size > self.limit:
+            self.before = dict(self)
+            self.clear()
+            self.size = 0
+
+
+def _code_size(piece: str, code: tuple[int, str, str]) -> int:
+    return len(piece) + len(code[1]) + len(code[2])
+
+
 class WordCoder:
-    """Encodes normalised words; keeps what it has found, within KEEP_CHARS."""
+    """Encodes normalised words; keeps what it has found of late, within KEEP_CHARS."""
 
     def __init__(self, path: str):
         self.bpe = merger(path)
-        self.words: dict[str, tuple[int, str, str]] = {}
-        self.kept: dict[str, list[int]] = {}
-        self.chars = 0
+        self.words, self.kept = Recent(KEEP_CHARS), Recent(KEEP_WORDS)
         self.pairs = np.empty(0, np.int64)
         self.fits = np.empty(0, bool)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.bpe.special, key=len, reverse=True))) + ")")
@@ -233,32 +263,34 @@ class WordCoder:
         """For each piece: the count of ids, the ids and the tokens' names, each joined by one space."""
         names = self.bpe.names
         split = {p: self.split(p) for p in new if p[0] != "\x1c" or p[1:] not in self.bpe.special}
-        words = list({w for ws in split.values() for w in ws if w not in self.kept})
+        words = list(self.kept.unknown({w for ws in split.values() for w in ws}, lambda w, ids: 1))
         coded = dict(zip(words, self.encode_words(words)))
         out = {}
         for p in new:
             ids = [i for w in split[p] for i in (self.kept.get(w) or coded[w])] if p in split else [self.bpe.special[p[1:]]]
             out[p] = (len(ids), " ".join(map(str, ids)), " ".join(map(names.__getitem__, ids)))
-        if len(self.kept) < KEEP_WORDS:
-            self.kept.update((w, ids) for w, ids in coded.items() if len(w) <= KEEP_WORD)
+        for w, ids in coded.items():
+            if len(w) <= KEEP_WORD:
+                self.kept.keep(w, ids, 1)
+        self.kept.trim()
         return out
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text: the count of ids, the ids and the decoded tokens, each joined by one space."""
         cut = [self.pieces(t) for t in texts]
-        known = self.words
-        found = self.encode_pieces(list(set().union(*cut) - known.keys()))
-        extra = {}
-        for p, f in found.items():
-            if len(p) <= KEEP_WORD and self.chars < KEEP_CHARS:
-                known[p] = f
-                self.chars += len(p) + len(f[1]) + len(f[2])
+        known, long = self.words, []
+        for p, f in self.encode_pieces(list(known.unknown(set().union(*cut), _code_size))).items():
+            if len(p) <= KEEP_WORD:
+                known.keep(p, f, _code_size(p, f))
             else:
-                extra[p] = f
-        look = (lambda p: known[p] if p in known else extra[p]) if extra else known.__getitem__
+                known[p] = f
+                long.append(p)
         for own in cut:
-            got = list(map(look, own))
+            got = list(map(known.__getitem__, own))
             yield sum(map(_first, got)), " ".join([f[1] for f in got]), " ".join([f[2] for f in got])
+        for p in long:
+            del known[p]
+        known.trim()
 
 
 @lru_cache(maxsize=2)
@@ -282,8 +314,8 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: bool =
         for batch in batches:
             rows = []
             texts = batch.fillna("").tolist()
-            for at in range(0, len(texts), 256):
-                rows += [(n, digest(i), digest(d), *((i, d) if ids else ())) for n, i, d in of.encode(texts[at : at + 256])]
+            for at in range(0, len(texts), TOGETHER):
+                rows += [(n, digest(i), digest(d), *((i, d) if ids else ())) for n, i, d in of.encode(texts[at : at + TOGETHER])]
             yield pd.DataFrame(rows, columns=[f.split(" ")[0] for f in fields.split(", ")])
 
     names = [f.split(" ")[0] for f in fields.split(", ")]
