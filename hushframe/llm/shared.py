@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,6 +45,12 @@ def drop_tables(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets executors delete the shuffles of plans that nothing refers to any more: Spark does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if it has few enough rows; else a shuffle join with AQE's splitting of skewed keys."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
