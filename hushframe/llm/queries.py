@@ -82,6 +82,15 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages").select("page_id", "html"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 2 divides the crc32 of the doc_id as text, tampering takes the line feeds out of the text."""
+    from . import manifest
+
+    hit = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 2 == 0, F.lit(False))
+    tampered = {"text": F.when(hit, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))}
+    return manifest.manifest(_table(spark, sf_dir, "documents"), tampered=tampered).drop("path")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -162,6 +171,41 @@ WITH crc AS (
   SELECT *, row_number() OVER (ORDER BY share, key, source NULLS FIRST, doc_id NULLS FIRST, text_crc32, size) - 1 AS place, count(*) OVER () AS total FROM ranked
 )
 SELECT doc_id, size, text_crc32, 'rows' AS law, ((place * 40) // total)::int AS shard, place - ((place * 40) // total * total + 39) // 40 AS slot, NULL::int AS grown_shard, source FROM placed
+""",
+    "op12_merkle_manifest": r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t
+), docs AS (
+  SELECT row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, *,
+    CASE WHEN coalesce(xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda x: ord(x)::bigint)), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 2 = 0, false)
+      THEN replace(text, chr(10), '') ELSE text END AS changed
+  FROM documents CROSS JOIN crc
+), texts AS (
+  SELECT i, n, doc_id, source, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') AS head, coalesce(strlen(text) || ':' || text, '-') AS body, coalesce(strlen(changed) || ':' || changed, '-') AS other FROM docs
+), leaves AS (SELECT i, n, doc_id, source, sha256(head || body) AS leaf, sha256(head || other) AS again FROM texts
+), nodes(level, source, i, n, d) AS (
+  SELECT 0, source, i, n, leaf FROM leaves
+  UNION ALL SELECT level + 1, source, i // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY level, source, i // 3, n
+), subroots AS (
+  SELECT source, d AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops(level, i, n, d) AS (
+  SELECT 0, place, n, subroot FROM subroots
+  UNION ALL SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, i // 3, n
+), steps AS (
+  SELECT l.doc_id, l.leaf, l.source, m.level, m.i, m.d, (l.i // (3::bigint ** m.level)::bigint) AS own FROM leaves l JOIN nodes m ON m.source IS NOT DISTINCT FROM l.source AND m.n > 1 AND m.i // 3 = l.i // (3::bigint ** (m.level + 1))::bigint
+  UNION ALL SELECT l.doc_id, l.leaf, l.source, 1000 + m.level, m.i, m.d, (s.place // (3::bigint ** m.level)::bigint) FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source JOIN tops m ON m.n > 1 AND m.i // 3 = s.place // (3::bigint ** (m.level + 1))::bigint
+), runs AS (
+  SELECT doc_id, leaf, source, level, coalesce(string_agg(d, '' ORDER BY i) FILTER (i < own), '') AS before, coalesce(string_agg(d, '' ORDER BY i) FILTER (i > own), '') AS after FROM steps GROUP BY doc_id, leaf, source, level
+), ways AS (
+  SELECT doc_id, leaf, source, sha256(string_agg(before || after, '' ORDER BY level)) AS proof, list({'b': before, 'a': after} ORDER BY level) AS way FROM runs GROUP BY doc_id, leaf, source
+), folds(doc_id, source, leaf, k, way, d) AS (
+  SELECT l.doc_id, l.source, l.leaf, 1, coalesce(way, []), again FROM leaves l LEFT JOIN ways w ON w.doc_id = l.doc_id AND w.leaf = l.leaf
+  UNION ALL SELECT doc_id, source, leaf, k + 1, way, sha256(way[k].b || d || way[k].a) FROM folds WHERE k <= len(way)
+)
+SELECT l.source, l.doc_id, l.leaf, s.subroot, r.d AS root, coalesce(w.proof, sha256('')) AS proof_sha256, f.d AS folded_root, f.d = r.d AS verified
+FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source CROSS JOIN (SELECT d FROM tops WHERE n = 1) r
+LEFT JOIN ways w ON w.doc_id = l.doc_id AND w.leaf = l.leaf JOIN (SELECT * FROM folds WHERE k = len(way) + 1) f ON f.doc_id = l.doc_id AND f.leaf = l.leaf
 """,
     "op7_decontamination": r"""
 WITH items AS (
