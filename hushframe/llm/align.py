@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -87,7 +88,7 @@ class Aligner:
             want = b" " + text.encode()
             a = self.encode_a(" " + text)
             fits = b"".join(map(self.bytes_a.__getitem__, a)) == want == b"".join(map(self.bytes_b.__getitem__, b))
-            out.append((np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes()) if fits else None)
+            out.append((array("i", a).tobytes(), array("i", b).tobytes()) if fits else None)
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
