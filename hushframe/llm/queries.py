@@ -82,6 +82,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages").select("page_id", "html"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose crc32 of the doc_id as text leaves 2 by 7 are held out."""
+    from . import lm
+
+    held_out = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 == 2
+    return lm.score(_table(spark, sf_dir, "documents"), held_out).withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where 2 divides the crc32 of the doc_id as text, tampering takes the line feeds out of the text."""
     from . import manifest
@@ -179,6 +187,28 @@ WITH crc AS (
   SELECT *, row_number() OVER (ORDER BY share, key, source NULLS FIRST, doc_id NULLS FIRST, text_crc32, size) - 1 AS place, count(*) OVER () AS total FROM ranked
 )
 SELECT doc_id, size, text_crc32, 'rows' AS law, ((place * 40) // total)::int AS shard, place - ((place * 40) // total * total + 39) // 40 AS slot, NULL::int AS grown_shard, source FROM placed
+""",
+    "op11_lm_scoring": r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t
+), docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    coalesce(xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda x: ord(x)::bigint)), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 7 = 2, false) AS held_out,
+    list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS w
+  FROM documents CROSS JOIN crc
+), tokens AS (SELECT rid, held_out, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM docs
+), pairs AS (SELECT *, lag(w, 1, '  ') OVER (PARTITION BY rid ORDER BY i) AS h FROM tokens
+), known AS (SELECT w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY w
+), whole AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM known
+), arcs AS (SELECT h, w, count(*) AS c FROM pairs WHERE NOT held_out GROUP BY h, w
+), states AS (SELECT h, sum(c) AS c, count(*) AS t FROM arcs GROUP BY h
+), met AS (
+  SELECT p.rid, k.c IS NOT NULL AS known, (coalesce(k.c, 0) + 1)::double / (n + v + 1) AS p, s.c AS c, s.t AS t, coalesce(a.c, 0) AS a
+  FROM pairs p CROSS JOIN whole LEFT JOIN known k ON k.w = p.w LEFT JOIN states s ON s.h = p.h LEFT JOIN arcs a ON a.h = p.h AND a.w = p.w
+), scored AS (
+  SELECT rid, count(*) AS n_tokens, count(*) FILTER (known) AS n_known, fsum(log10(p)) AS base_score, fsum(log10(CASE WHEN c IS NULL THEN p ELSE greatest(a - 0.75, 0)::double / c + 0.75::double * t / c * p END)) AS score FROM met GROUP BY rid
+)
+SELECT doc_id, held_out, n_tokens, n_known, n::bigint AS train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score FROM scored JOIN docs USING (rid) CROSS JOIN whole
 """,
     "op12_merkle_manifest": r"""
 WITH RECURSIVE crc AS (
