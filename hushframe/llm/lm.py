@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: Bytes of text in a block (a longer text makes a longer block), and tokens that meet in a bucket, about.
-BLOCK_BYTES, BUCKET_TOKENS, LEAST_BUCKETS = 16_000_000, 1_000_000, 64
+BLOCK_BYTES, BUCKET_TOKENS, LEAST_BUCKETS = 6_000_000, 1_000_000, 64
 #: A word is hot if it makes up more than one of so many training tokens: there are fewer such words than that.
 HOT = 1_000
 #: Taken off each pair's count.
