@@ -1,6 +1,7 @@
-"""Secrets in free text: patterns that Java and Python read alike, as Column expressions and as a row function.
+"""Secrets in free text: one scan for spans and for keys with values, as Column expressions and as a row function.
 
-A pattern's first group is what stays before the secret; the secret is what follows it.
+At each place a span is looked for first, then a key with its value. The search goes on behind a span, but inside a value, so a
+secret or another key in it is found too. Of edits that overlap the outermost counts. Java and Python read the patterns alike.
 """
 
 from __future__ import annotations
@@ -29,42 +30,60 @@ PROVIDERS = [
 
 def _provider() -> str:
     parts = [f"(?:{'|'.join(names)}){kind}{{{many}}}" + ("" if many.endswith(",") else f"(?!{kind})") for names, kind, many in PROVIDERS]
-    return rf"((?<![A-Za-z0-9_]))(?:{'|'.join(parts)})"
+    return rf"(?<![A-Za-z0-9_])(?:{'|'.join(parts)})"
 
 
-#: name: pattern.
+#: What stays before a secret.
+_SCHEME, _URL = r"(?i:bearer|basic)[ \t]+", r"[A-Za-z][A-Za-z0-9+.\-]*://"
+_LABEL = r"(?=(?:(?!-----)[^\n]){0,65}-----)(?:(?!-----)[^\n])*?PRIVATE KEY(?:(?!-----)[^\n])*?"
+PEM_LEAD = rf"-----BEGIN {_LABEL}-----"
+
+
+def _pem(group: int) -> str:
+    """The label is that group."""
+    return rf"-----BEGIN ({_LABEL})-----(?!-----END \{group}-----)[\s\S]+?(?=-----END \{group}-----|(?![\s\S]))"
+
+
+#: At least eight characters, `=` at the end only; up to 19 small letters alone are prose.
+_CREDENTIAL = rf"(?![a-z]{{1,19}}(?![A-Za-z0-9\-._~+/=]))(?:{_TOKEN}{{8,}}=*|" + "|".join(rf"{_TOKEN}{{{n}}}={{{8 - n},}}" for n in range(7, -1, -1)) + ")"
+#: Spans that begin at no letter's or digit's inside, in the order in which they are tried: name, pattern.
 SPANS = {
-    "pem": r"(-----BEGIN ((?:(?!-----)[^\n\r]){0,54}PRIVATE KEY)-----)(?!-----END \2-----)(?s:.+?)(?=-----END \2-----|\Z)",
-    "bearer": rf"((?<![A-Za-z0-9_])(?i:bearer|basic)[ \t]+)(?![a-z]{{1,19}}(?![A-Za-z0-9\-._~+/=]))(?=(?:{_TOKEN}|=){{8}}){_TOKEN}*=*",
-    "jwt": rf"((?<![A-Za-z0-9_\-.]))eyJ{_B64}{{7,}}\.eyJ{_B64}{{7,}}\.{_B64}*",
+    "card": r"[0-9](?:[ \-]?[0-9]){12,18}(?![A-Za-z0-9]|[ \-][0-9])",
+    "bearer": rf"(?<!_){_SCHEME}{_CREDENTIAL}",
+    "jwt": rf"(?<![A-Za-z0-9_\-.])eyJ{_B64}{{7,}}\.eyJ{_B64}{{7,}}\.{_B64}*",
     "provider_token": _provider(),
-    "url_userinfo": r"((?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]*://)[^/?#@\s]+(?=@)",
+    "aws_key_id": r"(?:AKIA|ASIA|ABIA|ACCA)[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "url_userinfo": rf"(?<![A-Za-z0-9+.\-]){_URL}[^/?#@\s]+(?=@)",
 }
-AWS = r"((?<![A-Za-z0-9]))(?:AKIA|ASIA|ABIA|ACCA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-CARD = r"((?<![A-Za-z0-9]))[0-9](?:[ \-]?[0-9]){12,18}(?![A-Za-z0-9]|[ \-][0-9])"
 
-_KEY = r"[A-Za-z_\-.][A-Za-z0-9_.\-]{0,63}"
+_KEY_CHAR = r"[A-Za-z0-9_.\-]"
+_KEY = rf"(?=[A-Za-z0-9_.\-]*[A-Za-z])[A-Za-z_\-.]{_KEY_CHAR}{{0,63}}"
 _VALUE_CHAR = r"[^,;&)\]}>\"'\s]"
 #: A separator goes on with the value unless the text ends, white space follows, or a `key=`.
-_RUN = rf"(?:{_VALUE_CHAR}|[,;&](?={_VALUE_CHAR}|[,;&])(?!{_KEY}=))+"
+_RUN = rf"(?:{_VALUE_CHAR}|[,;&](?={_VALUE_CHAR}|[,;&])(?![A-Za-z_\-.]{_KEY_CHAR}{{0,63}}=))+"
 _QUOTED = r"(?:\"(?:[^\"\\\n]|\\[^\n]|\\(?=\n))+|'(?:[^'\\\n]|\\[^\n]|\\(?=\n))+)"
+_SEPARATOR = r"[ \t]*(?:=|:(?!//))[ \t]*"
+#: Between quotes, or bare; a separator is looked for first: few words have one, and keys are many.
+_QUOTED_KEY = rf"(?:\"{_KEY}\"|'{_KEY}')(?=[ \t]*[=:])"
+_BARE_KEY = rf"(?<![A-Za-z0-9_.\-/])(?={_KEY_CHAR}++[ \t]*+[=:]){_KEY}(?!{_KEY_CHAR})"
+_VALUE = rf"(?:{_QUOTED}|(?i:bearer|basic|token)[ \t]+{_RUN}|{_RUN})"
 
 
-def pair_pattern(key: str = _KEY) -> str:
-    """Key and value: group 1 all before the value, 2 the key in quotes or 3 the bare key, 4 the value with an opening quote."""
-    # looks for the separator first: few words have one, and keys are many
-    lead = rf"(?:[\"'](?=[A-Za-z0-9_.\-]++[\"'][ \t]*+[=:])(?=[A-Za-z0-9_.\-]*[A-Za-z])({key})[\"']|(?<![A-Za-z0-9_.\-/])(?=[A-Za-z0-9_.\-]++[ \t]*+[=:])(?=[A-Za-z0-9_.\-]*[A-Za-z])({key})(?![A-Za-z0-9_.\-]))"
-    value = rf"(?:{_QUOTED}|(?i:bearer|basic|token)[ \t]+{_RUN}|{_RUN})"
-    return rf"({lead}[ \t]*(?:=|:(?!//))[ \t]*)({value})"
+def spans(cards: bool = False, aws: bool = False) -> dict[str, str]:
+    return {n: p for n, p in SPANS.items() if (cards or n != "card") and (aws or n != "aws_key_id")}
 
 
-def key_pattern(folded: str) -> str:
-    """A pattern for the spellings of a folded ASCII key in text."""
-    return r"[_.\-]*" + r"[_.\-]*".join(re.escape(c) for c in folded) + r"[_.\-]*"
+def _alternatives(cards: bool, aws: bool, pem: str, quoted: str, bare: str, wrap: Callable[[str, str], str] = lambda name, p: p) -> str:
+    """All that may begin at one place; what begins inside a word is passed over at once."""
+    inside = "|".join(wrap(n, p) for n, p in spans(cards, aws).items())
+    return rf"(?:{wrap('pem', pem)}|{wrap('quoted', quoted)}|(?<![A-Za-z0-9])(?:{inside}|{wrap('bare', bare)}))"
 
 
-def spans(cards: bool = False, aws: bool = False) -> dict[str, str]:
-    return SPANS | ({"aws_key_id": AWS} if aws else {}) | ({"card": CARD} if cards else {})
+def scan_pattern(cards: bool = False, aws: bool = False) -> str:
+    """For Java: group 1 is a span, or a key with its value; the match itself is what the search goes on behind."""
+    full = _alternatives(cards, aws, _pem(2), _QUOTED_KEY + _SEPARATOR + _VALUE, _BARE_KEY + _SEPARATOR + _VALUE)
+    behind = _alternatives(cards, aws, _pem(3), _QUOTED_KEY + _SEPARATOR + "[\"']?", _BARE_KEY + _SEPARATOR + "[\"']?", lambda name, p: "[0-9]" if name == "card" else p)
+    return f"(?=({full})){behind}"
 
 
 #: Strings of which a text with such a span holds one at least; Bearer and Basic in lower case.
@@ -74,103 +93,128 @@ HINTS = {
 }
 
 
-def _hinted(text: Column, name: str) -> Column:
-    """Whether a text may hold a span: a plain search, far cheaper than the pattern."""
-    if name not in HINTS:
-        return F.lit(True)
-    where = F.lower(text) if name == "bearer" else text
-    out = where.contains(HINTS[name][0])
-    for hint in HINTS[name][1:]:
-        out = out | where.contains(hint)
-    return out
-
-
 def may_hold(text: Column, cards: bool = False, aws: bool = False, embedded: bool = False) -> Column:
-    """Whether a text may hold a span, a key and value or, if asked, a document: plain searches only."""
+    """Whether a text may hold a span, a key and value or, if asked, a document: plain searches, far cheaper than the pattern."""
     out = text.contains("=") | text.contains(":")
-    for name in spans(cards, aws):
-        out = out | _hinted(text, name)
+    for name in ["pem", *spans(cards, aws)]:
+        if name == "card":
+            out = out | text.rlike("[0-9](?:[ -]?[0-9]){12}")
+            continue
+        where = F.lower(text) if name == "bearer" else text
+        for hint in HINTS[name]:
+            out = out | where.contains(hint)
     return out | text.contains("{") | text.contains("[") if embedded else out
 
 
-def quoted(marker: str) -> str:
-    """A marker as replacement text."""
-    return marker.replace("\\", "\\\\").replace("$", "\\$")
-
-
 def is_candidate(text: Column, cards: bool = False, aws: bool = False) -> Column:
     """Whether a text holds any span or any key and value."""
-    return text.rlike("|".join(f"(?:{p})" for n, p in spans(cards, aws).items() if n != "pem") + r"|-----BEGIN |" + pair_pattern())
+    return may_hold(text, cards, aws) & text.rlike(scan_pattern(cards, aws))
+
+
+#: What a found string is, by itself: a span of this kind, else a key with its value.
+_LEAD = rf"^(?:{PEM_LEAD}|{_SCHEME}|{_URL})"
+_PAIR_LEAD = rf"^((?:{_QUOTED_KEY}|{_BARE_KEY}){_SEPARATOR}[\"']?)"
+
+
+def _hits(text: Column, cards: bool, aws: bool) -> Column:
+    """array<struct<h, kind, lead, consumed>>: what is found, its kind (`pair` for keys and values), characters before the secret or the value, and before the place to go on."""
+
+    def one(h: Column) -> Column:
+        kind = F.when(h.rlike("^" + PEM_LEAD), "pem")
+        for name, p in spans(cards, aws).items():
+            kind = kind.when(h.rlike("^(?:" + p.replace("(?=@)", "") + r")\z"), name)
+        return F.struct(h.alias("h"), kind.otherwise("pair").alias("kind"))
 
+    def measured(x: Column) -> Column:
+        pair = F.length(F.regexp_extract(x["h"], _PAIR_LEAD, 1))
+        lead = F.when(x["kind"] == "pair", pair).when(x["kind"].isin("pem", "bearer", "url_userinfo"), F.length(F.regexp_extract(x["h"], _LEAD, 0))).otherwise(0)
+        return F.struct(x["h"].alias("h"), x["kind"].alias("kind"), lead.alias("lead"), F.when(x["kind"] == "pair", lead).when(x["kind"] == "card", 1).otherwise(F.length(x["h"])).alias("consumed"))
 
-def _luhn_column(digits: Column) -> Column:
-    return F.call_function("luhn_check", digits)
+    found = F.when(may_hold(text, cards, aws), F.regexp_extract_all(text, F.lit(scan_pattern(cards, aws)), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.transform(found, one), measured)
 
 
-def _named(kind: str) -> Callable[[Column, Column], Column]:
-    return lambda match, lead: F.struct(F.lit(kind).alias("kind"), F.substr(match, F.length(lead) + 1).alias("secret"))
+def _secret(x: Column) -> Column:
+    return F.substr(x["h"], x["lead"] + 1)
+
+
+def _digits(h: Column) -> Column:
+    return F.regexp_replace(h, "[ -]", "")
+
+
+def _valid(x: Column) -> Column:
+    return (x["kind"] != "card") | F.call_function("luhn_check", _digits(x["h"]))
+
+
+def _key(x: Column) -> Column:
+    return F.regexp_extract(x["h"], rf"^[\"']?({_KEY_CHAR}+)", 1)
 
 
 def detect_spans(text: Column, cards: bool = False, aws: bool = False) -> Column:
-    """array<struct<kind, secret>>: the secrets of each kind, in their order."""
-    found = []
-    for name, pattern in spans(cards, aws).items():
-        # with its lead each match is one string; the lead is cut off again, where it has any width
-        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        leads = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        one = F.zip_with(hits, leads, _named(name))
-        found.append(F.filter(one, lambda x: _luhn_column(F.regexp_replace(x["secret"], "[ -]", ""))) if name == "card" else one)
-    return F.concat(*found)
+    """array<struct<kind, secret>> in the order of the text; of overlapping card numbers all."""
+    found = F.filter(_hits(text, cards, aws), lambda x: (x["kind"] != "pair") & _valid(x))
+    return F.transform(found, lambda x: F.struct(x["kind"].alias("kind"), _secret(x).alias("secret")))
 
 
 def detect_pairs(text: Column) -> Column:
-    """array<struct<key, value>> of keys and values, values without their opening quote; those inside a value too."""
-    pattern = pair_pattern()
-    hits = F.regexp_extract_all(text, F.lit(f"(?=({pattern}))"), F.lit(1))  # looks ahead, so the search goes on inside a match
-    part = lambda m, i: F.regexp_extract(m, "^" + pattern, i)
-    return F.transform(hits, lambda m: F.struct(F.concat(part(m, 2), part(m, 3)).alias("key"), F.regexp_replace(part(m, 4), "^[\"']", "").alias("value")))
+    """array<struct<key, value>> of keys and values, values without their opening quote; those inside a value too, but not those inside a span."""
+    found = F.filter(_hits(text, False, False), lambda x: x["kind"] == "pair")
+    return F.transform(found, lambda x: F.struct(_key(x).alias("key"), _secret(x).alias("value")))
 
 
 def mask_text(text: Column, keys: dict[str, rules.Rule], marker: str, cards: bool = False, aws: bool = False) -> Column:
-    """text with the values of policy keys and all spans masked: Java patterns only, no Python."""
-    out = text
-    if keys:
-        pattern = pair_pattern("(?i:" + "|".join(key_pattern(k) for k in sorted(keys, key=len, reverse=True) if k.isascii()) + ")")
-        by_rule: dict[rules.Rule, list[str]] = {}
-        for k, r in keys.items():
-            by_rule.setdefault(r, []).append(k)
-        partial = {r: ks for r, ks in by_rule.items() if not r.full}
-
-        def one(m: Column) -> Column:
-            lead, value = F.regexp_extract(m, "^" + pattern, 1), F.regexp_extract(m, "^" + pattern, 4)
-            key = F.lower(F.translate(F.concat(F.regexp_extract(m, "^" + pattern, 2), F.regexp_extract(m, "^" + pattern, 3)), "_-.", ""))
-            quote, bare = F.regexp_extract(value, "^[\"']", 0), F.regexp_replace(value, "^[\"']", "")
-            masked = F.lit(marker)
-            for rule, ks in partial.items():
-                masked = F.when(key.isin(ks), rule(bare, marker)).otherwise(masked)
-            return F.concat(lead, quote, masked)
-
-        pieces, hits = F.split(out, pattern, -1), F.regexp_extract_all(out, F.lit(pattern), F.lit(0))
-        joined = F.array_join(F.zip_with(pieces, hits, lambda p, m: F.concat(p, F.coalesce(one(m), F.lit("")))), "")
-        out = F.when(out.rlike(pattern), joined).otherwise(out)
-    for name, p in spans(cards, aws).items():
-        hinted = _hinted(text, name)
-        if name == "card":
-            pieces, hits = F.split(out, p, -1), F.regexp_extract_all(out, F.lit(p), F.lit(0))
-            digits = lambda m: F.regexp_replace(m, "[ -]", "")
-            shown = lambda m: F.when(_luhn_column(digits(m)), rules.card(m, marker)).otherwise(m)
-            joined = F.array_join(F.zip_with(pieces, hits, lambda a, m: F.concat(a, F.coalesce(shown(m), F.lit("")))), "")
-            out = F.when(out.rlike(p), joined).otherwise(out)
-        else:
-            out = F.when(hinted, F.regexp_replace(out, p, "$1" + quoted(marker))).otherwise(out) if name == "pem" else F.regexp_replace(out, p, "$1" + quoted(marker))
-    return F.when(may_hold(text, cards, aws), out).otherwise(text)
+    """text with the values of policy keys and all spans masked: Java patterns and one ordered fold, no Python."""
+    by_rule: dict[rules.Rule, list[str]] = {}
+    for k, r in keys.items():
+        by_rule.setdefault(r, []).append(k)
+
+    def edit(x: Column) -> Column:
+        """What stands in place of the secret or the value; NULL: it stays."""
+        new = F.when((x["kind"] != "pair") & (x["kind"] != "card"), F.lit(marker)).when((x["kind"] == "card") & _valid(x), rules.card(x["h"], marker))
+        key = F.lower(F.translate(_key(x), "_-.", ""))
+        for rule, names in by_rule.items():
+            new = new.when((x["kind"] == "pair") & key.isin(names), rule(_secret(x), marker))
+        return F.struct(x["h"].alias("h"), x["lead"].alias("lead"), x["consumed"].alias("consumed"), new.otherwise(F.lit(None).cast("string")).alias("new"))
+
+    def cut(part: Column, n: Column) -> Column:
+        return F.when(n <= 0, part).otherwise(F.substr(part, n + 1))
+
+    def step(acc: Column, x: Column) -> Column:
+        """acc: where the next piece begins, where the last edit begins and up to where the text is done, what is written. x: a piece of text and what was found behind it."""
+        h, start = x["h"], acc["pos"] + F.length(x["piece"])
+        begin, end = start + h["lead"], start + F.length(h["h"])
+        edits = h["new"].isNotNull()
+        kept = F.coalesce(edits & (begin >= acc["done"]), F.lit(False))
+        # of edits with one beginning the longer counts: a card number in groups, whose first is a key's value
+        longer = F.coalesce(edits & (begin == acc["begin"]) & (end > acc["done"]), F.lit(False))
+        shown = F.coalesce(cut(F.left(h["h"], F.when(kept, h["lead"]).otherwise(h["consumed"])), acc["done"] - start), F.lit(""))
+        written = F.when(longer & ~kept, F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1)).otherwise(F.array_append(acc["out"], F.concat(cut(x["piece"], acc["done"] - acc["pos"]), shown)))
+        return F.struct(
+            (start + F.coalesce(h["consumed"], F.lit(0))).alias("pos"),
+            F.when(kept, begin).otherwise(acc["begin"]).alias("begin"),
+            F.when(kept | longer, end).otherwise(acc["done"]).alias("done"),
+            F.when(kept | longer, F.array_append(written, h["new"])).otherwise(written).alias("out"),
+        )
+
+    pieces = F.split(text, scan_pattern(cards, aws), -1)
+    both = F.zip_with(pieces, F.transform(_hits(text, cards, aws), edit), lambda p, h: F.struct(p.alias("piece"), h.alias("h")))
+    begin = F.struct(F.lit(0).alias("pos"), F.lit(-1).alias("begin"), F.lit(0).alias("done"), F.array().cast("array<string>").alias("out"))
+    folded = F.aggregate(both, begin, step, lambda acc: F.array_join(acc["out"], ""))
+    return F.when(is_candidate(text, cards, aws), folded).otherwise(text)
 
 
 # ---- row by row -------------------------------------------------------------------------------------------------------
 
-_PAIR = re.compile(pair_pattern(), re.ASCII)
 MAYBE = re.compile("[=:]|(?i:bearer|basic)|[0-9](?:[ -]?[0-9]){12}|" + "|".join(re.escape(h) for n, hints in HINTS.items() if n != "bearer" for h in hints))
-_SPANS = {n: re.compile(p, re.ASCII) for n, p in (SPANS | {"aws_key_id": AWS, "card": CARD}).items()}
+
+
+def _row_pattern(cards: bool, aws: bool) -> re.Pattern:
+    named = lambda name, p: f"(?P<{name}>{p})"
+    return re.compile(_alternatives(cards, aws, _pem(2), f"{_QUOTED_KEY}{_SEPARATOR}(?P<v1>{_VALUE})", f"{_BARE_KEY}{_SEPARATOR}(?P<v2>{_VALUE})", named), re.ASCII)
+
+
+_SCANS = {(cards, aws): _row_pattern(cards, aws) for cards in (False, True) for aws in (False, True)}
+_LEAD_ROW, _KEY_ROW = re.compile(_LEAD, re.ASCII), re.compile(rf"[\"']?({_KEY_CHAR}+)")
 
 
 def luhn(digits: str) -> bool:
@@ -178,27 +222,28 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def pairs_row(text: str) -> Iterator[tuple[str, int, int]]:
-    """Key, begin and end of the value of each key and value; the search goes on inside a value."""
-    at = 0 if "=" in text or ":" in text else len(text)
-    while m := _PAIR.search(text, at):
-        begin = m.start(4) + (text[m.start(4)] in "\"'")
-        yield m[2] or m[3], begin, m.end()
-        at = max(begin, m.start() + 1)
-
-
-def spans_row(text: str, cards: bool = False, aws: bool = False) -> Iterator[tuple[str, int, int]]:
-    """Kind, begin and end of each secret."""
-    for name in spans(cards, aws):
-        for m in _SPANS[name].finditer(text):
-            if name != "card" or luhn(re.sub("[ -]", "", text[m.end(1) : m.end()])):
-                yield name, m.end(1), m.end()
+def scan_row(text: str, cards: bool = False, aws: bool = False) -> Iterator[tuple[str, str, int, int]]:
+    """Kind, key (of a pair), begin and end of each secret or value."""
+    search, at = _SCANS[cards, aws].search, 0
+    while m := search(text, at):
+        kind = m.lastgroup
+        if kind == "quoted" or kind == "bare":
+            begin = m.start("v1" if kind == "quoted" else "v2")
+            begin += text[begin] in "\"'"
+            yield "pair", _KEY_ROW.match(text, m.start())[1], begin, m.end()
+            at = begin
+        elif kind == "card":
+            if luhn(re.sub("[ -]", "", m[0])):
+                yield kind, "", m.start(), m.end()
+            at = m.start() + 1
+        else:
+            yield kind, "", m.start() + (len(_LEAD_ROW.match(m[0])[0]) if kind in ("pem", "bearer", "url_userinfo") else 0), m.end()
+            at = m.end()
 
 
 def locate_row(text: str, cards: bool = False, aws: bool = False) -> list[tuple[str, str, int, int]]:
     """(kind, key, begin, end) of all pairs and secrets, in order; places count characters from 0."""
-    found = [("pair", key, b, e) for key, b, e in pairs_row(text)] + [(kind, "", b, e) for kind, b, e in spans_row(text, cards, aws)]
-    return sorted(found, key=lambda f: (f[2], f[3], f[0]))
+    return sorted(scan_row(text, cards, aws), key=lambda f: (f[2], f[3], f[0]))
 
 
 def mask_text_row(text: str, decide: Callable[[str, str], str | None], marker: str, cards: bool = False, aws: bool = False) -> str:
@@ -206,12 +251,10 @@ def mask_text_row(text: str, decide: Callable[[str, str], str | None], marker: s
     if not MAYBE.search(text):
         return text
     edits = []
-    for key, begin, end in pairs_row(text):
-        out = decide(key, text[begin:end])
+    for kind, key, begin, end in scan_row(text, cards, aws):
+        out = decide(key, text[begin:end]) if kind == "pair" else rules.card.row(text[begin:end], marker) if kind == "card" else marker
         if out is not None:
             edits.append((begin, -end, out))
-    for name, begin, end in spans_row(text, cards, aws):
-        edits.append((begin, -end, rules.card.row(text[begin:end], marker) if name == "card" else marker))
     out, at = [], 0
     for begin, end, new in sorted(edits, key=lambda e: e[:2]):
         if begin >= at:

@@ -154,7 +154,7 @@ def test_detection_over_whole_texts(spark, tmp_path):
     spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = {}
     for lang, text in texts:
-        kinds = ["pair" for _ in detect.pairs_row(text or "")] + [n for n in detect.spans() for _ in detect._SPANS[n].finditer(text or "")]
+        kinds = [f[0] for f in detect.scan_row(text or "")]
         for kind in kinds:
             for key in ((kind, lang), (kind, None), (None, None)):
                 want[key] = want.get(key, 0) + 1
@@ -169,7 +169,7 @@ def test_detection_over_whole_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("lang", "text").collect()
     want = {}
     for r in docs:
-        for kind in ["pair" for _ in detect.pairs_row(r.text or "")] + [n for n in detect.spans() for _ in detect._SPANS[n].finditer(r.text or "")]:
+        for kind in [f[0] for f in detect.scan_row(r.text or "")]:
             want[kind] = want.get(kind, 0) + 1
     report = queries.queries()["detection_counts"](spark, SF).where("lang is null and kind is not null").groupBy("kind").agg(F.sum("n").alias("n"))
     assert {r.kind: r.n for r in report.collect()} == want
