@@ -24,6 +24,8 @@ class Rule:
     column: Callable[[Column, str], Column]
     row: Callable[[str, str], str]
     full: bool = False
+    #: the row function is the rule, and its Column form only calls it in Arrow batches
+    python: bool = False
 
     def __call__(self, value: Column, marker: str) -> Column:
         """The rule on a string column. NULL and invalid UTF-8 become the marker."""
@@ -114,7 +116,7 @@ def new_rule(name: str, function: Callable[[str], str]) -> Rule:
 
         return run(value)
 
-    return Rule(name, column, row)
+    return Rule(name, column, row, python=True)
 
 
 def rule_from_column(name: str, function: Callable[[Column], Column]) -> Rule:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +14,7 @@ from .functions import detect, documents
 from .functions.rules import Rule
 from .model import ERROR_FIELDS, ERRORS, MASKED, Field, Kind, MaskConfig, Source
 from .plans import rewrite
-from .policy import NO_OPINION, Policy, chain, default_policy, policy_fn
+from .policy import Policy, default_policy
 
 
 @dataclass(frozen=True)
@@ -25,6 +24,11 @@ class Masker:
     policy: Policy = field(default_factory=default_policy)
     config: MaskConfig = MaskConfig()
 
+    @property
+    def by_function(self) -> bool:
+        """Whether texts are masked in Python: a policy, or a rule of a key policy, is a function."""
+        return self.policy.keys is None or any(r.python for r in self.policy.keys.values())
+
     # -- values
 
     def mask_string(self, value: Column, rule: Rule) -> Column:
@@ -42,6 +46,10 @@ class Masker:
         """df with each column rewritten by the policy and by field metadata; columns left out are gone. One projection."""
         return rewrite.Rewriter(self).frame(df)
 
+    def mask_dataframe_checked(self, df: DataFrame, errors: str = "errors") -> DataFrame:
+        """mask_dataframe(), and a column with each row's errors: where a rule, a policy or a document failed, or the node limit was passed."""
+        return rewrite.Rewriter(self).frame(df, errors)
+
     # -- documents and text
 
     def _document(self, value: Column, what, fallback: str) -> Column:
@@ -70,8 +78,8 @@ class Masker:
         return self._document(value, lambda op, v: op.url(v, preserve_fragment), self.config.redaction)
 
     def mask_text(self, value: Column) -> Column:
-        """Free text, keys and secrets in it masked. With a key policy Java patterns do it all; other policies take Arrow batches."""
-        if self.policy.keys is None:
+        """Free text, keys and secrets in it masked. With a key policy Java patterns do it all; policies and rules that are functions take Arrow batches."""
+        if self.by_function:
             return self._document(value, documents.Operation.free_text, self.config.redaction)["value"]
         c = self.config
         out = detect.mask_text(value, self.policy.keys, c.redaction, c.cards, c.aws_key_ids)
@@ -131,15 +139,13 @@ class Masker:
         safe = F.transform_values(headers, lambda _, vs: F.transform(vs, lambda v: F.when(F.is_valid_utf8(v), v).when(v.isNotNull(), F.lit(config.redaction))))
         return run(safe)
 
-    def mask_to_json(self, value: Column, dtype: T.StructType | None = None) -> Column:
-        """A struct masked and written as JSON text with sorted keys.
+    def mask_to_json(self, value: Column, dtype: T.DataType) -> Column:
+        """A value of any type masked and written as JSON text with sorted keys: what mask_dataframe() gives, as a document.
 
-        Tags in field metadata count where dtype, the struct's type, is given: a bare column doesn't tell it. rows_to_json() knows it.
+        dtype is the value's type, tags in field metadata included. Undecided numbers and booleans are texts, or JSON's own with preserve_safe. With any
+        error, a number that JSON has not (NaN), or over the node limit the result is the marker.
         """
-        tags = [(re.compile(p), d) for p, d in rewrite.Rewriter(self).tagged(dtype)] if dtype else []
-        by_tag = policy_fn(lambda f: next((d for p, d in tags if p.fullmatch(f.path)), NO_OPINION))
-        masker = replace(self, policy=chain(by_tag, self.policy)) if tags else self
-        return masker.mask_json(F.to_json(value, {"ignoreNullFields": "false"}))["value"]
+        return rewrite.Rewriter(self).document(value, dtype)
 
     def rows_to_json(self, df: DataFrame) -> DataFrame:
         """One column `value`: each row masked, tags counted, as a JSON document with sorted keys."""

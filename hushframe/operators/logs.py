@@ -16,41 +16,36 @@ PASSTHROUGH = {"time": (T.TimestampType, T.TimestampNTZType), "level": (T.String
 def mask_log_records(masker, df: DataFrame, passthrough: dict = PASSTHROUGH) -> DataFrame:
     """df with its attributes masked. Undecided scalars keep their type; strings are searched.
 
-    What the policy says of a group holds for all in it, the outermost first: a rule or an omission makes all its members markers.
-    An attribute left out at the top goes; within a group it becomes a marker.
+    What the policy, or a field's metadata, says of a group holds for all in it, the outermost first: a rule or an omission makes all its members
+    markers. An attribute left out at the top goes; within a group it becomes a marker.
     """
     out = []
+    plan = Rewriter(masker)
     for f in df.schema:
-        value = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, passthrough.get(f.name, ())):
+        value = F.col("`" + f.name.replace("`", "``") + "`")
+        if isinstance(f.dataType, passthrough.get(f.name, ())) and not (f.metadata or {}).get(masker.config.metadata_key):
             out.append(value)
             continue
-        made = _attribute(masker, value, f.dataType, Field(f.name, f"$[{f.name}]", Source.ANY), False)
+        made = _attribute(plan, value, f.dataType, Field(f.name, f"$[{f.name}]", Source.ANY), f.metadata or {}, False)
         if made is not None:
             out.append(made.alias(f.name))
     return df.select(*out)
 
 
-def _attribute(masker, value: Column, dtype: T.DataType, where: Field, inside: bool) -> Column | None:
-    marker = masker.config.redaction
-    plan = Rewriter(masker)
-    found = plan.decide(Field(where.key, where.path, where.source, kind_of(dtype)), {})
+def _attribute(plan: Rewriter, value: Column, dtype: T.DataType, where: Field, metadata: dict, inside: bool) -> Column | None:
+    marker, config = plan.c.redaction, plan.c
+    found = plan.decide(Field(where.key, where.path, where.source, kind_of(dtype)), metadata)
     if isinstance(dtype, T.StructType):
         if found:
             return _markers(dtype, marker)
-        parts = [_attribute(masker, value.getField(f.name), f.dataType, Field(f.name, f"{where.path}[{f.name}]", where.source), True).alias(f.name) for f in dtype]
+        parts = [_attribute(plan, value.getField(f.name), f.dataType, Field(f.name, f"{where.path}[{f.name}]", where.source), f.metadata or {}, True).alias(f.name) for f in dtype]
         return F.when(value.isNotNull(), F.struct(*parts))
     if found.omit:
         return F.lit(marker) if inside else None
-    if found.rule:
-        return plan.apply(found.rule, value, dtype)
-    if isinstance(dtype, T.StringType):
-        return plan.string(value)
-    if isinstance(dtype, (T.ArrayType, T.MapType, T.BinaryType)):
-        return plan.open(value, dtype, where, {}, 0, False)
-    if masker.config.cards and isinstance(dtype, (T.LongType, T.DecimalType)):  # a number may be a card's
-        shown = masker.mask_text(value.cast("string"))
-        return F.when(value.isNotNull(), shown)
+    if not found.rule and isinstance(dtype, (T.LongType, T.DecimalType)) and config.cards:  # a number may be a card's
+        return F.when(value.isNotNull(), plan.m.mask_text(value.cast("string")))
+    if found.rule or isinstance(dtype, (T.StringType, T.ArrayType, T.MapType, T.BinaryType)):
+        return plan.column(value, dtype, where, metadata)
     return value
 
 

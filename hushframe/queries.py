@@ -123,7 +123,8 @@ def json_errors(spark, d):
 
 def mask_to_json(spark, d):
     who = F.struct(F.col("c_name").alias("user_name"), F.lit("x").alias("api_key"), F.col("c_custkey").alias("n"))
-    return _t(spark, d, "customer").select("c_custkey", DEFAULT.mask_to_json(F.struct(who.alias("who"))).alias("v"))
+    rows = _t(spark, d, "customer").select("c_custkey", F.struct(who.alias("who")).alias("doc"))
+    return rows.select("c_custkey", DEFAULT.mask_to_json(F.col("doc"), rows.schema["doc"].dataType).alias("v"))
 
 
 def url_pages(spark, d):
@@ -308,6 +309,76 @@ def log_records(spark, d):
     return masked.select("event_id", "level", "msg", F.col("who.user_id").alias("who_user_id"), F.col("who.kind").alias("who_kind"), F.col("credentials.a").alias("credentials_a"))
 
 
+def nested_keys(spark, d):
+    """Keys that stand inside the value of a key."""
+    text = F.concat(F.lit("secret: password: h"), F.col("c_custkey").cast("string"), F.lit(" api_key: pwd = "), F.col("c_mktsegment"), F.lit(" note=token=t, end"))
+    return _t(spark, d, "customer").select("c_custkey", DEFAULT.mask_text(text).alias("v"))
+
+
+def _keyed_document():
+    return F.concat(F.lit('{"n":'), F.col("c_custkey").cast("string"), F.lit(',"a":{"credentials":["'), F.col("c_mktsegment"), F.lit('"]}}'))
+
+
+def container_documents(spark, d):
+    """Documents, URLs and forms in arrays, maps and structs in arrays."""
+    doc = _keyed_document()
+    link = F.concat(F.lit("https://h/p?token="), F.col("c_custkey").cast("string"), F.lit("&a=1"))
+    rows = _t(spark, d, "customer").select("c_custkey", F.array(doc, F.col("c_mktsegment"), link).alias("list"), F.create_map(F.lit("body"), doc, F.lit("pwd"), doc, F.lit("link"), link).alias("map"), F.array(F.struct(doc.alias("doc"), F.array(link).alias("links"))).alias("deep"))
+    masked = DEFAULT.mask_dataframe(rows)
+    return masked.select("c_custkey", F.array_join("list", "|").alias("list"), F.col("map")["body"].alias("body"), F.col("map")["pwd"].alias("pwd"), F.col("map")["link"].alias("link"), F.col("deep")[0]["doc"].alias("deep_doc"), F.col("deep")[0]["links"][0].alias("deep_link"))
+
+
+def log_tags(spark, d):
+    c = _t(spark, d, "customer").select("c_custkey", F.struct(F.col("c_name").alias("full"), F.col("c_mktsegment").alias("gone"), F.col("c_name").alias("kept")).alias("who"), F.col("c_name").alias("top"), F.col("c_mktsegment").alias("dropped"))
+    of = lambda name, tag=None: T.StructField(name, T.StringType(), True, {"mask": tag} if tag else {})
+    kind = T.StructType([T.StructField("c_custkey", c.schema["c_custkey"].dataType), T.StructField("who", T.StructType([of("full", "full"), of("gone", "omit"), of("kept")])), of("top", "id"), of("dropped", "omit")])
+    masked = mask_log_records(PLAIN, c.to(kind))
+    return masked.select("c_custkey", F.col("who.full").alias("who_full"), F.col("who.gone").alias("who_gone"), F.col("who.kept").alias("who_kept"), "top", F.size(F.array(*[F.lit(n) for n in masked.columns])).alias("n_columns"))
+
+
+def frame_errors(spark, d):
+    """A typed frame with the errors of each row: a rule that raises, in a column and in an array of structs."""
+    own = Masker(KeyPolicy([(["n"], rules.new_rule("own", _even_only))]))
+    key = F.col("c_custkey").cast("string")
+    rows = _t(spark, d, "customer").select("c_custkey", key.alias("n"), F.array(F.struct(key.alias("n")), F.struct(F.lit("2").alias("n"))).alias("items"))
+    m = own.mask_dataframe_checked(rows)
+    e = lambda i, name: F.get(F.col("errors"), F.lit(i))[name]
+    return m.select("c_custkey", "n", F.array_join(F.transform("items", lambda x: x["n"]), ",").alias("items"), F.size("errors").alias("n_errors"), e(0, "code").alias("code"), e(0, "path").alias("path"), e(1, "path").alias("path_2"), e(0, "rule").alias("rule"))
+
+
+def node_limits(spark, d):
+    """Rows with more values than the limit show nothing."""
+    orders = _t(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("orders"))
+    m = Masker(KeyPolicy([]), MaskConfig(max_nodes=12)).mask_dataframe_checked(orders.select(F.col("o_custkey").alias("custkey"), "o_custkey", "orders"))
+    limited = m.select("custkey", "o_custkey", F.array_join("orders", ",").alias("orders"), F.get("errors", F.lit(0))["code"].alias("code"))
+    return limited.groupBy("custkey", "o_custkey", "code").agg(F.max("orders").alias("orders"), F.count("*").alias("n"))
+
+
+def map_functions(spark, d):
+    """A policy that is a function judges the keys of a map, also of maps in arrays."""
+    tags = F.create_map(F.lit("Pass-Word"), F.col("c_name"), F.lit("drop"), F.col("c_name"), F.lit("name"), F.col("c_mktsegment"), F.lit("note"), F.concat(F.lit("my password="), F.col("c_mktsegment")))
+    masked = Masker(_chained("drop")).mask_dataframe(_t(spark, d, "customer").select("c_custkey", F.array(tags).alias("list")))
+    return masked.select("c_custkey", F.explode(F.col("list")[0]).alias("k", "v"))
+
+
+def json_numbers(spark, d):
+    """Numbers and booleans of a frame as JSON's own; NaN fails the row."""
+    by = F.col("o_orderkey") % 8
+    value = F.col("o_orderkey") % 1000 / 8.0
+    for i, x in enumerate((1.0, 1e21, 1e-7, 1234567.0, 0.000001)):
+        value = F.when(by == i, F.lit(x)).otherwise(value)
+    value = F.when(F.col("o_orderkey") % 16 == 5, F.lit(float("nan"))).otherwise(value)
+    rows = _t(spark, d, "orders").select(value.alias("v"), (F.col("o_orderkey") % 2 == 0).alias("even"), F.col("o_orderkey").alias("n"), F.array(F.col("o_orderkey"), F.lit(None).cast("long")).alias("list"))
+    return Masker(KeyPolicy([]), MaskConfig(preserve_safe=True)).rows_to_json(rows)
+
+
+def json_maps(spark, d):
+    """Maps of structs as JSON members in the order of their keys, each entry decided by its key."""
+    who = lambda name: F.struct(F.lit(name + "<&>\t\"x").alias("z"), F.col("c_name").alias("password"), F.col("c_acctbal").alias("b"))
+    rows = _t(spark, d, "customer").select("c_custkey", F.create_map(F.lit("two"), who("2"), F.lit("token"), who("t"), F.lit("one"), who("1")).alias("m"))
+    return rows.select("c_custkey", DEFAULT.mask_to_json(F.col("m"), rows.schema["m"].dataType).alias("v"))
+
+
 def masked_join_agg(spark, d):
     keyed = Masker(KeyPolicy([(["c_name"], rules.id_)])).mask_dataframe(_t(spark, d, "customer").select("c_custkey", "c_name"))
     orders = _t(spark, d, "orders").select("o_custkey", "o_orderkey")
@@ -338,6 +409,9 @@ def _id(c: str) -> str:
 
 _LUHN = "list_sum(list_transform(list_reverse(string_split({c}, '')), lambda x, i: CASE WHEN i % 2 = 1 THEN x::int ELSE (2 * x::int) // 10 + (2 * x::int) % 10 END)) % 10 = 0"
 
+#: Begins the escape of a character in JSON.
+_U = "\\" + "u00"
+
 SQL: dict[str, str] = {
     "rule_full": f"SELECT c_custkey, '{R}' AS v FROM customer",
     "rule_id": f"SELECT c_custkey, {_id('c_name')} AS v FROM customer",
@@ -353,7 +427,7 @@ SQL: dict[str, str] = {
     "json_props": "SELECT event_id, replace(props, ': ', ':') AS v, 0 AS n_errors FROM events",
     "json_build": f"""SELECT c_custkey, '{{"bal":' || c_custkey || '.50,"list":[1,null,{{"token":"{R}"}}],"name":"\\u003c' || c_mktsegment || '\\u003e","password":"{R}","z":"true"}}' AS v FROM customer""",
     "json_errors": f"""SELECT event_id, CASE WHEN event_id % 3 = 2 THEN replace(props, ': ', ':') ELSE '"{R}"' END AS v, CASE event_id % 3 WHEN 0 THEN 'invalid_json' WHEN 1 THEN 'depth_limit' END AS code FROM events""",
-    "mask_to_json": f"""SELECT c_custkey, '{{"who":{{"api_key":"{R}","n":' || c_custkey || ',"user_name":"' || c_name || '"}}}}' AS v FROM customer""",
+    "mask_to_json": f"""SELECT c_custkey, '{{"who":{{"api_key":"{R}","n":"' || c_custkey || '","user_name":"' || c_name || '"}}}}' AS v FROM customer""",
     "url_pages": "SELECT page_id, regexp_replace(url, '#.+$', '#%5BREDACTED%5D') AS v FROM pages",
     "url_http": "SELECT page_id, regexp_replace(url, '[?#].*$', '') || '?a=b+c&token=%5BREDACTED%5D&z=1' AS v FROM pages",
     "form_orders": "SELECT o_orderkey, 'key=' || o_orderkey || '&password=%5BREDACTED%5D&status=' || o_orderstatus AS v FROM orders",
@@ -364,7 +438,7 @@ SQL: dict[str, str] = {
     "headers_map": f"SELECT c_custkey, k, CASE k WHEN 'Set-Cookie' THEN '{R}' WHEN 'Authorization' THEN '{R}|{R}' WHEN 'Accept' THEN 'password={R}' || CASE WHEN c_name LIKE '% %' THEN substr(c_name, instr(c_name, ' ')) ELSE '' END ELSE c_mktsegment END AS v FROM customer CROSS JOIN (VALUES ('Set-Cookie'), ('Authorization'), ('Accept'), ('Host')) t(k)",
     "headers_embedded": f"""SELECT c_custkey, k, replace(CASE k WHEN 'Host' THEN c_mktsegment ELSE v END, '#', c_custkey::varchar) AS v, 0 AS n_errors, 6 AS n_checked FROM customer CROSS JOIN (VALUES ('Referer', 'https://h/p?token=%5BREDACTED%5D'), ('X-Body', '{{"n":#,"password":"{R}"}}'), ('X-Form', 'b=2&pwd=%5BREDACTED%5D'), ('Host', ''), ('X-Api-Key', '{R}'), ('Via', 'sent with Bearer {R}')) t(k, v)""",
     "headers_failing": "SELECT c_custkey, 0 AS n_headers, 'policy_failure' AS code, 'headers' AS operation, '$[X-B]' AS path FROM customer",
-    "tags_json": f"""SELECT '{{"who":{{"n":' || c_custkey || ',"name":"{R}","password":"' || {_id('c_mktsegment')} || '"}}}}' AS value FROM customer""",
+    "tags_json": f"""SELECT '{{"who":{{"n":"' || c_custkey || '","name":"{R}","password":"' || {_id('c_mktsegment')} || '"}}}}' AS value FROM customer""",
     "number_texts": "SELECT o_orderkey::varchar AS o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN '1' WHEN 1 THEN '1e+07' WHEN 2 THEN '1e-07' WHEN 3 THEN '1.234567e+06' WHEN 4 THEN '0.0001' ELSE rtrim(rtrim(printf('%.3f', (o_orderkey % 1000) / 8.0::double), '0'), '.') END AS v FROM orders",
     "time_texts": "SELECT o_orderkey::varchar AS o_orderkey, strftime(make_timestamp((1704164645 + o_orderkey) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS v FROM orders",
     "nested_pairs": "SELECT c_custkey, key, replace(value, '#', c_custkey::varchar) AS value FROM customer CROSS JOIN (VALUES ('failed', 'password=p#'), ('password', 'p#'), ('a', 'b=c'), ('b', 'c')) t(key, value)",
@@ -382,6 +456,19 @@ SQL: dict[str, str] = {
     "log_groups": f"SELECT c_custkey::varchar AS n, '{R}' AS who_drop, c_mktsegment AS who_seg, CASE WHEN c_custkey % 2 = 0 THEN '************1111' ELSE c_custkey::varchar END AS paid FROM customer",
     "log_lines": f"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN '{{"message":"{R}"}}' ELSE '{{"level":"info","msg":"' || event_type || '","password":"{R}","tokenCauses":"{R}"}}' END AS value FROM events""",
     "log_records": f"SELECT event_id, 'info' AS level, event_type AS msg, {_id('user_id::varchar')} AS who_user_id, event_type AS who_kind, '{R}' AS credentials_a FROM events",
+    "nested_keys": f"SELECT c_custkey, 'secret: {R} {R} api_key: {R} = {R} note=token={R}, end' AS v FROM customer",
+    "container_documents": f"""WITH t AS (SELECT c_custkey::varchar AS c_custkey, c_mktsegment, '{{"a":{{"credentials":"{R}"}},"n":' || c_custkey || '}}' AS doc, 'https://h/p?a=1&token=%5BREDACTED%5D' AS link FROM customer)
+SELECT c_custkey, doc || '|' || c_mktsegment || '|' || link AS list, doc AS body, '{R}' AS pwd, link, doc AS deep_doc, link AS deep_link FROM t""",
+    "log_tags": f"SELECT c_custkey, '{R}' AS who_full, '{R}' AS who_gone, c_name AS who_kept, {_id('c_name')} AS top, 3::int AS n_columns FROM customer",
+    "frame_errors": f"""SELECT c_custkey::varchar AS c_custkey, CASE WHEN odd THEN '{R}' ELSE 'even' END AS n, CASE WHEN odd THEN '{R}' ELSE 'even' END || ',even' AS items, CASE WHEN odd THEN 2 ELSE 0 END::int AS n_errors,
+CASE WHEN odd THEN 'rule_failure' END AS code, CASE WHEN odd THEN '$[n]' END AS path, CASE WHEN odd THEN '$[items][][n]' END AS path_2, CASE WHEN odd THEN 'own' END AS rule FROM (SELECT *, c_custkey % 2 = 1 AS odd FROM customer)""",
+    "node_limits": f"""WITH t AS (SELECT o_custkey, count(*) AS c, string_agg(o_orderkey::varchar, ',' ORDER BY o_orderkey) AS orders FROM orders GROUP BY 1)
+SELECT CASE WHEN c + 3 > 12 THEN '{R}' ELSE o_custkey::varchar END AS custkey, CASE WHEN c + 3 > 12 THEN '{R}' ELSE o_custkey::varchar END AS o_custkey, CASE WHEN c + 3 > 12 THEN 'node_limit' END AS code, max(CASE WHEN c + 3 <= 12 THEN orders END) AS orders, count(*) AS n FROM t GROUP BY 1, 2, 3""",
+    "map_functions": f"SELECT c_custkey::varchar AS c_custkey, k, CASE k WHEN 'Pass-Word' THEN '{R}' WHEN 'name' THEN c_mktsegment ELSE 'my password={R}' END AS v FROM customer CROSS JOIN (VALUES ('Pass-Word'), ('name'), ('note')) t(k)",
+    "json_numbers": f"""SELECT CASE WHEN o_orderkey % 16 = 5 THEN '"{R}"' ELSE '{{"even":' || (CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END) || ',"list":[' || o_orderkey || ',null],"n":' || o_orderkey || ',"v":' ||
+CASE o_orderkey % 8 WHEN 0 THEN '1' WHEN 1 THEN '1e+21' WHEN 2 THEN '1e-7' WHEN 3 THEN '1234567' WHEN 4 THEN '0.000001' ELSE rtrim(rtrim(printf('%.3f', (o_orderkey % 1000) / 8.0::double), '0'), '.') END || '}}' END AS value FROM orders""",
+    "json_maps": rf"""WITH t AS (SELECT c_custkey, rtrim(rtrim(printf('%.2f', c_acctbal), '0'), '.') AS b FROM customer)
+SELECT c_custkey, '{{"one":{{"b":"' || b || '","password":"{R}","z":"1{_U}3c{_U}26{_U}3e\t\"x"}},"token":"{R}","two":{{"b":"' || b || '","password":"{R}","z":"2{_U}3c{_U}26{_U}3e\t\"x"}}}}' AS v FROM t""",
     "masked_join_agg": f"SELECT {_id('c_name')} AS c_name, count(*) AS n, max(o_orderkey) AS last_order FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
     "digest_customers": f"SELECT count(*) AS n, sum(('0x' || left(md5(c_custkey::varchar || chr(31) || c_mktsegment || chr(31) || {_id('c_name')}), 8))::bigint)::bigint AS digest FROM customer",
     "masked_topk": f"SELECT o_orderkey, '{R}' AS o_custkey FROM orders ORDER BY o_orderkey DESC LIMIT 10",

@@ -89,7 +89,8 @@ def test_nested_rewrite(spark):
     first, empty = masked.collect()
     assert first.id == "**3456" and empty.id == R
     assert first.who.asDict() == {"email": "a***@b.c", "age": "3"} and empty.who is None
-    assert first.tags == {"Pass-Word": R, "b": f"token={R}"} and first.notes == [f"pwd={R}", None, "ok"]
+    # strings in arrays and maps are inspected as anywhere: these two are forms
+    assert first.tags == {"Pass-Word": R, "b": "token=%5BREDACTED%5D"} and first.notes == ["pwd=%5BREDACTED%5D", None, "ok"]
     assert first["at"] == "2024-01-02T03:04:05.6Z" and first.raw == "aGk=" and first.doc == f'{{"a":"true","pwd":"{R}"}}'
     assert masked.count() == 2
     kept = Masker(config=MaskConfig(preserve_safe=True)).mask_dataframe(df.select("who")).schema["who"].dataType
@@ -179,7 +180,7 @@ def test_chains_in_nested_fields_and_headers(spark):
     for r in queries.queries()["chain_nested"](spark, SF).collect():
         who = r.who.asDict(True)
         assert who["note"] == f"my password={R}" and who["more"] == {"deep": f"my password={R}"}
-        assert who["list"][0] == R and who["list"][1].startswith("Supplier") and who["link"] == "https://h/p?token=%5BREDACTED%5D"
+        assert who["list"][0] == f"my password={R}" and who["list"][1].startswith("Supplier") and who["link"] == "https://h/p?token=%5BREDACTED%5D"
     for r in queries.queries()["chain_headers"](spark, SF).collect():
         assert set(r.headers) == {"X-Api-Key", "Cookie", "Accept", "Host"} and r.headers["X-Api-Key"] == r.headers["Cookie"] == [R]
         assert r.headers["Accept"] == [f"password={R}"] and r.headers["Host"][0].startswith("Supplier")
@@ -192,7 +193,7 @@ def test_chains_of_key_policies(spark):
     for policy in (keys, chain(policy_fn(keys.decide))):
         m = Masker(policy)
         assert one.select(m.mask_headers(F.col("h")).alias("h")).first().h["X-Api-Key"] == [R]
-        assert m.mask_dataframe(one.select("a")).first().a == ([f"note={R} x"] if policy is keys else [R])
+        assert m.mask_dataframe(one.select("a")).first().a == [f"note={R} x"]
     failing = Masker(policy_fn(lambda f: 1 // 0))
     assert one.select(failing.mask_headers(F.col("h")).alias("h")).first().h["X-Api-Key"] == [R]
 
