@@ -39,9 +39,13 @@ _LABEL = r"(?=(?:(?!-----)[^\n]){0,65}-----)(?:(?!-----)[^\n])*?PRIVATE KEY(?:(?
 PEM_LEAD = rf"-----BEGIN {_LABEL}-----"
 
 
+def _pem_body(group: int) -> str:
+    return rf"(?!-----END \{group}-----)[\s\S]+?(?=-----END \{group}-----|(?![\s\S]))"
+
+
 def _pem(group: int) -> str:
     """The label is that group."""
-    return rf"-----BEGIN ({_LABEL})-----(?!-----END \{group}-----)[\s\S]+?(?=-----END \{group}-----|(?![\s\S]))"
+    return rf"-----BEGIN ({_LABEL})-----{_pem_body(group)}"
 
 
 #: At least eight characters, `=` at the end only; up to 19 small letters alone are prose.
@@ -75,20 +79,51 @@ def spans(cards: bool = False, aws: bool = False) -> dict[str, str]:
 
 def _alternatives(cards: bool, aws: bool, pem: str, quoted: str, bare: str, wrap: Callable[[str, str], str] = lambda name, p: p) -> str:
     """All that may begin at one place; what begins inside a word is passed over at once."""
+    outside = f"{wrap('pem', pem)}|{wrap('quoted', quoted)}"
     inside = "|".join(wrap(n, p) for n, p in spans(cards, aws).items())
-    return rf"(?:{wrap('pem', pem)}|{wrap('quoted', quoted)}|(?<![A-Za-z0-9])(?:{inside}|{wrap('bare', bare)}))"
+    return rf"(?:{outside}|(?<![A-Za-z0-9])(?:{inside}|{wrap('bare', bare)}))"
+
+
+def _scan(cards: bool, aws: bool) -> tuple[str, dict[str, list[int]]]:
+    """A pattern for Java, and its groups by name: of what is found, what stays before the secret or value, a pair's key, a card number's first character.
+
+    Group 1 is a span, or a key with its value; the match itself is what the search goes on behind.
+    """
+    groups: dict[str, list[int]] = {"lead": [], "key": [], "card": []}
+    count = 1
+
+    def told(name: str, p: str) -> str:
+        """An alternative with groups that tell what it is. Java keeps groups of what is looked ahead for and then fails, so nothing may fail behind those."""
+        nonlocal count
+        if name in ("quoted", "bare"):
+            key = rf"[\"']({_KEY_CHAR}+)[\"']" if name == "quoted" else f"({_KEY_CHAR}+)"
+            groups["lead"].append(count + 1)
+            groups["key"].append(count + 2)
+            count += 2
+            return rf"(?={p})(?=({key}{_SEPARATOR}[\"']?)){p}"
+        if name == "pem":
+            groups["lead"].append(count + 1)
+            count += 2
+            return f"({PEM_LEAD.replace(_LABEL, f'({_LABEL})')}){_pem_body(count)}"
+        before = {"bearer": _SCHEME, "url_userinfo": _URL, "card": "[0-9]"}.get(name)
+        if before is None:
+            return p
+        count += 1
+        groups["card" if name == "card" else "lead"].append(count)
+        return p.replace(before, f"({before})", 1)
+
+    full = _alternatives(cards, aws, "", _QUOTED_KEY + _SEPARATOR + _VALUE, _BARE_KEY + _SEPARATOR + _VALUE, told)
+    behind = _alternatives(cards, aws, _pem(count + 1), _QUOTED_KEY + _SEPARATOR + "[\"']?", _BARE_KEY + _SEPARATOR + "[\"']?", lambda name, p: "[0-9]" if name == "card" else p)
+    return f"(?=({full})){behind}", groups
 
 
 def scan_pattern(cards: bool = False, aws: bool = False) -> str:
-    """For Java: group 1 is a span, or a key with its value; the match itself is what the search goes on behind."""
-    full = _alternatives(cards, aws, _pem(2), _QUOTED_KEY + _SEPARATOR + _VALUE, _BARE_KEY + _SEPARATOR + _VALUE)
-    behind = _alternatives(cards, aws, _pem(3), _QUOTED_KEY + _SEPARATOR + "[\"']?", _BARE_KEY + _SEPARATOR + "[\"']?", lambda name, p: "[0-9]" if name == "card" else p)
-    return f"(?=({full})){behind}"
+    return _scan(cards, aws)[0]
 
 
-#: Strings of which a text with such a span holds one at least; Bearer and Basic in lower case.
+#: Strings of which a text with such a span holds one at least; Bearer and Basic in lower case. All prefixes of providers hold one of four.
 HINTS = {
-    "pem": ["-----BEGIN "], "bearer": ["bearer", "basic"], "jwt": ["eyJ"], "provider_token": [p for names, _, _ in PROVIDERS for p in names],
+    "pem": ["-----BEGIN "], "bearer": ["bearer", "basic"], "jwt": ["eyJ"], "provider_token": ["_", "glpat-", "xox", "AIza"],
     "url_userinfo": ["://"], "aws_key_id": ["AKIA", "ASIA", "ABIA", "ACCA"],
 }
 
@@ -162,50 +197,80 @@ def detect_pairs(text: Column) -> Column:
     return F.transform(found, lambda x: F.struct(_key(x).alias("key"), _secret(x).alias("value")))
 
 
+#: Stand between what is found in a text, and behind it. They are no characters (U+FDD0, U+FDD1): in texts they are replaced.
+_FIELD, _FOUND = chr(0xFDD0), chr(0xFDD1)
+
+
 def mask_text(text: Column, keys: dict[str, rules.Rule], marker: str, cards: bool = False, aws: bool = False) -> Column:
-    """text with the values of policy keys and all spans masked: Java patterns and one ordered fold, no Python."""
+    """text with the values of policy keys and all spans masked: one pass of a Java pattern and one ordered fold, no Python.
+
+    The noncharacters U+FDD0 and U+FDD1 in a text that may hold something become U+FFFD.
+    """
     by_rule: dict[rules.Rule, list[str]] = {}
     for k, r in keys.items():
         by_rule.setdefault(r, []).append(k)
+    pattern, groups = _scan(cards, aws)
+    told = "".join(_FIELD + "".join(f"${n}" for n in g) for g in ([1], groups["lead"], groups["key"], groups["card"])) + _FOUND
+    clean = F.when(text.rlike(f"[{_FIELD}{_FOUND}]"), F.translate(text, _FIELD + _FOUND, chr(0xFFFD) * 2)).otherwise(text)
+
+    def fields(f: Column) -> Column:
+        return F.struct(F.get(f, F.lit(0)).alias("piece"), F.coalesce(F.get(f, F.lit(1)), F.lit("")).alias("h"), F.coalesce(F.length(F.get(f, F.lit(2))), F.lit(0)).alias("lead"), F.coalesce(F.get(f, F.lit(3)), F.lit("")).alias("key"), (F.get(f, F.lit(4)) != "").alias("card"))
 
     def edit(x: Column) -> Column:
         """What stands in place of the secret or the value; NULL: it stays."""
-        new = F.when((x["kind"] != "pair") & (x["kind"] != "card"), F.lit(marker)).when((x["kind"] == "card") & _valid(x), rules.card(x["h"], marker))
-        key = F.lower(F.translate(_key(x), "_-.", ""))
+        new = F.when(x["card"], F.when(F.call_function("luhn_check", _digits(x["h"])), rules.card(x["h"], marker))) if cards else F.when(F.lit(False), F.lit(""))
+        key = F.lower(F.translate(x["key"], "_-.", ""))
         for rule, names in by_rule.items():
-            new = new.when((x["kind"] == "pair") & key.isin(names), rule(_secret(x), marker))
-        return F.struct(x["h"].alias("h"), x["lead"].alias("lead"), x["consumed"].alias("consumed"), new.otherwise(F.lit(None).cast("string")).alias("new"))
+            new = new.when((x["key"] != "") & key.isin(names), rule(F.substr(x["h"], x["lead"] + 1), marker))
+        new = new.when((x["key"] == "") & (x["h"] != ""), F.lit(marker))
+        return F.struct(x["piece"].alias("piece"), x["h"].alias("h"), x["lead"].alias("lead"), F.when(x["key"] != "", x["lead"]).when(x["card"], 1).otherwise(F.length(x["h"])).alias("consumed"), new.alias("new"))
 
     def cut(part: Column, n: Column) -> Column:
         return F.when(n <= 0, part).otherwise(F.substr(part, n + 1))
 
     def step(acc: Column, x: Column) -> Column:
         """acc: where the next piece begins, where the last edit begins and up to where the text is done, what is written. x: a piece of text and what was found behind it."""
-        h, start = x["h"], acc["pos"] + F.length(x["piece"])
-        begin, end = start + h["lead"], start + F.length(h["h"])
-        edits = h["new"].isNotNull()
-        kept = F.coalesce(edits & (begin >= acc["done"]), F.lit(False))
+        start = acc["pos"] + F.length(x["piece"])
+        begin, end = start + x["lead"], start + F.length(x["h"])
+        edits = x["new"].isNotNull()
+        kept = edits & (begin >= acc["done"])
         # of edits with one beginning the longer counts: a card number in groups, whose first is a key's value
-        longer = F.coalesce(edits & (begin == acc["begin"]) & (end > acc["done"]), F.lit(False))
-        shown = F.coalesce(cut(F.left(h["h"], F.when(kept, h["lead"]).otherwise(h["consumed"])), acc["done"] - start), F.lit(""))
+        longer = edits & (begin == acc["begin"]) & (end > acc["done"])
+        shown = cut(F.left(x["h"], F.when(kept, x["lead"]).otherwise(x["consumed"])), acc["done"] - start)
         written = F.when(longer & ~kept, F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1)).otherwise(F.array_append(acc["out"], F.concat(cut(x["piece"], acc["done"] - acc["pos"]), shown)))
         return F.struct(
-            (start + F.coalesce(h["consumed"], F.lit(0))).alias("pos"),
+            (start + x["consumed"]).alias("pos"),
             F.when(kept, begin).otherwise(acc["begin"]).alias("begin"),
             F.when(kept | longer, end).otherwise(acc["done"]).alias("done"),
-            F.when(kept | longer, F.array_append(written, h["new"])).otherwise(written).alias("out"),
+            F.when(kept | longer, F.array_append(written, x["new"])).otherwise(written).alias("out"),
         )
 
-    pieces = F.split(text, scan_pattern(cards, aws), -1)
-    both = F.zip_with(pieces, F.transform(_hits(text, cards, aws), edit), lambda p, h: F.struct(p.alias("piece"), h.alias("h")))
-    begin = F.struct(F.lit(0).alias("pos"), F.lit(-1).alias("begin"), F.lit(0).alias("done"), F.array().cast("array<string>").alias("out"))
-    folded = F.aggregate(both, begin, step, lambda acc: F.array_join(acc["out"], ""))
-    return F.when(is_candidate(text, cards, aws), folded).otherwise(text)
+    def joined(edits: Column) -> Column:
+        """Spans don't overlap: only where a value or a card number is masked is there anything to settle."""
+        within = F.exists(edits, lambda x: x["new"].isNotNull() & (x["consumed"] < F.length(x["h"])))
+        begin = F.struct(F.lit(0).alias("pos"), F.lit(-1).alias("begin"), F.lit(0).alias("done"), F.array().cast("array<string>").alias("out"))
+        folded = F.aggregate(edits, begin, step, lambda acc: F.array_join(acc["out"], ""))
+        each = F.transform(edits, lambda x: F.concat(x["piece"], F.when(x["new"].isNotNull(), F.concat(F.left(x["h"], x["lead"]), x["new"])).otherwise(F.left(x["h"], x["consumed"]))))
+        return F.when(within, folded).otherwise(F.array_join(each, ""))
+
+    parts = F.transform(F.split(F.regexp_replace(clean, pattern, told), _FOUND), lambda part: F.split(part, _FIELD))
+    made = F.get(F.transform(F.array(F.transform(F.transform(parts, fields), edit)), joined), F.lit(0))
+    return F.when(may_hold(text, cards, aws), made).otherwise(text)
 
 
 # ---- row by row -------------------------------------------------------------------------------------------------------
 
-MAYBE = re.compile("[=:]|(?i:bearer|basic)|[0-9](?:[ -]?[0-9]){12}|" + "|".join(re.escape(h) for n, hints in HINTS.items() if n != "bearer" for h in hints))
+_DIGITS = re.compile("[0-9](?:[ -]?[0-9]){12}")
+
+
+def may_hold_row(text: str, cards: bool = False, aws: bool = False) -> bool:
+    """may_hold() of one text."""
+    if "=" in text or ":" in text or "_" in text or "eyJ" in text or "glpat-" in text or "xox" in text or "AIza" in text or "-----BEGIN " in text:
+        return True
+    if aws and any(h in text for h in HINTS["aws_key_id"]) or cards and _DIGITS.search(text):
+        return True
+    small = text.lower()
+    return "bearer" in small or "basic" in small
 
 
 def _row_pattern(cards: bool, aws: bool) -> re.Pattern:
@@ -248,7 +313,7 @@ def locate_row(text: str, cards: bool = False, aws: bool = False) -> list[tuple[
 
 def mask_text_row(text: str, decide: Callable[[str, str], str | None], marker: str, cards: bool = False, aws: bool = False) -> str:
     """text with spans masked, and values for whose key and value decide() gives a text; of overlapping edits the outermost counts."""
-    if not MAYBE.search(text):
+    if not may_hold_row(text, cards, aws):
         return text
     edits = []
     for kind, key, begin, end in scan_row(text, cards, aws):

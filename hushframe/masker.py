@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,10 +56,7 @@ class Masker:
     def _document(self, value: Column, what, fallback: str) -> Column:
         policy, config = self.policy, self.config
 
-        @F.pandas_udf(MASKED)
-        def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            for values in parts:
-                yield documents.frame(policy, config, what, values, fallback)
+        run = arrow(lambda values: documents.frame(policy, config, what, values, fallback), MASKED)
 
         # invalid UTF-8 never reaches Python
         said = {"code": "invalid_utf8", "operation": documents.name_of(what), "path": "$", "depth": 0}
@@ -131,10 +129,7 @@ class Masker:
         policy, config = self.policy, self.config
         returned = T.StructType([T.StructField("value", T.MapType(T.StringType(), T.ArrayType(T.StringType()))), T.StructField("errors", ERRORS)])
 
-        @F.udf(returned)
-        def run(members):
-            return (None, []) if members is None else documents.headers(policy, config, members)
-
+        run = arrow(lambda maps: documents.headers_frame(policy, config, maps), returned)
         # values that are no UTF-8 never reach Python
         safe = F.transform_values(headers, lambda _, vs: F.transform(vs, lambda v: F.when(F.is_valid_utf8(v), v).when(v.isNotNull(), F.lit(config.redaction))))
         return run(safe)
@@ -162,22 +157,29 @@ class Masker:
         ):
             spark.udf.register(name, self._plain(what, fallback))
         policy, config = self.policy, self.config
-        spark.udf.register("mask_headers", lambda m: None if m is None else documents.headers(policy, config, m)[0], "map<string,array<string>>")
+        spark.udf.register("mask_headers", arrow(lambda maps: documents.headers_frame(policy, config, maps).field("value"), "map<string,array<string>>"))
 
         class Detect:
+            """A row for each pair and secret of a text; a text's rows are made together."""
+
             def eval(self, text: str):
                 yield from detect.locate_row(text or "", config.cards, config.aws_key_ids)
 
-        spark.udtf.register("detect", F.udtf(Detect, returnType="kind: string, key: string, begin: int, end: int"))
+        spark.udtf.register("detect", F.udtf(Detect, returnType="kind: string, key: string, begin: int, end: int", useArrow=True))
 
     def _plain(self, what, fallback: str):
         policy, config = self.policy, self.config
+        return arrow(lambda values: documents.texts(policy, config, what, values, fallback), "string")
 
-        @F.pandas_udf("string")
-        def run(values: pd.Series) -> pd.Series:
-            return documents.frame(policy, config, what, values, fallback)["value"]
 
-        return run
+def arrow(work: Callable[[pa.Array], pa.Array], returned: T.DataType | str):
+    """A function of Arrow arrays as a Column function."""
+
+    def run(values: pa.Array) -> pa.Array:
+        return work(values)
+
+    run.__annotations__ = {"values": pa.Array, "return": pa.Array}  # as types: here annotations are strings
+    return F.arrow_udf(run, returned)
 
 
 __all__ = ["Masker", "Field", "Kind", "Source", "MaskConfig"]

@@ -96,14 +96,12 @@ def json_string(value: Column) -> Column:
 
 #: A leaf's result; action: 0 no opinion, 1 value, 2 left out.
 _RESULT = "struct<value: string, action: int, errors: array<struct<" + ", ".join(f"{n}: {'int' if n == 'depth' else 'string'}" for n in ERROR_FIELDS) + ">>>"
-_ERROR_ARROW = pa.list_(pa.struct([(n, pa.int32() if n == "depth" else pa.string()) for n in ERROR_FIELDS]))
-_RESULT_ARROW = pa.struct([("value", pa.string()), ("action", pa.int32()), ("errors", _ERROR_ARROW)])
 #: A leaf's function: what to make of a value that is not NULL.
 _Work = Callable[[object], tuple[str | None, int, list]]
 
 
-def _leaf_udf(levels: int, work: _Work):
-    """The work on nested arrays of so many levels, in Arrow batches."""
+def _leaf_udf(levels: int, work: _Work, steady: bool):
+    """The work on nested arrays of so many levels, in Arrow batches; steady: it says the same of equal values."""
 
     def run(values: pa.Array) -> pa.Array:
         shapes = []
@@ -114,17 +112,15 @@ def _leaf_udf(levels: int, work: _Work):
         known: dict = {}
         rows = []
         for v in values.to_pylist():
-            if v is None:
-                rows.append(None)
-                continue
             key = tuple(v.values()) if isinstance(v, dict) else v
-            if (out := known.get(key)) is None:
-                value, action, errors = work(v)
-                out = {"value": value, "action": action, "errors": [dict(zip(ERROR_FIELDS, e)) for e in errors]}
-                if len(known) < 10_000:
+            out = known.get(key) if steady and v is not None else None
+            if out is None:
+                out = (None, None, None) if v is None else work(v)
+                if steady and len(known) < documents.KEPT:
                     known[key] = out
             rows.append(out)
-        out = pa.array(rows, _RESULT_ARROW)
+        parts = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), documents.errors_array([r[2] for r in rows])]
+        out = pa.StructArray.from_arrays(parts, ["value", "action", "errors"], mask=pa.array([r[1] is None for r in rows], pa.bool_()))
         for offsets, empty in reversed(shapes):
             out = pa.ListArray.from_arrays(offsets, out, mask=empty)
         return out
@@ -229,7 +225,7 @@ class Rewriter:
     def _bound(self, value: Column, dtype: T.DataType, where: Field, metadata: dict, make: Callable) -> Column | None:
         leaves = _Leaves()
         self._gather(dtype, where, metadata, 0, lambda g: g(value), 0, leaves)
-        results = [_leaf_udf(levels, work)(nested) for nested, levels, work in leaves.asked.values()]
+        results = [_leaf_udf(levels, work, key[0] != "rule" and not self.by_function)(nested) for key, (nested, levels, work) in leaves.asked.items()]
         for result, (_, levels, _) in zip(results, leaves.asked.values()):
             errors = self._of(result, levels, lambda x: x["errors"])
             for _ in range(levels):

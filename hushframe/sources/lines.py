@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import documents
 from ..model import Field, Kind, Source
-from ..policy import fold
 
 #: What loggers append to a key for further details of its value.
 SUFFIXES = ("Verbose", "Causes", "Error")
@@ -28,35 +26,11 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
 
 
-_PROBE = "diagnostic probe"
-
-
-def _quick(value, keys: dict, marker: str) -> str:
-    """_diagnose() of what documents.read() gives, under a key policy."""
-    if isinstance(value, documents.Members):
-        out = []
-        for name, child in value:
-            base = next((name.removesuffix(s) for s in SUFFIXES if name.endswith(s) and name != s), None)
-            rule = keys.get(fold(base)) if base else None
-            own = type(child) is str
-            new = None if rule is None else rule.row(child if own else _PROBE, marker)
-            kept = new is None or (not own and new == _PROBE)
-            out.append(documents.encode_string(name) + ":" + (_quick(child, keys, marker) if kept else documents.encode_string(new if own else marker)))
-        return "{" + ",".join(out) + "}"
-    if isinstance(value, list):
-        return "[" + ",".join([_quick(child, keys, marker) for child in value]) + "]"
-    if type(value) is str:
-        return documents.encode_string(value)
-    return "null" if value is None else str(value) if isinstance(value, documents.Number) else "true" if value else "false"
-
-
 def _diagnose(operation: documents.Operation, text: str) -> str:
     """The masked document text, with keys like `<base>Error` masked as `<base>` would be."""
     if not any(s in text for s in SUFFIXES):
         return text
     quiet = operation.config.redaction
-    if operation.policy.keys is not None:
-        return _quick(documents.read(text), operation.policy.keys, quiet)
 
     def walk(node: list) -> str:
         kind, token = node
@@ -67,11 +41,11 @@ def _diagnose(operation: documents.Operation, text: str) -> str:
         out = []
         for name, child in token:
             base = next((name.removesuffix(s) for s in SUFFIXES if name.endswith(s) and name != s), None)
-            value = json.loads(child[1]) if child[0] == "string" else _PROBE
+            value = json.loads(child[1]) if child[0] == "string" else documents.PROBE
             new = operation.decide(Field(base, f"$[{base}]", Source.JSON, Kind.STRING), value) if base else None
             if new is documents.OMITTED:
                 continue
-            if new is None or (child[0] != "string" and new == _PROBE):
+            if new is None or (child[0] != "string" and new == documents.PROBE):
                 shown = walk(child)
             else:
                 shown = documents.encode_string(new if child[0] == "string" else quiet)
@@ -88,16 +62,17 @@ def mask_line(masker, line: Column, diagnostics: bool = False) -> Column:
 
     def what(operation: documents.Operation, text: str) -> str:
         end = "\r" if text.endswith("\r") else ""
+        operation.suffixes = SUFFIXES if diagnostics else ()
         out = operation.json(text)
-        return (_diagnose(operation, out) if diagnostics else out) + end
+        return (_diagnose(operation, out) if diagnostics and not operation.diagnosed else out) + end
 
-    @F.pandas_udf("string")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for values in parts:
-            yield documents.frame(policy, config, what, values, fallback)["value"]
+    def run(values: pa.Array) -> pa.Array:
+        return documents.texts(policy, config, what, values, fallback)
 
+    run.__annotations__ = {"values": pa.Array, "return": pa.Array}  # as types: here annotations are strings
+    masked = F.arrow_udf(run, "string")
     blank = line.rlike(r"^[ \t\r]*\z")
-    return F.when(line.isNull() | blank, line).when(~F.is_valid_utf8(line), F.lit(fallback)).otherwise(run(F.when(~blank & F.is_valid_utf8(line), line)))
+    return F.when(line.isNull() | blank, line).when(~F.is_valid_utf8(line), F.lit(fallback)).otherwise(masked(F.when(~blank & F.is_valid_utf8(line), line)))
 
 
 def mask_json_lines(masker, df: DataFrame, column: str = "value", diagnostics: bool = False) -> DataFrame:
