@@ -29,7 +29,7 @@ from .tokencount import UNEVEN
 #: How the byte-level vocabulary A splits a text before merging: a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text that are aligned at once (a longer text by itself), and words whose tokens a worker remembers.
-TOGETHER, KEEP_WORDS = 2_000_000, 300_000
+TOGETHER, KEEP_WORDS = 1_000_000, 200_000
 #: Groups with more links than this are linked by distinct ids and their counts.
 WIDE = 256
 #: Pairs that are broadcast at most, the most frequent; all others are joined.
