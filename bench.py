@@ -15,7 +15,7 @@ os.environ["PYTHONPATH"] = os.path.dirname(os.path.abspath(__file__)) + os.paths
 
 from hushframe import Masker, queries  # noqa: E402
 
-HEADLINE = ["rule_full", "rule_id", "rule_email", "rule_phone", "mask_events_default", "nested_orders", "json_props", "json_build", "url_http", "headers_map", "log_lines", "log_records", "text_secrets", "text_tokens", "masked_join_agg"]
+HEADLINE = ["rule_full", "rule_id", "rule_email", "rule_phone", "mask_events_default", "nested_orders", "json_props", "json_build", "url_http", "headers_map", "headers_embedded", "container_documents", "mask_to_json", "log_lines", "log_records", "text_secrets", "text_tokens", "masked_join_agg"]
 
 
 def main() -> None:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +48,7 @@ class Masker:
 
     def mask_dataframe_checked(self, df: DataFrame, errors: str = "errors") -> DataFrame:
         """mask_dataframe(), and a column with each row's errors: where a rule, a policy or a document failed, or the node limit was passed."""
-        return rewrite.Rewriter(self).frame(df, errors)
+        return rewrite.Rewriter(self, told=True).frame(df, errors)
 
     # -- documents and text
 
@@ -91,14 +90,12 @@ class Masker:
 
     def locate(self, value: Column) -> Column:
         """array<struct<kind, key, begin, end>>: where the keys and values and the secrets of a text stand, in characters from 0."""
-        c = self.config
-
-        @F.pandas_udf("array<struct<kind: string, key: string, begin: int, end: int>>")
-        def run(values: pd.Series) -> pd.Series:
-            names = ("kind", "key", "begin", "end")
-            return pd.Series([None if v is None else [dict(zip(names, f)) for f in detect.locate_row(v, c.cards, c.aws_key_ids)] for v in values], dtype=object)
+        return self._locate()(F.when(F.is_valid_utf8(value), value))
 
-        return run(F.when(F.is_valid_utf8(value), value))
+    def _locate(self):
+        c, kind = self.config, pa.list_(pa.struct([("kind", pa.string()), ("key", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
+        names = ("kind", "key", "begin", "end")
+        return arrow(lambda values: pa.array([None if v is None else [dict(zip(names, f)) for f in detect.locate_row(v, c.cards, c.aws_key_ids)] for v in values.to_pylist()], kind), "array<struct<kind: string, key: string, begin: int, end: int>>")
 
     def mask_headers(self, headers: Column) -> Column:
         """map<string, array<string>> of HTTP headers: cookies and what the policy names become markers, other values are inspected.
@@ -140,7 +137,7 @@ class Masker:
         dtype is the value's type, tags in field metadata included. Undecided numbers and booleans are texts, or JSON's own with preserve_safe. With any
         error, a number that JSON has not (NaN), or over the node limit the result is the marker.
         """
-        return rewrite.Rewriter(self).document(value, dtype)
+        return rewrite.Rewriter(self, told=True).document(value, dtype)
 
     def rows_to_json(self, df: DataFrame) -> DataFrame:
         """One column `value`: each row masked, tags counted, as a JSON document with sorted keys."""
@@ -150,7 +147,10 @@ class Masker:
     # -- SQL
 
     def register(self, spark: SparkSession) -> None:
-        """SQL functions mask_json, mask_url, mask_inspect, mask_text (text results) and mask_headers, and the table function detect(text)."""
+        """SQL functions mask_json, mask_url, mask_inspect, mask_text (text results), mask_headers and locate, and the table function detect(text).
+
+        locate(text) works in Arrow batches: `LATERAL VIEW inline(locate(text))` gives a row for each pair and secret of a table's texts.
+        """
         for name, what, fallback in (
             ("mask_json", documents.Operation.json, documents.encode_string(self.config.redaction)), ("mask_url", documents.Operation.url, self.config.redaction),
             ("mask_inspect", documents.Operation.inspect, self.config.redaction), ("mask_text", documents.Operation.free_text, self.config.redaction),
@@ -159,6 +159,8 @@ class Masker:
         policy, config = self.policy, self.config
         spark.udf.register("mask_headers", arrow(lambda maps: documents.headers_frame(policy, config, maps).field("value"), "map<string,array<string>>"))
 
+        spark.udf.register("locate", self._locate())
+
         class Detect:
             """A row for each pair and secret of a text; a text's rows are made together."""
 

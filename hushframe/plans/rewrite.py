@@ -100,8 +100,8 @@ _RESULT = "struct<value: string, action: int, errors: array<struct<" + ", ".join
 _Work = Callable[[object], tuple[str | None, int, list]]
 
 
-def _leaf_udf(levels: int, work: _Work, steady: bool):
-    """The work on nested arrays of so many levels, in Arrow batches; steady: it says the same of equal values."""
+def _leaf_udf(levels: int, work: _Work, steady: bool, told: bool):
+    """The work on nested arrays of so many levels, in Arrow batches; steady: it says the same of equal values; told: actions and errors are given, else values only."""
 
     def run(values: pa.Array) -> pa.Array:
         shapes = []
@@ -119,15 +119,17 @@ def _leaf_udf(levels: int, work: _Work, steady: bool):
                 if steady and len(known) < documents.KEPT:
                     known[key] = out
             rows.append(out)
-        parts = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), documents.errors_array([r[2] for r in rows])]
-        out = pa.StructArray.from_arrays(parts, ["value", "action", "errors"], mask=pa.array([r[1] is None for r in rows], pa.bool_()))
+        out = pa.array([r[0] for r in rows], pa.string())
+        if told:
+            parts = [out, pa.array([r[1] for r in rows], pa.int32()), documents.errors_array([r[2] for r in rows])]
+            out = pa.StructArray.from_arrays(parts, ["value", "action", "errors"], mask=pa.array([r[1] is None for r in rows], pa.bool_()))
         for offsets, empty in reversed(shapes):
             out = pa.ListArray.from_arrays(offsets, out, mask=empty)
         return out
 
     # the types are told here: this module's annotations are strings
     run.__annotations__ = {"values": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "array<" * levels + _RESULT + ">" * levels)
+    return F.arrow_udf(run, "array<" * levels + (_RESULT if told else "string") + ">" * levels)
 
 
 @dataclass
@@ -136,6 +138,11 @@ class _Leaves:
 
     asked: dict[tuple, tuple[Column, int, _Work]] = field(default_factory=dict)
     found: dict[tuple, Column] = field(default_factory=dict)
+    told: bool = False
+
+    def value(self, key: tuple, at: list[Column]) -> Column:
+        out = self.result(key, at)
+        return out["value"] if self.told else out
 
     def result(self, key: tuple, at: list[Column]) -> Column:
         out = self.found[key]
@@ -156,8 +163,9 @@ def _markers(dtype: T.DataType, marker: str) -> Column:
 
 
 class Rewriter:
-    def __init__(self, masker):
-        self.m, self.c = masker, masker.config
+    def __init__(self, masker, told: bool = False):
+        """told: errors are asked for."""
+        self.m, self.c, self.told = masker, masker.config, told
         self.tags = rules.BUILT_IN | self.c.tag_rules
         self.by_rule: dict[rules.Rule, list[str]] = {}
         for k, r in (masker.policy.keys or {}).items():
@@ -223,10 +231,10 @@ class Rewriter:
         return self._bound(value, dtype, where, metadata, self._json)
 
     def _bound(self, value: Column, dtype: T.DataType, where: Field, metadata: dict, make: Callable) -> Column | None:
-        leaves = _Leaves()
+        leaves = _Leaves(told=self.told)
         self._gather(dtype, where, metadata, 0, lambda g: g(value), 0, leaves)
-        results = [_leaf_udf(levels, work, key[0] != "rule" and not self.by_function)(nested) for key, (nested, levels, work) in leaves.asked.items()]
-        for result, (_, levels, _) in zip(results, leaves.asked.values()):
+        results = [_leaf_udf(levels, work, key[0] != "rule" and not self.by_function, self.told or key[0] == "map")(nested) for key, (nested, levels, work) in leaves.asked.items()]
+        for result, (_, levels, _) in zip(results, leaves.asked.values()) if self.told else ():
             errors = self._of(result, levels, lambda x: x["errors"])
             for _ in range(levels):
                 errors = F.flatten(F.filter(errors, lambda e: e.isNotNull()))
@@ -354,7 +362,7 @@ class Rewriter:
         if not self._partial(rule, dtype):
             return F.lit(self.c.redaction)
         if ("rule", where.path, rule) in leaves.found:
-            return F.coalesce(leaves.result(("rule", where.path, rule), at)["value"], F.lit(self.c.redaction))
+            return F.coalesce(leaves.value(("rule", where.path, rule), at), F.lit(self.c.redaction))
         return rule(self.text(value, dtype), self.c.redaction)
 
     def text(self, value: Column, dtype: T.DataType) -> Column:
@@ -420,10 +428,10 @@ class Rewriter:
         if isinstance(dtype, T.StringType):
             marker = F.lit(self.c.redaction)
             if ("json", where.path) in leaves.found:
-                return F.when(value.isNotNull(), F.coalesce(leaves.result(("json", where.path), at)["value"], F.lit(documents.encode_string(self.c.redaction))))
+                return F.when(value.isNotNull(), F.coalesce(leaves.value(("json", where.path), at), F.lit(documents.encode_string(self.c.redaction))))
             own = self.m.mask_text(value) if self.c.text_detectors and not self.by_function else value
             if ("string", where.path) in leaves.found:
-                own = F.when(self._for_python(value), F.coalesce(leaves.result(("string", where.path), at)["value"], marker)).otherwise(own)
+                own = F.when(self._for_python(value), F.coalesce(leaves.value(("string", where.path), at), marker)).otherwise(own)
                 own = F.when(F.is_valid_utf8(value) | value.isNull(), own).otherwise(marker)
             return own
         if isinstance(dtype, T.BinaryType):

@@ -379,6 +379,40 @@ def json_maps(spark, d):
     return rows.select("c_custkey", DEFAULT.mask_to_json(F.col("m"), rows.schema["m"].dataType).alias("v"))
 
 
+def deep_documents(spark, d):
+    """Documents of 600 levels, under a depth limit that lets them through."""
+    doc = F.concat(F.repeat(F.lit('{"a":'), F.lit(600)), F.lit('{"secret":"x","n":'), F.col("s_suppkey").cast("string"), F.repeat(F.lit("}"), F.lit(601)))
+    masked = Masker(config=MaskConfig(max_depth=1_000)).mask_json(doc)
+    return _t(spark, d, "supplier").select("s_suppkey", masked.alias("m")).select("s_suppkey", F.col("m.value").alias("v"), F.size("m.errors").alias("n_errors"))
+
+
+def error_paths(spark, d):
+    """Hostile keys in the paths of errors: quoted, secrets replaced, cut."""
+    key = F.when(F.col("c_custkey") % 3 == 0, F.lit("a b")).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("token=t"), F.col("c_custkey").cast("string"))).otherwise(F.repeat(F.lit("k"), F.lit(300)))
+    doc = F.concat(F.lit('{"'), key, F.lit('":{"c":1}}'))
+    masked = Masker(config=MaskConfig(max_depth=1)).mask_json(doc)
+    return _t(spark, d, "customer").select("c_custkey", masked.alias("m")).select("c_custkey", F.col("m.value").alias("v"), F.get("m.errors", F.lit(0))["code"].alias("code"), F.get("m.errors", F.lit(0))["path"].alias("path"))
+
+
+def sql_functions(spark, d):
+    """The SQL functions, and locate() laterally: a row for each secret and pair."""
+    DEFAULT.register(spark)
+    _t(spark, d, "customer").createOrReplaceTempView("sql_functions_customer")
+    return spark.sql("""
+SELECT c_custkey, mask_json('{"pwd":' || c_custkey || '}') AS doc, mask_url('/p?token=' || c_custkey) AS url, mask_text('token=' || c_custkey || ' x') AS text, f.kind, f.key, f.begin, f.end
+FROM sql_functions_customer LATERAL VIEW inline(locate('user=bob say Bearer ' || lpad(CAST(c_custkey AS STRING), 12, 'A'))) f AS kind, key, begin, end""")
+
+
+def digest_wide(spark, d):
+    """A digest of 60 bits a row of all customers, masked under four markers."""
+    rows = _t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    every = None
+    for marker in ("[REDACTED]", "***", "<&>", "é"):
+        own = Masker(KeyPolicy([(["c_name"], rules.id_), (["c_mktsegment"], rules.full)]), MaskConfig(preserve_safe=True, redaction=marker)).mask_dataframe(rows)
+        every = own if every is None else every.unionAll(own)
+    return output_digest(every, 15)
+
+
 def masked_join_agg(spark, d):
     keyed = Masker(KeyPolicy([(["c_name"], rules.id_)])).mask_dataframe(_t(spark, d, "customer").select("c_custkey", "c_name"))
     orders = _t(spark, d, "orders").select("o_custkey", "o_orderkey")
@@ -469,6 +503,10 @@ SELECT CASE WHEN c + 3 > 12 THEN '{R}' ELSE o_custkey::varchar END AS custkey, C
 CASE o_orderkey % 8 WHEN 0 THEN '1' WHEN 1 THEN '1e+21' WHEN 2 THEN '1e-7' WHEN 3 THEN '1234567' WHEN 4 THEN '0.000001' ELSE rtrim(rtrim(printf('%.3f', (o_orderkey % 1000) / 8.0::double), '0'), '.') END || '}}' END AS value FROM orders""",
     "json_maps": rf"""WITH t AS (SELECT c_custkey, rtrim(rtrim(printf('%.2f', c_acctbal), '0'), '.') AS b FROM customer)
 SELECT c_custkey, '{{"one":{{"b":"' || b || '","password":"{R}","z":"1{_U}3c{_U}26{_U}3e\t\"x"}},"token":"{R}","two":{{"b":"' || b || '","password":"{R}","z":"2{_U}3c{_U}26{_U}3e\t\"x"}}}}' AS v FROM t""",
+    "deep_documents": f"""SELECT s_suppkey, repeat('{{"a":', 600) || '{{"n":' || s_suppkey || ',"secret":"{R}"' || repeat('}}', 601) AS v, 0::int AS n_errors FROM supplier""",
+    "error_paths": f"""SELECT c_custkey, '"{R}"' AS v, 'depth_limit' AS code, CASE c_custkey % 3 WHEN 0 THEN '"$[a b][c]"' WHEN 1 THEN '$[token={R}][c]' ELSE '$[' || repeat('k', 254) || '...(truncated)' END AS path FROM customer""",
+    "sql_functions": f"""SELECT c_custkey, '{{"pwd":"{R}"}}' AS doc, '/p?token=%5BREDACTED%5D' AS url, 'token={R} x' AS text, kind, key, b AS begin, e AS end FROM customer CROSS JOIN (VALUES ('pair', 'user', 5, 8), ('bearer', '', 20, 32)) t(kind, key, b, e)""",
+    "digest_wide": f"""WITH m(m) AS (VALUES ('{R}'), ('***'), ('<&>'), ('é')), t AS (SELECT md5(c_custkey::varchar || chr(31) || m || chr(31) || {_id('c_name').replace(chr(39) + R + chr(39), 'm')}) AS h FROM customer CROSS JOIN m) SELECT count(*) AS n, sum(('0x' || left(h, 15))::bigint::hugeint)::varchar AS digest FROM t""",
     "masked_join_agg": f"SELECT {_id('c_name')} AS c_name, count(*) AS n, max(o_orderkey) AS last_order FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
     "digest_customers": f"SELECT count(*) AS n, sum(('0x' || left(md5(c_custkey::varchar || chr(31) || c_mktsegment || chr(31) || {_id('c_name')}), 8))::bigint)::bigint AS digest FROM customer",
     "masked_topk": f"SELECT o_orderkey, '{R}' AS o_custkey FROM orders ORDER BY o_orderkey DESC LIMIT 10",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import documents
-from ..model import Field, Kind, Source
+from ..model import ERROR_FIELDS, ERRORS, Field, Kind, Source
 
 #: What loggers append to a key for further details of its value.
 SUFFIXES = ("Verbose", "Causes", "Error")
@@ -21,9 +21,34 @@ def read_lines(spark: SparkSession, path: str, stream: bool = False) -> DataFram
     return reader.option("lineSep", "\n").text(path)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (file, value): each file as one document."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+def read_documents(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """Rows (file, value): each file as one document. Of files over max_bytes only the size is read; their value is NULL, and `too_long` tells it. An empty file gives no row."""
+    if max_bytes is None:
+        return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    files = spark.read.format("binaryFile").load(path)
+    # the filter reaches the scan, so longer files aren't opened
+    short = files.where(F.col("length") <= max_bytes).select(F.col("path").alias("file"), F.col("content").cast("string").alias("value"), F.lit(False).alias("too_long"))
+    return short.unionAll(files.where(F.col("length") > max_bytes).select(F.col("path").alias("file"), F.lit(None).cast("string").alias("value"), F.lit(True).alias("too_long")))
+
+
+def mask_documents(masker, spark: SparkSession, path: str) -> DataFrame:
+    """Rows (file, value, errors): each file masked as one JSON document; one over the input limit is never read, and fails with input_limit."""
+    files = read_documents(spark, path, masker.config.max_input_bytes)
+    masked = masker.mask_json(F.col("value"))
+    said = {"code": "input_limit", "operation": "json", "path": "$", "depth": 0}
+    limit = F.array(F.struct(*(F.lit(said.get(n, "")).alias(n) for n in ERROR_FIELDS))).cast(ERRORS)
+    made = files.select("file", "too_long", masked.alias("m"))
+    return made.select("file", F.when(F.col("too_long"), F.lit(documents.encode_string(masker.config.redaction))).otherwise(F.col("m.value")).alias("value"), F.when(F.col("too_long"), limit).otherwise(F.col("m.errors")).alias("errors"))
+
+
+def write_lines(masker, df: DataFrame, path: str, column: str = "value", diagnostics: bool = False, mode: str = "append") -> None:
+    """Writes lines into text files, masked on the way: what reaches the folder is never raw."""
+    mask_json_lines(masker, df.select(F.col(column).alias("value")), diagnostics=diagnostics).write.mode(mode).text(path)
+
+
+def write_records(masker, df: DataFrame, path: str, mode: str = "append") -> None:
+    """Writes each row as a masked JSON line: columns and groups by policy and tags, keys sorted."""
+    masker.rows_to_json(df).write.mode(mode).text(path)
 
 
 def _diagnose(operation: documents.Operation, text: str) -> str:
