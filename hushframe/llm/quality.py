@@ -109,15 +109,16 @@ def host_verdicts(measured: DataFrame, host: str, rules: HostRules) -> DataFrame
     return out.withColumn("verdict", F.when(F.col("rate_base") >= rules.blocked_rate, "blocked").when(watched, "watched").otherwise("fine"))
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", rules: HostRules = HostRules()) -> DataFrame:
-    """docs with the measures, base_failed, host_verdict and kept; one row for each row of docs.
+def judge(docs: DataFrame, text: str = "text", host: str = "source", rules: HostRules = HostRules(), keep_text: bool = True) -> DataFrame:
+    """docs with the measures, base_failed, host_verdict and kept; one row for each row of docs. Without keep_text the texts are left out, and never written.
 
     kept: not base_failed, the host not blocked, and on a watched host no rule failed at all. A null host has the
     verdict `fine`. An empty table gives an empty table. Own columns of the names added are replaced; repeated rows
     count, and are judged, one by one. The measured rows are written once, so texts are measured once.
     """
     added = ("base_failed", "host_verdict", "kept")
-    measured, _ = shared.write_table(measure(docs.drop(*added), text), "measured")
+    measured = measure(docs.drop(*added), text)
+    measured, _ = shared.write_table(measured if keep_text else measured.drop(text), "measured")
     return _judged(measured, host, rules)
 
 
