@@ -100,15 +100,24 @@ def votes(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
 
 
 def stretches(counted: DataFrame) -> DataFrame:
-    """Rows (k1, k2, template, hits, low, high): diagonals of one text and template merged that are NEAR each other and overlap."""
-    order = Window.partitionBy("k1", "k2", "template").orderBy("low", "diagonal")
-    before = F.lag("diagonal").over(order), F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    apart = before[0].isNull() | (F.abs(F.col("diagonal") - before[0]) > NEAR) | (F.col("low") > before[1] + GRAM + NEAR)
+    """Rows (k1, k2, template, hits, low, high): diagonals of one text and template merged that are NEAR each other and overlap.
+
+    Diagonals are put into bands first, by the distance to the next one, and each band is parted by place then: votes of a gram that
+    the template repeats lie on diagonals far off, and don't stand between two parts of a band.
+    """
+    by = ["k1", "k2", "template"]
+    across = Window.partitionBy(*by).orderBy("diagonal")
+    counted = counted.withColumn("__far", F.coalesce(F.col("diagonal") - F.lag("diagonal").over(across) > NEAR, F.lit(False)).cast("int"))
+    counted = counted.withColumn("band", F.sum("__far").over(across.rowsBetween(Window.unboundedPreceding, 0))).drop("__far")
+    order = Window.partitionBy(*by, "band").orderBy("low", "diagonal")
+    reached = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = reached.isNull() | (F.col("low") > reached + GRAM + NEAR)
     marked = counted.withColumn("__new", apart.cast("int"))
     marked = marked.withColumn("part", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    at = marked.groupBy("k1", "k2", "template", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    hits = marked.select("k1", "k2", "template", "part", F.explode("places").alias("at")).groupBy("k1", "k2", "template", "part").agg(F.count_distinct("at").alias("hits"))
-    return at.join(hits, ["k1", "k2", "template", "part"]).drop("part")
+    part = [*by, "band", "part"]
+    at = marked.groupBy(*part).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    hits = marked.select(*part, F.explode("places").alias("at")).groupBy(*part).agg(F.count_distinct("at").alias("hits"))
+    return at.join(hits, part).drop("band", "part")
 
 
 def common(left: list, right: list) -> int:

@@ -530,6 +530,16 @@ def test_licenses(spark):
     assert licenses.licenses(table(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_license_with_a_repeated_phrase_and_an_inserted_word(spark):
+    """A gram that the template has twice votes for diagonals far off; one word put in anywhere doesn't part the rest."""
+    again = "as they stand here".split()
+    template = [f"a{k}" for k in range(8)] + again + [f"b{k}" for k in range(8)] + again + [f"c{k}" for k in range(4)]
+    assert len(template) == 28
+    texts = ["x y " + " ".join(template[:k] + ["new"] + template[k:]) + " z" for k in range(2, 27)] + [" ".join(template)]
+    got = {r.doc_id: r for r in licenses.licenses(table(spark, texts), [("own", " ".join(template))]).collect()}
+    assert [k for k, r in got.items() if r.labels != "own"] == []
+
+
 def test_license_spans_keep_order(spark):
     rng = random.Random(9)
     notice = licenses.TEMPLATES[1][1]
