@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,7 +36,7 @@ def _provider() -> str:
 
 
 #: What stays before a secret.
-_SCHEME, _URL = r"(?i:bearer|basic)[ \t]+", r"[A-Za-z][A-Za-z0-9+.\-]*://"
+_SCHEME, _URL = r"(?i:bearer|basic)[ \t]+", r"[A-Za-z][A-Za-z0-9+.\-]*+://"
 _LABEL = r"(?=(?:(?!-----)[^\n]){0,65}-----)(?:(?!-----)[^\n])*?PRIVATE KEY(?:(?!-----)[^\n])*?"
 PEM_LEAD = rf"-----BEGIN {_LABEL}-----"
 
@@ -85,52 +87,60 @@ def _alternatives(cards: bool, aws: bool, pem: str, quoted: str, bare: str, wrap
 
 
 def _scan(cards: bool, aws: bool) -> tuple[str, dict[str, list[int]]]:
-    """A pattern for Java, and its groups by name: of what is found, what stays before the secret or value, a pair's key, a card number's first character.
+    """A pattern for Java, and its groups by name: a span or a key with its value, what stays before the secret or value, a pair's key, a card number.
 
-    Group 1 is a span, or a key with its value; the match itself is what the search goes on behind.
+    The match itself is what the search goes on behind: all of a span, but only what is before a value, and a card number's first digit.
     """
-    groups: dict[str, list[int]] = {"lead": [], "key": [], "card": []}
-    count = 1
+    groups: dict[str, list[int]] = {"hit": [], "lead": [], "key": [], "card": []}
+    count = 0
+
+    def group(*names: str) -> int:
+        nonlocal count
+        count += 1
+        for name in names:
+            groups[name].append(count)
+        return count
 
     def told(name: str, p: str) -> str:
         """An alternative with groups that tell what it is. Java keeps groups of what is looked ahead for and then fails, so nothing may fail behind those."""
-        nonlocal count
+        group("hit", "card") if name == "card" else group("hit")
+        if name == "card":
+            return f"(?=({p}))[0-9]"
         if name in ("quoted", "bare"):
+            group("lead"), group("key")
             key = rf"[\"']({_KEY_CHAR}+)[\"']" if name == "quoted" else f"({_KEY_CHAR}+)"
-            groups["lead"].append(count + 1)
-            groups["key"].append(count + 2)
-            count += 2
-            return rf"(?={p})(?=({key}{_SEPARATOR}[\"']?)){p}"
+            return rf"(?=({p}))({key}{_SEPARATOR}[\"']?)"
         if name == "pem":
-            groups["lead"].append(count + 1)
-            count += 2
-            return f"({PEM_LEAD.replace(_LABEL, f'({_LABEL})')}){_pem_body(count)}"
-        before = {"bearer": _SCHEME, "url_userinfo": _URL, "card": "[0-9]"}.get(name)
-        if before is None:
-            return p
-        count += 1
-        groups["card" if name == "card" else "lead"].append(count)
-        return p.replace(before, f"({before})", 1)
+            group("lead")
+            return f"(({PEM_LEAD.replace(_LABEL, f'({_LABEL})')}){_pem_body(group())})"
+        before = {"bearer": _SCHEME, "url_userinfo": _URL}.get(name)
+        if before:
+            group("lead")
+            p = p.replace(before, f"({before})", 1)
+        return f"({p})"
 
-    full = _alternatives(cards, aws, "", _QUOTED_KEY + _SEPARATOR + _VALUE, _BARE_KEY + _SEPARATOR + _VALUE, told)
-    behind = _alternatives(cards, aws, _pem(count + 1), _QUOTED_KEY + _SEPARATOR + "[\"']?", _BARE_KEY + _SEPARATOR + "[\"']?", lambda name, p: "[0-9]" if name == "card" else p)
-    return f"(?=({full})){behind}", groups
+    return _alternatives(cards, aws, "", _QUOTED_KEY + _SEPARATOR + _VALUE, _BARE_KEY + _SEPARATOR + _VALUE, told), groups
 
 
 def scan_pattern(cards: bool = False, aws: bool = False) -> str:
-    return _scan(cards, aws)[0]
+    """A pattern whose group 1 is a span, or a key with its value; the match itself is what the search goes on behind."""
+    full = _alternatives(cards, aws, _pem(2), _QUOTED_KEY + _SEPARATOR + _VALUE, _BARE_KEY + _SEPARATOR + _VALUE)
+    behind = _alternatives(cards, aws, _pem(3), _QUOTED_KEY + _SEPARATOR + "[\"']?", _BARE_KEY + _SEPARATOR + "[\"']?", lambda name, p: "[0-9]" if name == "card" else p)
+    return f"(?=({full})){behind}"
 
 
-#: Strings of which a text with such a span holds one at least; Bearer and Basic in lower case. All prefixes of providers hold one of four.
+#: Strings of which a text with such a span holds one at least; Bearer and Basic in lower case.
 HINTS = {
-    "pem": ["-----BEGIN "], "bearer": ["bearer", "basic"], "jwt": ["eyJ"], "provider_token": ["_", "glpat-", "xox", "AIza"],
+    "pem": ["-----BEGIN "], "bearer": ["bearer", "basic"], "jwt": ["eyJ"], "provider_token": ["glpat-", "xox", "AIza"],
     "url_userinfo": ["://"], "aws_key_id": ["AKIA", "ASIA", "ABIA", "ACCA"],
 }
+#: Prefixes of providers with "_": looked for only in texts that hold one.
+_UNDERSCORED = [n for names, _, _ in PROVIDERS for n in names if "_" in n]
 
 
 def may_hold(text: Column, cards: bool = False, aws: bool = False, embedded: bool = False) -> Column:
     """Whether a text may hold a span, a key and value or, if asked, a document: plain searches, far cheaper than the pattern."""
-    out = text.contains("=") | text.contains(":")
+    out = text.contains("=") | text.contains(":") | (text.contains("_") & reduce(or_, (text.contains(n) for n in _UNDERSCORED)))
     for name in ["pem", *spans(cards, aws)]:
         if name == "card":
             out = out | text.rlike("[0-9](?:[ -]?[0-9]){12}")
@@ -202,28 +212,28 @@ _FIELD, _FOUND = chr(0xFDD0), chr(0xFDD1)
 
 
 def mask_text(text: Column, keys: dict[str, rules.Rule], marker: str, cards: bool = False, aws: bool = False) -> Column:
-    """text with the values of policy keys and all spans masked: one pass of a Java pattern and one ordered fold, no Python.
+    """text with the values of policy keys and all spans masked: one pass of a Java pattern, no Python.
 
+    Spans don't overlap, so where no value and no card number may be masked they are replaced as they stand; else an ordered fold settles which edits count.
     The noncharacters U+FDD0 and U+FDD1 in a text that may hold something become U+FFFD.
     """
     by_rule: dict[rules.Rule, list[str]] = {}
     for k, r in keys.items():
         by_rule.setdefault(r, []).append(k)
     pattern, groups = _scan(cards, aws)
-    told = "".join(_FIELD + "".join(f"${n}" for n in g) for g in ([1], groups["lead"], groups["key"], groups["card"])) + _FOUND
+    told = "".join(_FIELD + "".join(f"${n}" for n in groups[name]) for name in ("hit", "lead", "key", "card")) + _FOUND
     clean = F.when(text.rlike(f"[{_FIELD}{_FOUND}]"), F.translate(text, _FIELD + _FOUND, chr(0xFFFD) * 2)).otherwise(text)
+    folded_key = lambda key: F.lower(F.translate(key, "_-.", ""))
 
-    def fields(f: Column) -> Column:
-        return F.struct(F.get(f, F.lit(0)).alias("piece"), F.coalesce(F.get(f, F.lit(1)), F.lit("")).alias("h"), F.coalesce(F.length(F.get(f, F.lit(2))), F.lit(0)).alias("lead"), F.coalesce(F.get(f, F.lit(3)), F.lit("")).alias("key"), (F.get(f, F.lit(4)) != "").alias("card"))
-
-    def edit(x: Column) -> Column:
-        """What stands in place of the secret or the value; NULL: it stays."""
-        new = F.when(x["card"], F.when(F.call_function("luhn_check", _digits(x["h"])), rules.card(x["h"], marker))) if cards else F.when(F.lit(False), F.lit(""))
-        key = F.lower(F.translate(x["key"], "_-.", ""))
+    def edit(f: Column) -> Column:
+        """Of a piece of text and what was found behind it: what stands in place of the secret or the value (NULL: it stays), and what the fold asks for."""
+        h, key, card = (F.coalesce(F.get(f, F.lit(i)), F.lit("")) for i in (1, 3, 4))
+        lead = F.coalesce(F.length(F.get(f, F.lit(2))), F.lit(0))
+        new = F.when(card != "", F.when(F.call_function("luhn_check", _digits(h)), rules.card(h, marker))) if cards else F.when(F.lit(False), F.lit(""))
         for rule, names in by_rule.items():
-            new = new.when((x["key"] != "") & key.isin(names), rule(F.substr(x["h"], x["lead"] + 1), marker))
-        new = new.when((x["key"] == "") & (x["h"] != ""), F.lit(marker))
-        return F.struct(x["piece"].alias("piece"), x["h"].alias("h"), x["lead"].alias("lead"), F.when(x["key"] != "", x["lead"]).when(x["card"], 1).otherwise(F.length(x["h"])).alias("consumed"), new.alias("new"))
+            new = new.when((key != "") & folded_key(key).isin(names), rule(F.substr(h, lead + 1), marker))
+        new = new.when((key == "") & (h != ""), F.lit(marker))
+        return F.struct(F.get(f, F.lit(0)).alias("piece"), h.alias("h"), lead.alias("lead"), F.when(key != "", lead).when(card != "", 1).otherwise(F.length(h)).alias("consumed"), new.alias("new"))
 
     def cut(part: Column, n: Column) -> Column:
         return F.when(n <= 0, part).otherwise(F.substr(part, n + 1))
@@ -245,17 +255,28 @@ def mask_text(text: Column, keys: dict[str, rules.Rule], marker: str, cards: boo
             F.when(kept | longer, F.array_append(written, x["new"])).otherwise(written).alias("out"),
         )
 
-    def joined(edits: Column) -> Column:
-        """Spans don't overlap: only where a value or a card number is masked is there anything to settle."""
-        within = F.exists(edits, lambda x: x["new"].isNotNull() & (x["consumed"] < F.length(x["h"])))
+    def settled(parts: Column) -> Column:
         begin = F.struct(F.lit(0).alias("pos"), F.lit(-1).alias("begin"), F.lit(0).alias("done"), F.array().cast("array<string>").alias("out"))
-        folded = F.aggregate(edits, begin, step, lambda acc: F.array_join(acc["out"], ""))
-        each = F.transform(edits, lambda x: F.concat(x["piece"], F.when(x["new"].isNotNull(), F.concat(F.left(x["h"], x["lead"]), x["new"])).otherwise(F.left(x["h"], x["consumed"]))))
-        return F.when(within, folded).otherwise(F.array_join(each, ""))
+        return F.aggregate(F.transform(parts, edit), begin, step, lambda acc: F.array_join(acc["out"], ""))
+
+    def spans_only(parts: Column) -> Column:
+        """Spans become what is before their secret, and the marker; of keys with values what is before the value is put back."""
+        put = lambda f: F.concat(f[0], f[2], F.when(f[3] == "", marker).otherwise(""))
+        return F.array_join(F.transform(parts, lambda f: F.when(F.size(f) == 1, f[0]).otherwise(put(f))), "")
+
+    def whole(parts: Column) -> Column:
+        behind = lambda f, i: F.coalesce(F.get(f, F.lit(i)), F.lit(""))
+        values = F.exists(parts, lambda f: (behind(f, 3) != "") & folded_key(behind(f, 3)).isin(list(keys))) if keys else F.lit(False)
+        numbers = F.exists(parts, lambda f: behind(f, 4) != "") if cards else F.lit(False)
+        return F.when(values | numbers, settled(parts)).otherwise(spans_only(parts))
 
     parts = F.transform(F.split(F.regexp_replace(clean, pattern, told), _FOUND), lambda part: F.split(part, _FIELD))
-    made = F.get(F.transform(F.array(F.transform(F.transform(parts, fields), edit)), joined), F.lit(0))
-    return F.when(may_hold(text, cards, aws), made).otherwise(text)
+    return F.when(may_hold(text, cards, aws), _let(parts, whole)).otherwise(text)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), for which value is made once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 # ---- row by row -------------------------------------------------------------------------------------------------------
@@ -265,7 +286,7 @@ _DIGITS = re.compile("[0-9](?:[ -]?[0-9]){12}")
 
 def may_hold_row(text: str, cards: bool = False, aws: bool = False) -> bool:
     """may_hold() of one text."""
-    if "=" in text or ":" in text or "_" in text or "eyJ" in text or "glpat-" in text or "xox" in text or "AIza" in text or "-----BEGIN " in text:
+    if "=" in text or ":" in text or "_" in text and any(n in text for n in _UNDERSCORED) or "eyJ" in text or "glpat-" in text or "xox" in text or "AIza" in text or "-----BEGIN " in text:
         return True
     if aws and any(h in text for h in HINTS["aws_key_id"]) or cards and _DIGITS.search(text):
         return True
