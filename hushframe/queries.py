@@ -403,6 +403,24 @@ SELECT c_custkey, mask_json('{"pwd":' || c_custkey || '}') AS doc, mask_url('/p?
 FROM sql_functions_customer LATERAL VIEW inline(locate('user=bob say Bearer ' || lpad(CAST(c_custkey AS STRING), 12, 'A'))) f AS kind, key, begin, end""")
 
 
+def raw_members(spark, d):
+    """Strings that are JSON by their field's metadata: in a frame, in the row's document and in a log record's group; broken ones fail closed."""
+    doc = F.when(F.col("c_custkey") % 3 == 0, F.lit('{"a":')).otherwise(F.concat(F.lit('{ "n": '), F.col("c_custkey").cast("string"), F.lit(', "pwd": "x" }')))
+    kind = T.StructType([T.StructField("doc", T.StringType(), True, {"format": "json"}), T.StructField("g", T.StructType([T.StructField("doc", T.StringType(), True, {"format": "json"})]))])
+    rows = _t(spark, d, "customer").select("c_custkey", F.struct(doc.alias("doc"), F.struct(doc.alias("doc")).alias("g")).alias("r"))
+    rows = rows.to(T.StructType([rows.schema["c_custkey"], T.StructField("r", kind)]))
+    frame = DEFAULT.mask_column(F.col("r"), kind)
+    logged = mask_log_records(DEFAULT, rows)
+    return logged.select("c_custkey", F.col("r.g.doc").alias("logged"), "r").join(rows.select("c_custkey", frame["doc"].alias("framed"), DEFAULT.mask_to_json(F.col("r"), kind).alias("written")), "c_custkey").drop("r")
+
+
+def plain_lines(spark, d):
+    """JSON lines without diagnostic keys: `tokenCauses` is no key of the policy, carriage returns stay, what is no document becomes a message."""
+    event = F.concat(F.lit('{"tokenCauses":"a","token":'), F.col("event_id").cast("string"), F.lit(',"msg":"'), F.col("event_type"), F.lit('"}'))
+    line = F.when(F.col("event_id") % 4 == 0, F.concat(event, F.lit("\r"))).when(F.col("event_id") % 4 == 1, F.concat(event, F.lit(" tail"))).when(F.col("event_id") % 4 == 2, F.lit(" \t")).otherwise(event)
+    return mask_json_lines(DEFAULT, _t(spark, d, "events").select("event_id", line.alias("value")))
+
+
 def digest_wide(spark, d):
     """A digest of 60 bits a row of all customers, masked under four markers."""
     rows = _t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
@@ -506,6 +524,10 @@ SELECT c_custkey, '{{"one":{{"b":"' || b || '","password":"{R}","z":"1{_U}3c{_U}
     "deep_documents": f"""SELECT s_suppkey, repeat('{{"a":', 600) || '{{"n":' || s_suppkey || ',"secret":"{R}"' || repeat('}}', 601) AS v, 0::int AS n_errors FROM supplier""",
     "error_paths": f"""SELECT c_custkey, '"{R}"' AS v, 'depth_limit' AS code, CASE c_custkey % 3 WHEN 0 THEN '"$[a b][c]"' WHEN 1 THEN '$[token={R}][c]' ELSE '$[' || repeat('k', 254) || '...(truncated)' END AS path FROM customer""",
     "sql_functions": f"""SELECT c_custkey, '{{"pwd":"{R}"}}' AS doc, '/p?token=%5BREDACTED%5D' AS url, 'token={R} x' AS text, kind, key, b AS begin, e AS end FROM customer CROSS JOIN (VALUES ('pair', 'user', 5, 8), ('bearer', '', 20, 32)) t(kind, key, b, e)""",
+    "raw_members": f"""SELECT c_custkey, doc AS logged, doc AS framed, '{{"doc":' || doc || ',"g":{{"doc":' || doc || '}}}}' AS written FROM (SELECT c_custkey, '{{"n":' || c_custkey || ',"pwd":"{R}"}}' AS doc FROM customer WHERE c_custkey % 3 <> 0)
+UNION ALL SELECT c_custkey, '"{R}"' AS logged, '"{R}"' AS framed, '"{R}"' AS written FROM customer WHERE c_custkey % 3 = 0""",
+    "plain_lines": f"""WITH t AS (SELECT event_id, '{{"msg":"' || event_type || '","token":"{R}","tokenCauses":"a"}}' AS line FROM events)
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN line || chr(13) WHEN 1 THEN '{{"message":"{R}"}}' WHEN 2 THEN ' ' || chr(9) ELSE line END AS value FROM t""",
     "digest_wide": f"""WITH m(m) AS (VALUES ('{R}'), ('***'), ('<&>'), ('é')), t AS (SELECT md5(c_custkey::varchar || chr(31) || m || chr(31) || {_id('c_name').replace(chr(39) + R + chr(39), 'm')}) AS h FROM customer CROSS JOIN m) SELECT count(*) AS n, sum(('0x' || left(h, 15))::bigint::hugeint)::varchar AS digest FROM t""",
     "masked_join_agg": f"SELECT {_id('c_name')} AS c_name, count(*) AS n, max(o_orderkey) AS last_order FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
     "digest_customers": f"SELECT count(*) AS n, sum(('0x' || left(md5(c_custkey::varchar || chr(31) || c_mktsegment || chr(31) || {_id('c_name')}), 8))::bigint)::bigint AS digest FROM customer",
