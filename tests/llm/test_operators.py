@@ -383,6 +383,35 @@ def test_interval_join(size):
     assert want and got == want
 
 
+def test_passages_of_texts_that_already_have_a_class(spark):
+    """In a large group, a text that only resembles a text which itself resembles the hub is compared with it."""
+    rng = random.Random(12)
+    texts, links = [], []
+
+    def add(passage):
+        texts.append(" ".join([*(f"c{rng.randrange(10**9)}" for _ in range(rng.randrange(20, 60))), *passage, *(f"c{rng.randrange(10**9)}" for _ in range(rng.randrange(20, 60)))]))
+        return len(texts) - 1
+
+    for kind in range(4):
+        hub = [f"k{kind}_{i}" for i in range(60)]
+        for _ in range(4):  # the hub's own passage in some texts
+            add(hub)
+        for j in range(12):
+            one, two = rng.sample(range(12, 48), 2)
+            while abs(one - two) < 6:
+                one, two = rng.sample(range(12, 48), 2)
+            near = [w if i != one else f"n{kind}_{j}" for i, w in enumerate(hub)]
+            far = [w if i != two else f"f{kind}_{j}" for i, w in enumerate(near)]
+            links.append((add(near), add(far)))
+    docs, p = table(spark, texts).select("doc_id", "text"), passages.Passages()
+    known = passages.nodes(docs)
+    first = {r.doc_id: (r.first, r.node) for r in known.join(passages.order_of(passages.signature_rows(docs, p), known), "node").collect()}
+    ids = [r.doc_id for r in docs.collect()]
+    later = [min(ids[a], ids[b], key=first.__getitem__) for a, b in links]  # a higher rank comes first
+    found = {r.doc_id for r in passages.repeated(docs).collect()}
+    assert sum(x in found for x in later) >= 0.95 * len(later), sum(x in found for x in later)
+
+
 def test_near_passages_in_groups_of_hundreds(spark):
     # 60 kinds of one passage, too unlike each other, each with five copies that differ in a word or two
     rng, texts, kind = random.Random(11), [], []
