@@ -12,9 +12,9 @@ overlap so far that two sizes within the threshold's ratio share a band.
 
 Identical sets are one node. Nodes with a common signature are compared with the one of them that meets most others; exact
 intersections decide. Groups whose nodes are then one component need no more. In small groups of several components all pairs of nodes
-from different ones are compared. In large ones two such nodes are compared if they have in common what sets them apart from
-the hub, in so far as linked pairs must (differences()); nodes of the hub's own component ask for no partners. So no link between
-components is lost, and groups of near copies never become all pairs.
+from different ones are compared. In large ones two such nodes are compared if sketches of their sets differ in no more bits
+than linked sets can (close_pairs()); nodes of the hub's own component ask for no partners. So no link between components is lost, and
+texts of groups of near copies are compared only where they may be linked.
 """
 
 from __future__ import annotations
@@ -39,6 +39,9 @@ HOT_SHINGLES, HOT_COUNT = 200_000, 3
 COUNTED = 1 << 22
 #: Groups of so many nodes are compared pair by pair.
 SMALL_GROUP = 8
+#: Words of 64 bits of a set's sketch, a power of two and four at least.
+SKETCH = 32
+_BITS = [f"b{i}" for i in range(SKETCH)]
 
 
 def _node(found: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -283,45 +286,42 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return _pairs_of(pairs.select("a", "b"), texts).mapInArrow(run, "a long, b long").distinct()
 
 
-def differences(members: DataFrame, texts: DataFrame, percent: int, hot: Broadcast[Hot]) -> DataFrame:
-    """Rows (hub, item, node, component, probe, size, b0 to b3) by which two members of a hub can be linked though they lie in different components.
+def sketches(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (hub, node, component, probe, size, b0, b1, ...): a row for each of members (a, b, component, probe), with its set's size and sketch.
 
-    members: (a, b, component, probe): hub, member and the member's component; a probe's is another than the hub's.
-    D(u) is how u's set differs from the hub's set h. If u is not linked to the hub, as no probe is, |D(u)| > f(|u| + |h|), f the
-    share of differences allowed. If u and v are linked, |D(u) with or without D(v), not both| <= f(|u| + |v|), so they have in common
-    t >= (|D(u)| + |D(v)| - f(|u| + |v|)) / 2 > (|D(v)| - f(|v| - |h|)) / 2 differences. Hence one of any |D(v)| - t + 1 of
-    D(v) is in D(u): v names those, its own shingles, rare ones first, before what it lacks of the hub's; u, as probe, names all of D(u).
-    The bits b0 to b3 bound from below in how much D(u) and D(v), and so u and v, differ; size is |v|.
+    The bits of a sketch tell for each of 64 * SKETCH residues whether an odd number of the set's shingles has it. Two sketches
+    differ in at most as many bits as the sets do in shingles.
     """
-    over, under = 100 - percent, 100 + percent  # f = over / under
-    names = ["hub", "item", "node", "component", "probe", "size", "b0", "b1", "b2", "b3"]
+    names = ["hub", "node", "component", "probe", "size", *_BITS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, rows = [], 0
-
-        def give() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names)
-
-        for (a, b, component, probes), h, v in _both_sets(batches):
-            own, lacks = v[~_held(v, h)], h[~_held(h, v)]
-            own = own[np.lexsort((own, hot.value.level(own)))]
-            both = np.concatenate([own, lacks])
-            least = (under * len(both) - over * (len(v) - len(h))) // (2 * under) + 1  # the smallest whole number above
-            # how often each of 256 residues occurs, odd or even: differs in at most as many as the sets do
-            odd = np.packbits(np.bincount((both & U(255)).astype(np.int64), minlength=256) & 1 == 1).view(U)
-            for x, probe in [(both[: max(0, len(both) - max(least, 1) + 1)], False)] + [(both, True)] * probes:
-                parts.append((np.full(len(x), a), signed(x), np.full(len(x), b), np.full(len(x), component), np.full(len(x), probe), np.full(len(x), len(v)), *(np.full(len(x), o) for o in odd.view(np.int64))))
-                rows += len(x)
-            if rows >= 200_000:
-                yield give()
-                parts, rows = [], 0
-        if rows:
-            yield give()
+        for batch in batches:
+            rows = []
+            for own, _, v in _both_sets(iter([batch])):
+                odd = np.bincount((v & U(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1 == 1
+                rows.append((*own, len(v), *np.packbits(odd).view(np.int64).tolist()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
 
     types = [f"{n} {'boolean' if n == 'probe' else 'long'}" for n in names]
     return _pairs_of(members.select("a", "b", "component", "probe"), texts).mapInArrow(run, ", ".join(types))
 
 
+def close_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a hub's members in different components, one of them a probe, that can be linked by their sketches(): no linked pair is left out.
+
+    Linked sets differ in at most f * (their sizes' sum) shingles, f the share of differences allowed, and so in no more bits. A first
+    quarter of the bits rules out most pairs.
+    """
+    index = rows.select("hub", *(F.col(c).alias(f"v_{c}") for c in ("node", "component", "probe", "size", *_BITS)))
+    probes = rows.where("probe").select(F.col("hub").alias("u_hub"), *(F.col(c).alias(f"u_{c}") for c in ("node", "component", "size", *_BITS)))
+    apart = lambda bits: sum(F.bit_count(F.col(f"u_{b}").bitwiseXOR(F.col(f"v_{b}"))) for b in bits)
+    most = (100 - percent) * (F.col("u_size") + F.col("v_size"))
+    close = (F.col("hub") == F.col("u_hub")) & (F.col("u_component") != F.col("v_component")) & (~F.col("v_probe") | (F.col("u_node") < F.col("v_node")))
+    close &= (100 * F.least("u_size", "v_size") >= percent * F.greatest("u_size", "v_size")) & ((100 + percent) * apart(_BITS[: SKETCH // 4]) <= most) & ((100 + percent) * apart(_BITS) <= most)
+    return index.join(probes, close).select(F.least("u_node", "v_node").alias("a"), F.greatest("u_node", "v_node").alias("b")).distinct()
+
+
 def _open(found: DataFrame, named: DataFrame) -> DataFrame:
     """found's rows of signatures whose nodes lie in several components, with component and hub_component."""
     rows = _named(found, named)
@@ -362,16 +362,10 @@ def link_nodes(docs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     more = keep(verify(rest, texts, percent), "links")
     edges = edges.unionByName(more)
     named = keep(shared.components(edges), "components")
-    # members of large groups that are still several components, by what sets them apart from their hub
+    # members of large groups that are still several components, by sketches
     large = _open(several.where(f"n > {SMALL_GROUP}").select("sig", "node", "hub"), named).where("node <> hub")
     members = keep(large.select(F.col("hub").alias("a"), F.col("node").alias("b"), "component", (F.col("component") != F.col("hub_component")).alias("probe")).distinct(), "members")
-    items = keep(differences(members, texts, percent, hot), "differences")
-    bits = [f"b{i}" for i in range(4)]
-    index = items.where("not probe").select("hub", "item", F.col("node").alias("v"), F.col("component").alias("v_component"), F.col("size").alias("v_size"), *(F.col(b).alias(f"v_{b}") for b in bits))
-    probes = items.where("probe").select(F.col("hub").alias("u_hub"), F.col("item").alias("u_item"), F.col("node").alias("u"), F.col("component").alias("u_component"), F.col("size").alias("u_size"), *bits)
-    apart = sum(F.bit_count(F.col(b).bitwiseXOR(F.col(f"v_{b}"))) for b in bits)
-    close = (F.col("hub") == F.col("u_hub")) & (F.col("item") == F.col("u_item")) & (F.col("u_component") != F.col("v_component")) & ((100 + percent) * apart <= (100 - percent) * (F.col("u_size") + F.col("v_size")))
-    met = index.join(probes, close).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    met = close_pairs(keep(sketches(members, texts), "sketches"), percent)
     rest = keep(met.join(before.union(rest), ["a", "b"], "left_anti"), "rest")
     more = keep(verify(rest, texts, percent), "links")
     named, _ = shared.write_table(shared.components(edges.unionByName(more)), "components")

@@ -245,6 +245,18 @@ def test_near_duplicates(spark, small, hot, monkeypatch):
     assert all(got[i].n_shingles == len(H.shingle_set(texts[i - 1000])) for i in ids)
 
 
+def test_near_duplicates_of_long_unlike_copies(spark, monkeypatch):
+    """Long copies of one text, each too unlike the others: the pairs that are compared grow with the copies, not with their square."""
+    rng, compared, verify = random.Random(3), [], jaccard.verify
+    monkeypatch.setattr(jaccard, "verify", lambda pairs, texts, percent: compared.append(pairs.count()) or verify(pairs, texts, percent))
+    base = [f"w{i}" for i in range(1500)]
+    copies = [" ".join(f"x{rng.randrange(10**9)}" if i in edits else w for i, w in enumerate(base)) for edits in (set(range(37 + k % 3, 1500, 37)) for k in range(40))]
+    rows = jaccard.near_duplicates(table(spark, copies), 80).collect()
+    want = H.components(copies)
+    assert len({r.component_id for r in rows}) == len(set(want)) == len(copies)
+    assert compared[-1] <= len(copies), compared  # the last are those of the large group
+
+
 def test_near_duplicates_rows(spark):
     rng = random.Random(1)
     a = H.prose(rng, 50)
