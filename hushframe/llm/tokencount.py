@@ -14,12 +14,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import KEEP_CHARS, KEEP_WORD, LETTER, NUMBER, OTHER, Merger, merger
+from .bpe import KEEP_WORD, LETTER, NUMBER, OTHER, Merger, merger
 
 #: How byte-level vocabularies split a text before merging.
 PRE_TOKEN = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{LETTER}+| ?{NUMBER}+| ?{OTHER}+|\s+(?!\S)|\s+")
 
 
+#: A worker keeps the costs of so many pre-tokens, besides whole tokens, and of so many pieces; then it begins anew.
+KEPT = 100_000
+
 #: Where pieces between single spaces don't stand for themselves.
 UNEVEN = regex.compile(r"\s \s|\s \Z")
 
@@ -50,14 +53,16 @@ class Costs(dict):
 
     def __init__(self, bpe: Merger, whole: frozenset[str]):
         super().__init__(dict.fromkeys(whole, 1))
-        self.bpe, self.chars = bpe, 0
+        self.bpe, self.names = bpe, whole
         self.bytes = [bpe.ids[c] for c in bpe.letters]
 
     def __missing__(self, token: str) -> int:
         n = len(self.bpe.merge([self.bytes[b] for b in token.encode("utf-8", "replace")]))
-        if len(token) <= KEEP_WORD and self.chars < KEEP_CHARS // 2:
+        if len(token) <= KEEP_WORD:
+            if len(self) >= len(self.names) + KEPT:
+                self.clear()
+                self.update(dict.fromkeys(self.names, 1))
             self[token] = n
-            self.chars += len(token)
         return n
 
 
@@ -71,16 +76,17 @@ class Pieces(dict):
 
     def __init__(self, costs: Costs):
         super().__init__()
-        self.costs, self.chars = costs, 0
+        self.costs = costs
 
     def whole(self, text: str) -> int:
         return sum(map(self.costs.__getitem__, PRE_TOKEN.findall(text)))
 
     def __missing__(self, piece: str) -> int:
         n = self.whole(" " + piece)
-        if len(piece) <= KEEP_WORD and self.chars < KEEP_CHARS // 2:
+        if len(piece) <= KEEP_WORD:
+            if len(self) >= KEPT:
+                self.clear()
             self[piece] = n
-            self.chars += len(piece) + 20
         return n
 
     def count(self, text: str) -> int:

@@ -117,6 +117,16 @@ def test_token_counts(spark):
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((text or "").encode()), n > 20), repr(text)
 
 
+def test_token_counts_with_many_words():
+    """A worker's memory of words is bounded, however many different ones it meets, and counts stay right."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    known = tokencount.Pieces(tokencount.Costs(bpe.merger(path), tokencount.whole_tokens(path)))
+    words = [f"q{i}z" for i in range(250_000)]
+    first = known.count(" ".join(words))
+    assert len(known) <= 100_000 and len(known.costs) <= len(tokencount.whole_tokens(path)) + 100_000
+    assert first == known.whole(" ".join(words)) == known.count(" ".join(words))
+
+
 def test_encoding(spark):
     from tokenizers import Tokenizer
 
