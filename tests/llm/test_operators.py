@@ -466,6 +466,29 @@ def test_near_passages_in_groups_of_hundreds(spark):
     assert len(links) > 500 and sum(root(i) == root(j) for i, j in links) >= 0.95 * len(links)
 
 
+def test_passages_of_a_repeated_word(spark):
+    rng = random.Random(21)
+    fresh = lambda n: H.prose(rng, n, 10**7)
+    texts = [f"{fresh(40)} {'the ' * 70}{fresh(40)}" for _ in range(3)] + [f"{fresh(40)} {'the ' * 30}{fresh(40)}"]
+    found = passages.repeated(table(spark, texts)).collect()
+    last = {r.doc_id for r in found}
+    assert len(last) == 2 and last | {r.copy_of for r in found} == {0, 1, 2}
+    assert all(r.end_word - r.first_word >= 69 for r in found)
+
+
+def test_a_repeated_shingle_asks_once():
+    # 200 shingles of one kind and some others, open places all along: one row for each shingle and block, with the bits of all turns
+    p, n = passages.Passages(), 200
+    rows = sorted([(7, i, 40, 5 if 20 <= i < 180 else 1000 + i) for i in range(n)] + [(7, i, 0, 0) for i in range(0, n, 4)])
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["node", "place", "n", "sig"])
+    out = [tuple(r.values()) for b in passages._keys(iter([batch]), p) for r in b.to_pylist()]
+    assert len(out) == len({(sig, block) for sig, _, block, _ in out}) and sum(sig == 5 for sig, *_ in out) == 3
+    bits = 0
+    for sig, _, block, mask in out:
+        bits |= mask << 63 * block
+    assert bits == (1 << 3 * n // 4) - 1
+
+
 # ---- 6 shards
 
 
