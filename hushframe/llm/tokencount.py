@@ -1,7 +1,8 @@
 """Token counts of byte-level BPE vocabularies, with a shortcut for whole tokens.
 
 Before any text is read, every vocabulary string is merged once: those that come out as one token are proven whole.
-A text's pre-tokens that are such strings count one each by lookup; only the others are merged.
+A text's pre-tokens that are such strings count one each by lookup; only the others are merged. Texts are counted
+together: what single spaces set apart in them is counted once for each different piece.
 """
 
 from __future__ import annotations
@@ -9,11 +10,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import vectext
 from .bpe import KEEP_WORD, LETTER, NUMBER, OTHER, Merger, merger
 
 #: How byte-level vocabularies split a text before merging.
@@ -22,6 +27,8 @@ PRE_TOKEN = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{LETTER}+| ?{NUMBER}
 
 #: A worker keeps the costs of so many pre-tokens, besides whole tokens, and of so many pieces; then it begins anew.
 KEPT = 100_000
+#: Bytes of texts that are counted together.
+TOGETHER = 32 << 20
 
 #: Where pieces between single spaces don't stand for themselves.
 UNEVEN = regex.compile(r"\s \s|\s \Z")
@@ -95,6 +102,20 @@ class Pieces(dict):
         first, *rest = text.split(" ")
         return (self.whole(first) if first else 0) + sum(map(self.__getitem__, rest))
 
+    def count_all(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text, none of them null; each different piece of these texts is counted once, so many words need no memory between them."""
+        uneven = np.array([UNEVEN.search(t) is not None for t in texts.to_pylist()], bool)
+        split = pc.split_pattern(texts, " ")
+        pieces_ = split.flatten().dictionary_encode()
+        costs = np.fromiter((self.whole(" " + x) for x in pieces_.dictionary.to_pylist()), np.int64, len(pieces_.dictionary))
+        at = split.offsets.to_numpy() - split.offsets[0].as_py()
+        costs = costs[pieces_.indices.to_numpy()]
+        costs[at[:-1]] = 0  # a text's first piece has no space before it
+        out = np.add.reduceat(costs, at[:-1])
+        for i, first in enumerate(split.flatten().take(pa.array(at[:-1])).to_pylist()):
+            out[i] = self.count(texts[i].as_py()) if uneven[i] else out[i] + self.whole(first)
+        return out
+
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, text: str = "text") -> DataFrame:
     """docs with n_bytes, n_tokens (long) and over_limit (n_tokens > limit), in place of columns so named.
@@ -112,11 +133,18 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, text: str = "text
         marks = tuple(bpe.special)
         known = pieces(path, whole.value)
         for batch in batches:
-            out = []
-            for t in batch.fillna(""):
-                parts = special.split(t) if any(m in t for m in marks) else (t,)
-                out.append(len(parts) - 1 + sum(map(known.count, parts)))
-            yield pd.Series(out, dtype="int64")
+            out = np.zeros(len(batch), np.int64)
+            texts = batch.fillna("").tolist()
+            marked = [i for i, t in enumerate(texts) if any(m in t for m in marks)]
+            for i in marked:
+                parts = special.split(texts[i])
+                out[i] = len(parts) - 1 + sum(map(known.count, parts))
+                texts[i] = ""
+            done = 0
+            for part in vectext.slices(pa.array(texts, pa.large_string()), TOGETHER):
+                out[done : done + len(part)] += known.count_all(part)
+                done += len(part)
+            yield pd.Series(out)
 
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
     counted = docs.select(*keep, F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), count(F.col(text)).alias("n_tokens"))

@@ -127,6 +127,22 @@ def test_token_counts_with_many_words():
     assert first == known.whole(" ".join(words)) == known.count(" ".join(words))
 
 
+def test_token_counts_cost_a_piece_once(monkeypatch):
+    """More different words than are kept, met again and again in texts that come together, are merged once."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    known = tokencount.Pieces(tokencount.Costs(bpe.merger(path), tokencount.whole_tokens(path)))
+    merges, merge = [], known.costs.bpe.merge
+    monkeypatch.setattr(known.costs.bpe, "merge", lambda symbols: merges.append(1) or merge(symbols))
+    monkeypatch.setattr(tokencount, "KEPT", 1000)
+    words = " ".join(f"Qz{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}xj{chr(97 + i // 676)}" for i in range(3000))
+    texts = ["", "a", " " + words, words, "a " + words + " \n \n ", "  ", words[::-1]]
+    got = known.count_all(pa.array(texts[2:4] * 2))
+    assert len(merges) <= 3002
+    assert known.count_all(pa.array(["x", *texts, "y"]).slice(1, len(texts))).tolist() == [known.whole(t) for t in texts]
+    assert got.tolist() == [known.whole(t) for t in texts[2:4] * 2]
+    assert len(known.costs) <= len(tokencount.whole_tokens(path)) + 1000
+
+
 def test_encoding(spark):
     from tokenizers import Tokenizer
 
