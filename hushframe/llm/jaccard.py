@@ -39,6 +39,8 @@ HOT_SHINGLES, HOT_COUNT = 200_000, 3
 COUNTED = 1 << 22
 #: Groups of so many nodes are compared pair by pair.
 SMALL_GROUP = 8
+#: Keys of so many documents that go may be broadcast: two numbers each. Texts are shuffled by their keys only beyond that.
+GONE_ROWS = 2_000_000
 #: Words of 64 bits of a set's sketch, a power of two and four at least.
 SKETCH = 32
 _BITS = [f"b{i}" for i in range(SKETCH)]
@@ -416,7 +418,11 @@ def keep_one(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: s
     kept, _ = shared.write_table(best.unionByName(blank).distinct(), "kept")
     again, _ = shared.write_table(profiles.where("node is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
     same = F.col(doc).eqNullSafe(F.col("doc_id")) & (F.xxhash64(body) == F.col("text_key"))
-    stay = own.join(shared.small(kept), same, "left_semi")
+    # fewer go than stay, so texts are held against those
+    keys = profiles.select("doc_id", "text_key").distinct().alias("p")
+    gone = keys.join(kept.alias("k"), F.col("p.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("p.text_key") == F.col("k.text_key")), "left_anti")
+    gone, _ = shared.write_table(gone, "gone")
+    stay = own.join(shared.small(gone, GONE_ROWS), same, "left_anti")
     once = stay.join(shared.small(again), same, "left_anti")
     twice = stay.join(shared.small(again), same, "left_semi").dropDuplicates([doc, body])
     return once.unionByName(twice).select(*(F.col(n).alias(c) for c, n in names.items()))

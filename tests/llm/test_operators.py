@@ -295,6 +295,24 @@ def test_near_duplicates_rows(spark):
     assert jaccard.near_duplicates(empty).count() == 0 and jaccard.keep_one(empty).columns == docs.columns
 
 
+def test_texts_that_stay_are_not_shuffled(spark, monkeypatch):
+    """More documents stay than may be broadcast, few go: texts are joined where they are."""
+    rng = random.Random(31)
+    texts = [H.prose(rng, 30, 10**7) for _ in range(40)]
+    texts += [texts[3], texts[5] + " more", None, ""]
+    docs = table(spark, texts)
+    docs = docs.unionByName(docs.where("doc_id in (7, 40)"))  # repeated rows of one that stays and one that goes
+    small, threshold = shared.small, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(shared, "small", lambda df, rows=10: small(df, rows))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = jaccard.keep_one(docs)
+        assert sorted(r.doc_id for r in kept.collect()) == [*range(40), 42, 43]
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 # ---- 5 passages
 
 
