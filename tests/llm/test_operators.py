@@ -523,6 +523,51 @@ def test_a_repeated_shingle_asks_once():
     assert bits == (1 << 3 * n // 4) - 1
 
 
+def test_members_that_can_hold_an_open_place(monkeypatch):
+    """No passage that a comparison finds is left out, and most of the others are, in one piece and in several."""
+    rng, p = np.random.default_rng(17), passages.Passages()
+    base = rng.integers(1 << 30, size=260)
+    copies = [base]
+    for n in range(70):
+        w = copies[rng.integers(len(copies))].tolist() if n % 3 else base.tolist()
+        for at in rng.integers(0, 230, rng.integers(2, 16)).tolist():
+            w[at : at + rng.integers(0, 3)] = rng.integers(1 << 30, size=rng.integers(0, 3)).tolist()
+        if n % 10 == 0:  # repeated stretches and large shifts
+            w[100:100] = w[40:90] if n % 20 else rng.integers(1 << 30, size=30).tolist()
+        copies.append(np.array(w))
+    grams = [np.array([hash(tuple(w[i : i + 5].tolist())) & 0xFFFFFFFF for i in range(len(w) - 4)], np.uint32) for w in copies]
+    nodes, firsts = list(range(len(grams))), (rng.integers(0, 30, len(grams)) / 10).tolist()
+    for cells in (1 << 20, 1000):
+        monkeypatch.setattr(passages, "CELLS", cells)
+        members = passages.Members(nodes, firsts, grams, p)
+        needed = chosen = every = 0
+        for b in nodes:
+            spots = np.arange(0, len(grams[b]), 7)
+            found, fits = members.meet(b, firsts[b], grams[b], spots)
+            got = {(int(members.nodes[m]), int(s)) for m, row in zip(found, fits) for s in spots[row]}
+            earlier = [a for a in nodes if (firsts[a], a) > (firsts[b], b)]
+            assert {a for a, _ in got} <= set(earlier)
+            want = {(a, int(s)) for a in earlier for begin, end, *_ in passages.shared_stretches(grams[b], grams[a], p) for s in spots if begin <= s <= end - p.shingle}
+            assert want <= got
+            needed, chosen, every = needed + len(want), chosen + len(got), every + len(earlier) * len(spots)
+        assert needed > 3000 and chosen < 1.5 * needed and chosen < 0.5 * every, (needed, chosen, every)
+
+
+def test_open_places_ask_in_blocks(spark, monkeypatch):
+    """A cluster in many blocks gives the pairs of one block."""
+    rng = random.Random(31)
+    base = H.prose(rng, 120, 10**7).split(" ")
+    texts = []
+    for _ in range(40):
+        w = list(base)
+        for at in rng.sample(range(120), 7):
+            w[at] = H.prose(rng, 1, 10**7)
+        texts.append(" ".join(w))
+    one = {tuple(r) for r in passages.repeated(table(spark, texts)).collect()}
+    monkeypatch.setattr(passages, "BLOCK_GRAMS", 500)
+    assert one and {tuple(r) for r in passages.repeated(table(spark, texts)).collect()} == one
+
+
 # ---- 6 shards
 
 
