@@ -7,7 +7,7 @@ goes over a text from left to right, carries its state and adds up the logarithm
 
 The automaton grows with the corpus and is never in one place. Documents are packed into blocks of local word numbers. A block asks
 for each of its distinct pairs of neighbours once. Questions go to the bucket of their first word, which so has all arcs of its states;
-questions of hot words, at most HOT, are spread over all buckets. Buckets answer with counts, and a block traverses its texts with its own arcs.
+questions of hot words, at most HOT or one for HOT_TOKENS tokens, are spread over all buckets. Buckets answer with counts, and a block traverses its texts with its own arcs.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from . import shared
 
 #: Bytes of text in a block (a longer text makes a longer block), and tokens that meet in a bucket, about.
 BLOCK_BYTES, BUCKET_TOKENS, LEAST_BUCKETS = 6_000_000, 1_000_000, 64
-#: A word is hot if it makes up more than one of so many training tokens: there are fewer such words than that.
-HOT = 1_000
+#: A word is hot if it makes up more than one of so many training tokens, or more than so many: all its arcs would be in one bucket, which must not grow with the corpus.
+HOT, HOT_TOKENS = 1_000, BUCKET_TOKENS // 10
 #: Taken off each pair's count.
 DISCOUNT = 0.75
 #: A text's end and beginning: no word holds a space.
@@ -245,7 +245,7 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     words, path = shared.write_table(blocks.select(F.inline(F.arrays_zip("words", "n"))).where("n > 0").groupBy("words").agg(F.sum("n").alias("n")), "lm-words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, s: a + s))).first()[0] or 0
-    often = words.where(F.col("n") * HOT > total).select("words").collect()  # fewer than HOT
+    often = words.where((F.col("n") * HOT > total) | (F.col("n") > HOT_TOKENS)).select("words").collect()  # fewer than HOT, or than one in HOT_TOKENS tokens
     shared.drop_tables(docs.sparkSession, path)
     hot = np.sort(np.append(np.array([r[0] for r in often], np.int64).view(np.uint64), BEGIN))
     buckets = max(LEAST_BUCKETS, -(-tokens // BUCKET_TOKENS))
@@ -253,7 +253,7 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     answers, _ = shared.write_table(questions.groupBy("bucket").applyInArrow(_answer(hot), ANSWERS), "lm-answers")
     hot_arcs = np.zeros(len(hot), np.int64)
     arcs = answers.where("block IS NULL").select("arcs").mapInArrow(_hot_arcs, "hot int, n long").groupBy("hot").agg(F.sum("n"))
-    for k, n in arcs.collect():  # at most HOT
+    for k, n in arcs.collect():  # a row for each hot word
         hot_arcs[k] = n
     run = _traverse(hot, hot_arcs, buckets, total, distinct, discount)
     scored = blocks.groupBy("block").cogroup(answers.where("block IS NOT NULL").groupBy("block")).applyInArrow(run, SCORES)

@@ -147,6 +147,22 @@ def test_lm_scores(spark, monkeypatch, block, hot, least):
         assert r.base_score == pytest.approx(base, abs=1e-8) and r.score == pytest.approx(score, abs=1e-8)
 
 
+def test_lm_words_that_would_fill_a_bucket_are_spread(spark, monkeypatch):
+    """However rare among all tokens a word is, a bucket doesn't get all its arcs once it has many."""
+    monkeypatch.setattr(lm, "HOT", 1)  # no word is more than all tokens
+    monkeypatch.setattr(lm, "HOT_TOKENS", 30)
+    spread = []
+    answer = lm._answer
+    monkeypatch.setattr(lm, "_answer", lambda hot: spread.append(len(hot)) or answer(hot))
+    rng = random.Random(8)
+    rows = [(i, "s", " ".join(f"w{rng.randrange(40)}" for _ in range(30))) for i in range(60)]
+    train = Counter(w for i, _, t in rows if i % 7 != 2 for w in t.split())
+    out = {r.doc_id: r for r in lm.score(table(spark, rows), F.col("doc_id") % 7 == 2).collect()}
+    assert spread == [sum(n > 30 for n in [*train.values(), sum(i % 7 != 2 for i, _, _ in rows)]) + 1] and spread[0] > 20  # the end and the beginning, too
+    for i, *_, score in plain_scores([(i, i % 7 == 2, t) for i, _, t in rows]):
+        assert out[i].score == pytest.approx(score, abs=1e-8)
+
+
 def test_lm_of_few(spark):
     assert lm.score(table(spark, []), F.lit(False)).collect() == []
     (r,) = lm.score(table(spark, [(1, "s", "a b")]), F.lit(True)).collect()  # no training text at all
